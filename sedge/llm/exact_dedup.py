@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedge.llm.shared import SPACE, shuffle_partitions, stored
+from sedge.llm.shared import SPACE, looked_up, shuffle_partitions, stored
 
 #: Key bits that a directory may use at most.
 MAX_DEPTH = 16
@@ -138,22 +138,11 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def probe(documents: DataFrame, index: DataFrame) -> DataFrame:
-    """Each document with its index entry.
-
-    Only entries with copies are joined. Those that hold over a thousandth of
-    all documents are fewer than a thousand, so they are broadcast, and no hot
-    key is shuffled.
-    """
-    total = index.agg(F.sum("group_size")).first()[0] or 0
-    limit = max(2, total // 1000)
+    """Each document with its index entry; only entries with copies are joined."""
     entry = index.select("key", "text_sha256", "keep_id", "group_size").filter("group_size > 1")
-    hot = documents.join(F.broadcast(entry.filter(F.col("group_size") > limit)), ["key", "text_sha256"], "left")
-    cold = hot.filter("keep_id is null").drop("keep_id", "group_size").join(entry.filter(F.col("group_size") <= limit), ["key", "text_sha256"], "left")
     keep = F.coalesce("keep_id", "doc_id")
-    return (
-        hot.filter("keep_id is not null")
-        .unionByName(cold)
-        .select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), (F.col("doc_id") == keep).alias("kept"), "text_sha256")
+    return looked_up(documents, entry, ["key", "text_sha256"], "group_size").select(
+        "doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), (F.col("doc_id") == keep).alias("kept"), "text_sha256"
     )
 
 

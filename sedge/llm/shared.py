@@ -97,6 +97,19 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], per_key: DataFrame
     )
 
 
+def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """Left join of ``rows`` with ``table``, unique in ``keys``, without shuffling a
+    hot key. ``weight``: how many of ``rows`` an entry meets. Entries that meet over
+    a thousandth of what all meet are fewer than a thousand, so those are broadcast.
+    ``rows`` should be stored: it is read twice."""
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    limit = max(2, total // 1000)
+    hot = rows.join(F.broadcast(table.filter(F.col(weight) > limit).withColumn("_hot", F.lit(True))), keys, "left")
+    names = [c for c in table.columns if c not in keys]
+    cold = hot.filter("_hot is null").drop("_hot", *names).join(table.filter(F.col(weight) <= limit), keys, "left")
+    return hot.filter("_hot").drop("_hot").unionByName(cold)
+
+
 def components(edges: DataFrame, label: str = "components", rounds: int = 50) -> DataFrame:
     """(node, component) for the nodes of ``edges`` (a, b); component is the
     smallest node reachable.
