@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sedge.llm import exact_dedup, mixing, packing
+from sedge.llm import embedding_dedup, exact_dedup, jaccard_join, language_id, mixing, packing, substring_dedup
 from sedge.llm.shared import ship
 
 
@@ -20,14 +20,30 @@ def op1_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), path("word_bpe_49k.json"))
 
 
+def op3_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
+def op4_hierarchical_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op5_extendible_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_fixed_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=35)
+
+
 def op8_subset_sum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_pivot_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
 def _shipped(query: Callable) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
@@ -37,7 +53,7 @@ def _shipped(query: Callable) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: _shipped(f) for f in (op1_nnls_packing, op5_extendible_hash_dedup, op8_subset_sum_mixing)}
+    return {f.__name__: _shipped(f) for f in (op1_nnls_packing, op3_parity_sketch_join, op4_hierarchical_language_id, op5_extendible_hash_dedup, op7_fixed_block_anchors, op8_subset_sum_mixing, op9_pivot_permutation)}
 
 
 def oracle_sql() -> dict[str, str]:
