@@ -1,0 +1,85 @@
+import hashlib
+import re
+from collections import Counter
+from datetime import date, timedelta
+
+from fixtures import SCHEMA, documents
+from pyspark.sql import functions as F
+
+from sedge.llm import pii
+
+KEY = "k"
+
+
+def secret(label, turn, half):
+    return int(hashlib.sha256(f"{KEY}|{label}|{turn}|{half}".encode()).hexdigest()[:15], 16)
+
+
+def feistel(label, a, b, m, n):
+    for r in range(pii.ROUNDS):
+        if r % 2 == 0:
+            a = (a + secret(label, r, b)) % m
+        else:
+            b = (b + secret(label, r, a)) % n
+    return a, b
+
+
+def digits(label, s):
+    m = len(s) // 2
+    a, b = feistel(f"{label}|{len(s)}", int(s[:m] or 0), int(s[m:]), 10**m, 10 ** (len(s) - m))
+    return (f"{a:0{m}d}" if m else "") + f"{b:0{len(s) - m}d}"
+
+
+def luhn(s):
+    return sum(int(c) if i % 2 == 0 else (2 * int(c) - 9 if int(c) > 4 else 2 * int(c)) for i, c in enumerate(reversed(s))) % 10
+
+
+def run(spark, texts):
+    df = spark.createDataFrame([(i, t, 1, 2) for i, t in enumerate(texts)], "doc_id long, text string, kind int, old int")
+    return [(r.text, r.n_values, r.kinds) for r in pii.pseudonymise(df, KEY).orderBy("doc_id").collect()]
+
+
+def test_values(spark):
+    card, phone, ip = "4111 1111-1111 1111", "+1 (988) 555-2485", "42.144.35.254"
+    body = "4" + digits("card", "11111111111111")
+    check = next(c for c in "0123456789" if luhn(body + c) == 0)
+    a, b = feistel("ip", 42 * 256 + 144, 35 * 256 + 254, 65536, 65536)
+    day = (date(2024, 2, 29) - date(1800, 1, 1)).days
+    x, y = feistel("date", day // 773, day % 773, 189, 773)
+    new_day = date(1800, 1, 1) + timedelta(x * 773 + y)
+    new_card, i = "", iter(body + check)
+    for c in card:
+        new_card += next(i) if c.isdigit() else c
+    tail = digits("phone1988", "5552485")
+    expected = {card: new_card, phone: f"+1 (988) {tail[:3]}-{tail[3:]}", ip: f"{a >> 8}.{a & 255}.{b >> 8}.{b & 255}", "2024-02-29": new_day.isoformat(), "02/29/2024": f"{new_day:%m/%d/%Y}", "29.2.2024": f"{new_day.day}.{new_day.month}.{new_day.year}"}
+    got = run(spark, [f"é x {v}. and ({v}), end" for v in expected])
+    assert [g[0] for g in got] == [f"é x {v}. and ({v}), end" for v in expected.values()]
+    assert [g[1] for g in got] == [2] * 6 and [g[2] for g in got] == [["card"], ["phone"], ["ip"], ["date"], ["date"], ["date"]]
+
+
+def test_what_is_not_valid_stays(spark):
+    stay = [None, "", "no number", "4111 1111 1111 1112", "2023-02-29", "300.1.1.1", "666-12-3456", "000-12-3456", "version 4.0.", "token = 24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "13/13/2024", "a@b"]
+    assert [g[:2] for g in run(spark, stay)] == [(t, 0) for t in stay]
+
+
+def test_permutations(spark):
+    ssns = run(spark, [f"{a:03d}-{g:02d}-{s:04d}" for a in (1, 665, 667, 899) for g in (1, 99) for s in (1, 77, 9999)])
+    assert len({s[0] for s in ssns}) == 24
+    for s, n, _ in ssns:
+        area, group, serial = map(int, s.split("-"))
+        assert n == 1 and 0 < area < 900 and area != 666 and group and serial
+    mails = run(spark, ["Bob.42@mail.example.com", "bob.42@mail.example.com", "bob.43@mail.example.com", "bo@x.org", "z" * 30 + "@x.org"])
+    assert mails[0][0] == mails[1][0] and len({m[0] for m in mails}) == 4
+    assert all(re.fullmatch(r"[a-z]{3}\.\d\d@mail\.example\.com", m[0]) for m in mails[:3]) and "bob" not in mails[0][0]
+    pairs = spark.range(21 * 5).select(pii.feistel(KEY, F.lit("t"), F.col("id") % 21, F.floor(F.col("id") / 21), F.lit(21), F.lit(5)).alias("p")).collect()
+    assert len({tuple(r.p) for r in pairs}) == 105
+
+
+def test_awkward_rows(spark):
+    rows = documents()
+    got = pii.pseudonymise(spark.createDataFrame(rows, SCHEMA), KEY)
+    assert got.columns[:9] == [c.split()[0] for c in SCHEMA.split(", ")]
+    changed = [r for r in got.collect() if r.n_values]
+    assert len(changed) == 1 and changed[0].kinds == ["card", "date"]
+    assert Counter(r.text for r in got.filter("n_values = 0").collect()) == Counter(r[1] for r in rows if r[1] is None or "4111" not in r[1])
+    assert pii.pseudonymise(spark.createDataFrame([], SCHEMA), KEY).collect() == []
