@@ -84,3 +84,10 @@ def may_hold(df: DataFrame, key: str, filter_: DataFrame, flag: str) -> DataFram
     byte: Column = F.conv(F.hex(F.substring(F.col("_bits"), (F.floor(position / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     bit = byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (F.pmod(position, F.lit(8)) + 1).cast("int"))) != 0
     return df.withColumn("_bucket", F.bitmap_bucket_number(at)).join(F.broadcast(filter_), "_bucket", "left").withColumn(flag, F.coalesce(bit, F.lit(False))).drop("_bucket", "_bits")
+
+
+def without(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """``df`` without the rows whose ``key`` is in ``gone``; only rows that pass the
+    membership filter are shuffled."""
+    flagged = may_hold(df, key, membership(gone, key), "_near")
+    return flagged.filter("not _near").drop("_near").unionByName(flagged.filter("_near").drop("_near").join(gone.select(key).distinct(), key, "left_anti")).select(*df.columns)

@@ -23,15 +23,17 @@ from pyspark.sql import functions as F
 from sedge.llm.shared import ranked, stored
 
 #: Words that a worker remembers at most, over all its tasks.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 900_000
+_LETTERS_THEN_MARKS = re.compile(r"([^\W\d_]+)([^\w\s]+)")
 _codecs: dict[str, WordCodec] = {}
 
 
 class WordCodec:
     """Token ids of whole texts, with the ids of seen words remembered.
 
-    Exact for tokenizers that never join over white space and lower-case first:
-    words between ASCII white space are encoded apart. Texts with a special
+    Exact for byte-pair tokenizers with word ends (</w>) that lower-case first and
+    split letters, single digits and other marks: words between white space are
+    encoded apart. Texts with a special
     token's string go through the tokenizer whole.
     """
 
@@ -45,6 +47,37 @@ class WordCodec:
         # str.split() also parts at \\x1c-\\x1f, which are no white space to the tokenizer
         self.special = re.compile("|".join(["[\\x1c-\\x1f]", *map(re.escape, specials)]))
         self.known: dict[str, bytes] = {}
+        vocabulary = self.whole.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def learn(self, new: set[str]) -> None:
+        """Remember the ids of whole words.
+
+        A word of letters is one unit to the tokenizer and ends in a token that
+        says so, so many are encoded as one text. Letters with punctuation after
+        them are two units, whose ids follow each other.
+        """
+        known, parts, other = self.known, {}, []
+        for w in new:
+            if not w.isalpha():
+                if m := _LETTERS_THEN_MARKS.fullmatch(w):
+                    parts[w] = m.groups()
+                else:
+                    other.append(w)
+        other += {x for _, x in parts.values()}.difference(known, other)
+        letters = list({w for w in new if w.isalpha()}.union(x for x, _ in parts.values()).difference(known))
+        if letters:
+            ids = np.array(self.plain.encode(" ".join(letters), add_special_tokens=False).ids, dtype="<u4")
+            ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            raw, at = ids.tobytes(), 0
+            for w, end in zip(letters, ends, strict=True):
+                known[w] = raw[4 * at : 4 * end]
+                at = end
+        for w, e in zip(other, self.plain.encode_batch_fast(other, add_special_tokens=False), strict=True):
+            known[w] = np.array(e.ids, dtype="<u4").tobytes()
+        for w, (x, y) in parts.items():
+            known[w] = known[x] + known[y]
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
@@ -54,13 +87,12 @@ class WordCodec:
         plain = text.isascii() or (unicodedata.is_normalized("NFC", text) and "Σ" not in text and "İ" not in text)
         words = (text.lower() if plain else text).split()
         known = self.known
-        new = [w for w in set(words) if w not in known]
+        new = set(words).difference(known)
+        if len(known) + len(new) > CACHE_WORDS:
+            known.clear()
+            new = set(words)
         if new:
-            if len(known) > CACHE_WORDS:
-                known.clear()
-                new = list(set(words))
-            for w, e in zip(new, self.plain.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, dtype="<u4").tobytes()
+            self.learn(new)
         return b"".join(map(known.__getitem__, words))
 
 

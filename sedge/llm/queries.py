@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sedge.llm import embedding_dedup, exact_dedup, jaccard_join, language_id, mixing, packing, substring_dedup
+from sedge.llm import embedding_dedup, exact_dedup, jaccard_join, language_id, line_dedup, mixing, packing, pii, quotation, substring_dedup
 from sedge.llm.shared import ship
 
 
@@ -20,6 +21,10 @@ def op1_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), path("word_bpe_49k.json"))
 
 
+def op2_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotation.reply_order(table(spark, sf_dir, "conversations"))
+
+
 def op3_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"), n=4, percent=85)
 
@@ -32,6 +37,11 @@ def op5_extendible_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = pii.pseudonymise(table(spark, sf_dir, "documents"), key="a key of the owner's")
+    return made.select("doc_id", "text", "n_values", F.array_join("kinds", ",").alias("kinds"))
+
+
 def op7_fixed_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=35)
 
@@ -44,6 +54,16 @@ def op9_pivot_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.9)
 
 
+def op10_line_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.repeated_lines(table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def _shipped(query: Callable) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
@@ -53,7 +73,20 @@ def _shipped(query: Callable) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: _shipped(f) for f in (op1_nnls_packing, op3_parity_sketch_join, op4_hierarchical_language_id, op5_extendible_hash_dedup, op7_fixed_block_anchors, op8_subset_sum_mixing, op9_pivot_permutation)}
+    every = [
+        op1_nnls_packing,
+        op2_quotation_linking,
+        op3_parity_sketch_join,
+        op4_hierarchical_language_id,
+        op5_extendible_hash_dedup,
+        op6_feistel_pseudonyms,
+        op7_fixed_block_anchors,
+        op8_subset_sum_mixing,
+        op9_pivot_permutation,
+        op10_line_neighbourhood,
+        pipeline,
+    ]
+    return {f.__name__: _shipped(f) for f in every}
 
 
 def oracle_sql() -> dict[str, str]:

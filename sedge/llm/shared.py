@@ -97,6 +97,20 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], per_key: DataFrame
     )
 
 
+def numbered(df: DataFrame, keys: list[str], order: list[str], label: str) -> DataFrame:
+    """``df`` with ``rank``: 0, 1, ... in ``order`` within each combination of ``keys``.
+
+    Rows are dealt by ranges of (keys, order), so a group that holds a third of all
+    rows lies in many tasks; only counts for each key and task are summed by key.
+    ``df`` should be stored (ranges are sampled) and ``keys`` must not be null.
+    """
+    dealt = stored(df.repartitionByRange(shuffle_partitions(df.sparkSession), *keys, *order).withColumn("_part", F.spark_partition_id()), label)
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = dealt.groupBy(*keys, "_part").agg(F.count("*").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    at = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order)) - 1
+    return dealt.withColumn("_at", at).join(base, [*keys, "_part"]).withColumn("rank", (F.col("_base") + F.col("_at")).cast("long")).drop("_part", "_at", "_base")
+
+
 def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], weight: str) -> DataFrame:
     """Left join of ``rows`` with ``table``, unique in ``keys``, without shuffling a
     hot key. ``weight``: how many of ``rows`` an entry meets. Entries that meet over
