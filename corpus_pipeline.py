@@ -1,2 +1,81 @@
-"""placeholder until the operators exist"""
-STAGES = []
+"""A corpus from raw documents to packed sequences, in five stages.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; what it returns is
+written as Parquet and read again as the next stage's documents.
+"""
+
+from __future__ import annotations
+
+from public_tokenizers import path
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from sedge.llm import jaccard_join, language_id, line_dedup, mixing, packing
+from sedge.llm.hashing import without
+from sedge.llm.shared import SPACE, ship, stored
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: No stage but the packing can be said in SQL: a fitted classifier decides first.
+ORACLE_SQL = None
+
+
+def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told; a missing label is filled in.
+
+    Null texts and texts without a letter are rejected.
+    """
+    ship(spark)
+    learn = docs.filter(~language_id.held_out()).select(F.col("doc_id").alias("order"), "text", "lang")
+    known = language_id.predict(docs.select(*COLUMNS), language_id.fit(learn))
+    return known.filter(F.col("lang_pred") != language_id.UNKNOWN).withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that stand earlier in the corpus, equal or but for a word.
+
+    A document goes if it lost lines and none of ``SHORTEST`` words or more is left.
+    """
+    ship(spark)
+    rows = line_dedup.dedup_lines(docs.select(*COLUMNS))
+    line = rf"(?m)^[{SPACE}]*[^{SPACE}]+(?:[\x20\x09\x0B-\x0D]+[^{SPACE}]+){{{line_dedup.SHORTEST - 1}}}"
+    changed = F.col("lines_gone") > 0
+    return rows.filter(~changed | F.col("text").rlike(line)).withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group of near copies."""
+    ship(spark)
+    groups = stored(jaccard_join.join(docs), "pipeline-groups")
+    return without(docs.select(*COLUMNS), groups.filter("component_id <> doc_id"), "doc_id")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    ship(spark)
+    # rows that repeat an id are told apart by their place among these
+    nth = Window.partitionBy("doc_id")
+    copies = mixing.mix(docs).filter("copies > 0").select("doc_id", "copies", F.row_number().over(nth.orderBy("size")).alias("nth"))
+    rows = docs.select(*COLUMNS).withColumn("nth", F.row_number().over(nth.orderBy("n_chars")))
+    return rows.join(copies, ["doc_id", "nth"]).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents with their sequences and places."""
+    ship(spark)
+    return packing.pack_documents(docs, path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language identification", identify_languages),
+    ("line dedup", drop_repeated_lines),
+    ("near-copy join", drop_near_copies),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs
