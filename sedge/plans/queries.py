@@ -152,13 +152,10 @@ def settled_jobs(t: Tables) -> DataFrame:
 
 
 # events and tables
-@query("SELECT min(event_id) AS event_id, user_id, event_type FROM events WHERE event_type <> 'error' GROUP BY user_id, event_type HAVING user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error')")
+@query("SELECT min(event_id) AS event_id, user_id, event_type FROM events e WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = e.user_id AND o_orderstatus = 'P' AND e.event_type = 'click') GROUP BY user_id, event_type")
 def new_payment_events(t: Tables) -> DataFrame:
-    e = t.raw("events").select("event_id", "user_id", "event_type")
-    seen = e.filter("event_type = 'error'").select("user_id").distinct()
-    kinds = e.filter("event_type <> 'error'").select("event_type").distinct()
-    known = seen.crossJoin(F.broadcast(kinds))  # a handful of types
-    return tables.insert_new(known, e.filter("event_type <> 'error'"), ["user_id", "event_type"], ["event_id"])
+    known = t.raw("orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("user_id"), F.lit("click").alias("event_type")).distinct()
+    return tables.insert_new(known, t.raw("events").select("event_id", "user_id", "event_type"), ["user_id", "event_type"], ["event_id"])
 
 
 @query("""WITH c AS (SELECT user_id::VARCHAR AS user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events WHERE event_type IN ('purchase', 'error')), l AS (SELECT * FROM c WHERE n = 1),
@@ -172,9 +169,9 @@ def upserted_subscriptions(t: Tables) -> DataFrame:
     return tables.upsert_subscriptions(old, changes, now()).select(F.col("id").cast("bigint").alias("id"), "user_id", "plan_code", "status")
 
 
-@query("SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def orphan_files(t: Tables) -> DataFrame:
-    return tables.orphans(t.raw("customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")), t.raw("orders").select("o_custkey"), "o_custkey")
+    return tables.orphans(t.raw("customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")), t.raw("orders").filter("o_orderstatus = 'P'").select("o_custkey"), "o_custkey")
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING')")
@@ -249,7 +246,7 @@ def last_of_each(t: Tables) -> DataFrame:
 
 # functions
 @query(r"""SELECT doc_id AS id, ceil(length(text) / 4.0)::INTEGER AS tokens, length(text)::INTEGER AS utf16, CASE WHEN length(text) > 300 THEN text[:300] || '...' ELSE text END AS preview, text[:50] AS title, (instr(text, 'the') - 1)::INTEGER AS first_the,
- ceil(n_chars / 1073741824.0 * 1000)::BIGINT AS storage_units, CASE WHEN n_chars < 1024 THEN n_chars || ' B' ELSE format('{:.1f} KB', round(n_chars::DECIMAL(20,0) / 1024, 1)::DOUBLE) END AS size_label FROM documents""")
+ ceil(n_chars / 1073741824.0 * 1000)::BIGINT AS storage_units, CASE WHEN n_chars < 1024 THEN n_chars || ' B' ELSE ((n_chars * 20 + 1024) // 20480) || '.' || ((n_chars * 20 + 1024) // 2048 % 10) || ' KB' END AS size_label FROM documents""")
 def text_measures(t: Tables) -> DataFrame:
     return t.files().select("id", C.estimate_tokens("text").alias("tokens"), C.utf16_length("text").alias("utf16"), C.preview("text").alias("preview"), C.title_of("text").alias("title"), C.index_of("text", F.lit("the")).alias("first_the"), C.storage_units("size").alias("storage_units"), C.size_label("size").alias("size_label"))
 
@@ -265,7 +262,7 @@ def structured_answers(t: Tables) -> DataFrame:
     return t.raw("conversations").select("conv_id", "turn", C.structured_answer("text", F.col("turn") % 2 == 1).alias("answer"))
 
 
-@query("SELECT event_id AS id, greatest(0, floor(value - 50 + 0.5))::BIGINT AS quantity, CASE WHEN value > 0 THEN least(100, floor(100.0 * 30 / value + 0.5))::INTEGER ELSE 0 END AS percent, CASE WHEN event_id < 1000 THEN event_id || 'ms' ELSE format('{:.2f}s', round(event_id::DECIMAL(20,0) / 1000, 2)::DOUBLE) END AS duration, date_trunc('month', ts)::TIMESTAMP AS cycle_start, date_trunc('month', ts) + INTERVAL 1 MONTH - INTERVAL 1 MILLISECOND AS cycle_end FROM events")
+@query("SELECT event_id AS id, greatest(0, floor(value - 50 + 0.5))::BIGINT AS quantity, CASE WHEN value > 0 THEN least(100, floor(100.0 * 30 / value + 0.5))::INTEGER ELSE 0 END AS percent, CASE WHEN event_id < 1000 THEN event_id || 'ms' ELSE ((event_id + 5) // 1000) || '.' || lpad(((event_id + 5) // 10 % 100)::VARCHAR, 2, '0') || 's' END AS duration, date_trunc('month', ts)::TIMESTAMP AS cycle_start, date_trunc('month', ts) + INTERVAL 1 MONTH - INTERVAL 1 MILLISECOND AS cycle_end FROM events")
 def number_functions(t: Tables) -> DataFrame:
     return t.raw("events").select(F.col("event_id").alias("id"), C.quantity(F.col("value") - 50).alias("quantity"), C.percent(F.lit(30), "value").alias("percent"), C.duration_label("event_id").alias("duration"), C.cycle_start("ts").alias("cycle_start"), C.cycle_end("ts").alias("cycle_end"))
 
