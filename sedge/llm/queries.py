@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sedge.llm import embedding_dedup, exact_dedup, jaccard_join, language_id, line_dedup, mixing, packing, pii, quotation, substring_dedup
 from sedge.llm.shared import ship
+from sedge.llm.sql import ORACLES
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,4 +91,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
