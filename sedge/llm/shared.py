@@ -17,12 +17,13 @@ from pyspark.sql import functions as F
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _own_dirs: dict[str, str] = {}
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once for each application."""
+    """Give the executors this package and batches that suit texts, once for each application."""
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -34,6 +35,8 @@ def ship(spark: SparkSession) -> None:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))
     spark.sparkContext.addPyFile(str(target))
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, "1000")  # texts are long: ten thousand of them fill a worker
     _shipped.add(app)
 
 
