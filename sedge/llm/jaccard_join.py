@@ -3,14 +3,17 @@
 A document's set of shingles is folded into a bit sketch: each shingle toggles
 one bit, so the Hamming distance of two sketches is at most the size of the sets'
 symmetric difference. Within a band of set sizes that difference is at most D for
-a linked pair; the sketch has more than D words of 64 bits, so at least one word
-agrees (pigeonhole), and documents meet on equal words. What meets is verified on
-the sets themselves.
+a linked pair; the sketch has more than D words, so at least one word agrees
+(pigeonhole), and documents meet on equal words. Words are so wide that shingles
+don't collide: with 64 bits the many words of one shingle would meet by chance.
+What meets is verified on the sets themselves.
 
 Equal sets are one node from the start. Within a group that shares a word not all
-pairs are made: rounds of links to one member connect most of it, and only pairs
-that still lie in different components are left to verify. So the output is a
-component for each document, and no link between components is missed.
+pairs are made: in two rounds each set meets one member of every word's group, which
+connects most of it. Then sets of different components are compared by sketches with
+a bit for a shingle, in blocks of bounded size inside tasks; only pairs whose Hamming
+distance allows a link leave the task and are verified. So the output is a component
+for each document, and no link between components is missed.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedge.llm.hashing import may_hold, membership, mixed, windows, word_hashes, words_of
+from sedge.llm.hashing import may_hold, membership, mixed, windows, word_hashes
 from sedge.llm.shared import components, looked_up, shuffle_partitions, stored
 
 #: Sizes of a band span this factor.
@@ -31,8 +34,9 @@ BAND = 1.5
 FLUSH, CLASS = 1_000_000, 1_000_000
 #: Bytes of a word's hash that travel; the class adds some bits.
 WIDTH = 5
-#: Rounds of links to one member before all pairs between components are made.
-TURNS = 5
+#: Rounds of links to one member of each word before all that is left is compared,
+#: and rows of a group that are compared at once.
+TURNS, BLOCK = 2, 1024
 #: Documents whose words a task passes on once only while it remembers them.
 SEEN = 200_000
 
@@ -40,7 +44,7 @@ SEEN = 200_000
 def shingles(text: str | None, n: int) -> np.ndarray:
     """Distinct hashed shingles of ``n`` words, A-Z lower-cased; of a shorter text
     its whole sequence as one."""
-    words = words_of(text.lower() if text.isascii() else text.translate(_LOWER)) if text else []
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []  # of bytes, lower() changes A-Z only
     if not words:
         return np.empty(0, dtype=np.uint64)
     if len(words) < n:
@@ -48,9 +52,6 @@ def shingles(text: str | None, n: int) -> np.ndarray:
     return np.unique(windows(word_hashes(words), n))
 
 
-_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
-
-
 def signature(s: np.ndarray) -> int:
     """The same for equal sets: 64 bits of the set, not of any order."""
     with np.errstate(over="ignore"):
@@ -88,58 +89,61 @@ class Bands:
         """
         d = self.most(self.edges[band + 1])
         k = d + 3 + d // 25
-        code = (s % np.uint64(k)).astype(np.int64) * 64 + (s >> np.uint64(58)).astype(np.int64)
-        bits = (np.bincount(code, minlength=64 * k) & 1).astype(np.uint8)
-        sketch = np.packbits(bits, bitorder="little").view("<u8")
-        some = np.flatnonzero(sketch) if (sketch == 0).sum() < k - d else np.arange(k)
+        part = (s % np.uint64(k)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        starts = np.flatnonzero(np.r_[True, np.diff(part[order]) > 0])
+        some = part[order][starts]
+        # a word has 2**64 bits, nearly all unset; the XOR of its set bits' hashes stands for it
+        sketch = np.bitwise_xor.reduceat(mixed(s[order]), starts)
+        if k - len(some) >= k - d:
+            full = np.zeros(k, dtype=np.uint64)
+            full[some] = sketch
+            some, sketch = np.arange(k), full
         with np.errstate(over="ignore"):
-            return mixed(mixed(sketch[some]) + mixed(some.astype(np.uint64) * np.uint64(1 << 20) + np.uint64(band + 1)))
+            return mixed(mixed(sketch) + mixed(some.astype(np.uint64) * np.uint64(1 << 20) + np.uint64(band + 1)))
 
 
-def _sets(n: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        got = [shingles(t, n) for t in batch["text"]]
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": [len(s) for s in got], "set_id": [signature(s) for s in got]})
+SCANNED = "doc_id long, n_shingles long, set_id long, part int, sets binary, words binary"
 
 
-def _deal(n: int, percent: int, classes: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Packed sketch words of each set: one row for each flush and class."""
+def _scan(n: int, percent: int, classes: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row for each document, and packed sketch words: a row for each flush and class."""
     bands, seen = Bands(percent), set()
     ids: list[np.ndarray] = []
     words: list[np.ndarray] = []
     held = 0
 
     def flush() -> pd.DataFrame:
-        rows = []
-        if held:
-            owner, hashes = np.concatenate(ids), np.concatenate(words)
-            part = (hashes % np.uint64(classes)).astype(np.uint16 if classes < 1 << 16 else np.uint32)
-            order = np.argsort(part, kind="stable")
-            ends = np.searchsorted(part[order], np.arange(classes + 1))
-            tops = (hashes >> np.uint64(64 - 8 * WIDTH)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH]
-            rows = [(c, owner[at].tobytes(), tops[at].tobytes()) for c in range(classes) if len(at := order[ends[c] : ends[c + 1]])]
-        return pd.DataFrame(rows, columns=["part", "sets", "words"])
+        owner, hashes = np.concatenate(ids), np.concatenate(words)
+        part = (hashes % np.uint64(classes)).astype(np.uint16 if classes < 1 << 16 else np.uint32)
+        order = np.argsort(part, kind="stable")
+        ends = np.searchsorted(part[order], np.arange(classes + 1))
+        tops = (hashes >> np.uint64(64 - 8 * WIDTH)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH]
+        rows = [(None, None, None, c, owner[at].tobytes(), tops[at].tobytes()) for c in range(classes) if len(at := order[ends[c] : ends[c + 1]])]
+        return pd.DataFrame(rows, columns=["doc_id", "n_shingles", "set_id", "part", "sets", "words"])
 
     for batch in batches:
+        sizes, own = [], []
         for text in batch["text"]:
             s = shingles(text, n)
-            if len(s) < bands.edges[0]:
-                continue
-            own = signature(s)
-            if own in seen:
+            sizes.append(len(s))
+            own.append(signature(s))
+            if len(s) < bands.edges[0] or own[-1] in seen:
                 continue
             if len(seen) >= SEEN:
                 seen.clear()
-            seen.add(own)
+            seen.add(own[-1])
             for band in bands.of(len(s)):
                 w = bands.words(s, band)
-                ids.append(np.full(len(w), own, dtype=np.int64))
+                ids.append(np.full(len(w), own[-1], dtype=np.int64))
                 words.append(w)
                 held += len(w)
-            if held >= FLUSH:
-                yield flush()
-                ids, words, held = [], [], 0
-    yield flush()
+        yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": sizes, "set_id": own, "part": None, "sets": None, "words": None})
+        if held >= FLUSH:
+            yield flush()
+            ids, words, held = [], [], 0
+    if held:
+        yield flush()
 
 
 def _meet(group: pd.DataFrame) -> pd.DataFrame:
@@ -158,33 +162,98 @@ def _meet(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"word": words[some].astype(np.int64) << 16 | np.int64(group["part"].iloc[0] % (1 << 16)), "set_id": sets[some]})
 
 
-def link_sets(docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
+def bit_sketch(s: np.ndarray) -> np.ndarray:
+    """A parity sketch in words of 64 bits, about twelve bits for each shingle.
+
+    The number of words is a power of two, so a longer sketch folds to a shorter one.
+    """
+    words = 1 << max(0, int(len(s) / 6).bit_length() - 1)
+    counts = np.bincount((s >> np.uint64(20)).astype(np.int64) & (64 * words - 1), minlength=64 * words)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view("<u8")
+
+
+def folded(sketches: np.ndarray, words: int) -> np.ndarray:
+    while sketches.shape[1] > words:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
+
+
+def _may_link(percent: int):
+    """Whether sketches of one length differ in no more bits than a linked pair's sets
+    may; those of unlike length are left to the verification."""
+    bits = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda x, y: x + y)
+    most = (100 - percent) * (F.col("n_shingles") + F.col("n_rep")) / (100 + percent)
+    return (F.size("sketch_a") != F.size("sketch_b")) | (bits <= most)
+
+
+def _close(percent: int, group: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of different components in a word's group (or two blocks of it) whose
+    sketches differ in no more bits than a linked pair's sets may."""
+    n = group["n_shingles"].to_numpy()
+    component, side, ids = group["component"].to_numpy(), group["side"].to_numpy(), group["set_id"].to_numpy()
+    blocks = len(np.unique(side)) > 1
+    raw = [np.asarray(x, dtype=np.int64).view("<u8") for x in group["sketch"]]
+    lengths = np.array([len(x) for x in raw])
+    by_length = {w: (np.flatnonzero(lengths >= w), folded_all(raw, lengths, w)) for w in np.unique(lengths)}
+    values, counts = np.unique(component, return_counts=True)
+    # every pair has a member outside the largest component
+    few = np.flatnonzero(component != values[counts.argmax()])
+    out = []
+    for w, (rows, sketches) in by_length.items():
+        at = {int(r): k for k, r in enumerate(rows)}
+        for i in few:
+            if int(i) not in at:
+                continue
+            other = component[rows] != component[i]
+            # compared at the shorter one's length
+            other &= (lengths[rows] == w) | (lengths[i] == w)
+            other &= (rows > i) | ~np.isin(rows, few, assume_unique=True)
+            if blocks:
+                other &= side[rows] != side[i]
+            to = np.flatnonzero(other)
+            if not len(to):
+                continue
+            most = (100 - percent) * (n[i] + n[rows[to]]) // (100 + percent)
+            bits = np.bitwise_count(sketches[to] ^ sketches[at[int(i)]]).sum(axis=1)
+            near = rows[to[bits <= most]]
+            out.append(np.stack([np.minimum(ids[i], ids[near]), np.maximum(ids[i], ids[near])], axis=1))
+    pairs = np.concatenate(out) if out else np.empty((0, 2), dtype=np.int64)
+    return pd.DataFrame(pairs, columns=["a", "b"])
+
+
+def folded_all(raw: list[np.ndarray], lengths: np.ndarray, words: int) -> np.ndarray:
+    """The sketches of at least ``words`` words, folded to that many, in order."""
+    out = np.zeros((int((lengths >= words).sum()), words), dtype=np.uint64)
+    where = np.flatnonzero(lengths >= words)
+    for w in np.unique(lengths[where]):
+        own = np.flatnonzero(lengths[where] == w)
+        out[own] = folded(np.stack([raw[where[k]] for k in own]), words)
+    return out
+
+
+def link_sets(docs: DataFrame, sets: DataFrame, packed: DataFrame, n: int, percent: int) -> DataFrame:
     """(node, component) of the sets that link with a different one.
 
-    ``docs``: doc_id, text. ``sets``: set_id, n_shingles, copies, doc_id (of one document).
+    ``docs``: doc_id, text. ``sets``: set_id, n_shingles, copies, doc_id (of one
+    document). ``packed``: part, sets, words.
     """
-    spark = docs.sparkSession
-    size = sets.agg(F.sum("n_shingles")).first()[0] or 0
-    classes = max(shuffle_partitions(spark), int(0.3 * size / CLASS) + 1)
-    packed = docs.select("text").mapInPandas(lambda b: _deal(n, percent, classes, b), "part int, sets binary, words binary")
     met = stored(packed.groupBy("part").applyInPandas(_meet, "word long, set_id long"), "jaccard-met")
 
     # the sets that met another, from one document of each
-    wanted = sets.join(met.select("set_id").distinct(), "set_id").select("doc_id", "set_id", "n_shingles")
-    wanted = stored(wanted, "jaccard-wanted")
+    wanted = stored(sets.join(met.select("set_id").distinct(), "set_id").select("doc_id", "set_id", "n_shingles"), "jaccard-wanted")
 
     def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            got = [(own, s.view(np.int64)) for t, own in zip(batch["text"], batch["set_id"], strict=True) if signature(s := shingles(t, n)) == own]
-            yield pd.DataFrame(got, columns=["set_id", "items"])
+            got = [(own, s.view(np.int64), bit_sketch(s).view(np.int64)) for t, own in zip(batch["text"], batch["set_id"], strict=True) if signature(s := shingles(t, n)) == own]
+            yield pd.DataFrame(got, columns=["set_id", "items", "sketch"])
 
     near = may_hold(docs, "doc_id", membership(wanted, "doc_id"), "near").filter("near")
-    items = stored(near.select("doc_id", "text").join(wanted.select("doc_id", "set_id"), "doc_id").mapInPandas(compute, "set_id long, items array<long>").dropDuplicates(["set_id"]), "jaccard-items")
-
-    sized = met.join(wanted.select("set_id", "n_shingles"), "set_id")
-    state = stored(sized.withColumn("component", F.col("set_id")), "jaccard-state")
+    items = stored(near.select("doc_id", "text").join(wanted.select("doc_id", "set_id"), "doc_id").mapInPandas(compute, "set_id long, items array<long>, sketch array<long>").dropDuplicates(["set_id"]), "jaccard-items")
+    state = stored(met.join(wanted.select("set_id", "n_shingles"), "set_id").withColumn("component", F.col("set_id")), "jaccard-state")
     links, tested = None, None
-    a, b = items.select(F.col("set_id").alias("a"), F.col("items").alias("items_a")), items.select(F.col("set_id").alias("b"), F.col("items").alias("items_b"))
+    sketches = items.select("set_id", "sketch")
+    a, b = (items.select(F.col("set_id").alias(c), F.col("items").alias(f"items_{c}")) for c in "ab")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """``pairs`` (a, b) with linked."""
@@ -192,36 +261,34 @@ def link_sets(docs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFra
         union = F.size("items_a") + F.size("items_b") - both
         return pairs.join(a, "a").join(b, "b").select("a", "b", (both * 100 >= union * percent).alias("linked"))
 
-    for turn in range(TURNS):
-        per = state.groupBy("word").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.min_by("set_id", F.xxhash64("set_id", F.lit(turn))).alias("rep"))
+    for turn in range(TURNS + 1):
+        last = turn == TURNS
+        of_word = F.xxhash64("set_id", "word", F.lit(turn))
+        per = state.groupBy("word").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.min_by("set_id", of_word).alias("rep"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
         # words whose sets are all connected have nothing more to say
-        open_words = per.filter("least < most").select("word", "rep")
-        open_state = stored(state.join(open_words, "word"), f"jaccard-open-{turn}")
-        rows = open_state.count()
-        if not rows:
-            break
-        each = open_state.groupBy("word", "component").agg(F.count("*").alias("n")).groupBy("word").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"))
-        left = each.agg(F.sum("pairs")).first()[0]
-        one = open_state.select("word", F.col("set_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("component").alias("c_a"))
-        last = left <= 4 * rows or turn == TURNS - 1  # then every pair that is left
+        open_words = per.filter("least < most").select("word", "rep", "blocks")
         if last:
-            two = open_state.select("word", F.col("set_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("component").alias("c_b"))
-            pairs = one.join(two, "word").filter("a < b")
+            rows = state.join(open_words, "word").join(sketches, "set_id").withColumn("side", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+            rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("one", F.least("side", "other")).withColumn("two", F.greatest("side", "other"))
+            pairs = rows.select("word", "one", "two", "side", "set_id", "component", "n_shingles", "sketch").groupBy("word", "one", "two").applyInPandas(lambda g: _close(percent, g), "a long, b long").distinct()
         else:
-            rep = open_state.filter("set_id = rep").select("word", F.col("set_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("component").alias("c_b"))
-            pairs = one.join(rep, "word")
-        pairs = pairs.filter("c_a <> c_b").filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            # each word's sets against one of them, another one for another word
+            open_state = state.join(open_words, "word")
+            rep = state.select("word", F.col("set_id").alias("rep"), F.col("n_shingles").alias("n_rep"), F.col("component").alias("c_rep"))
+            some = open_state.join(rep, ["word", "rep"]).filter("component <> c_rep").filter(F.least("n_shingles", "n_rep") * 100 >= F.greatest("n_shingles", "n_rep") * percent)
+            both = some.select(F.least("set_id", "rep").alias("a"), F.greatest("set_id", "rep").alias("b"), "n_shingles", "n_rep").distinct()
+            one, two = (sketches.select(F.col("set_id").alias(c), F.col("sketch").alias(f"sketch_{c}")) for c in "ab")
+            pairs = both.join(one, "a").join(two, "b").filter(_may_link(percent)).select("a", "b")
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         done = stored(verified(pairs), f"jaccard-verified-{turn}")
         tested = done.select("a", "b") if tested is None else tested.union(done.select("a", "b"))
         found = done.filter("linked").select("a", "b")
         links = found if links is None else links.union(found)
-        if last:
-            break
-        now = components(links)
-        state = stored(open_state.drop("component", "rep").join(now.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id")), f"jaccard-state-{turn}")
-    return components(links) if links is not None else spark.createDataFrame([], "node long, component long")
+        if not last:
+            now = components(links).withColumnRenamed("node", "set_id")
+            state = stored(state.drop("component").join(now, "set_id", "left").withColumn("component", F.coalesce("component", "set_id")), f"jaccard-state-{turn}")
+    return components(links)
 
 
 def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -235,9 +302,13 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
     are told apart by 64 bits of hash, links are verified on 64-bit shingles.
     """
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    every = stored(text.mapInPandas(lambda b: _sets(n, b), "doc_id long, n_shingles long, set_id long"), "jaccard-documents")
+    letters = text.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # about six bytes to a word, and 0.3 sketch words
+    classes = max(shuffle_partitions(docs.sparkSession), int(letters / 6 * 0.3 / CLASS) + 1)
+    scanned = stored(text.mapInPandas(lambda b: _scan(n, percent, classes, b), SCANNED), "jaccard-scanned")
+    every = scanned.filter("part is null").select("doc_id", "n_shingles", "set_id")
     sets = stored(every.filter("n_shingles > 0").groupBy("set_id").agg(F.max("n_shingles").alias("n_shingles"), F.count("*").alias("copies"), F.min("doc_id").alias("doc_id")), "jaccard-sets")
-    linked = link_sets(text, sets, n, percent).withColumnRenamed("node", "set_id")
+    linked = link_sets(text, sets, scanned.filter("part is not null").select("part", "sets", "words"), n, percent).withColumnRenamed("node", "set_id")
     of_set = sets.join(linked, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     least = of_set.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     table = stored(of_set.join(least, "component").filter("copies > 1 or component_id <> doc_id").select("set_id", "copies", "component_id"), "jaccard-components")

@@ -15,8 +15,6 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LinearSVC
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -93,6 +91,8 @@ class Model:
 
 
 def _vote(sample: DataFrame, column: str, classes: list[str]) -> Vote:
+    from pyspark.ml.classification import LinearSVC  # the tasks that predict do without
+
     weights, bias = [], []
     for one, two in combinations(classes, 2):
         rows = sample.filter(F.col(column).isin(one, two)).select("x", (F.col(column) == one).cast("double").alias("y"))
@@ -113,6 +113,8 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
     Each language gives about ``sample`` rows, chosen by a hash of ``order``:
     the only bound in this module. A language that has fewer gives all.
     """
+    from pyspark.ml.functions import array_to_vector
+
     rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     share = rows.groupBy("lang").count().select("lang", (F.lit(float(sample)) / F.col("count")).alias("share"))
     position = F.pmod(F.xxhash64("order"), F.lit(1 << 30)) / float(1 << 30)

@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ from sedge.llm import jaccard_join
 
 def brute(rows, n, percent):
     def shingle(t):
-        w = (t or "").translate(jaccard_join._LOWER).encode().split()
+        w = re.sub("[A-Z]", lambda m: m.group().lower(), t or "").encode().split()
         return frozenset([tuple(w)] if 0 < len(w) < n else [tuple(w[i : i + n]) for i in range(len(w) - n + 1)])
 
     sets = [shingle(r[1]) for r in rows]
