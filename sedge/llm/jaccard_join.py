@@ -3,15 +3,16 @@
 A document's set of shingles is folded into a bit sketch: each shingle toggles
 one bit, so the Hamming distance of two sketches is at most the size of the sets'
 symmetric difference. Within a band of set sizes that difference is at most D for
-a linked pair; the sketch has more than D words, so at least one word agrees
-(pigeonhole), and documents meet on equal words. Words are so wide that shingles
-don't collide: with 64 bits the many words of one shingle would meet by chance.
-What meets is verified on the sets themselves.
+a linked pair; the sketch has k > D words, so k - D of them agree (pigeonhole), and
+documents meet on equal words. A set that shares fewer words with all others together
+links with nothing; of any other its k - D - 1 most frequent words can be left out.
+Words are so wide that shingles don't collide: with 64 bits the many words of one
+shingle would meet by chance. What meets is verified on the sets themselves.
 
 Equal sets are one node from the start. Within a group that shares a word not all
 pairs are made: in two rounds each set meets one member of every word's group, which
 connects most of it. Then sets of different components are compared by sketches with
-a bit for a shingle, in blocks of bounded size inside tasks; only pairs whose Hamming
+a bit for a shingle, those of large groups in blocks of bounded size inside tasks; only pairs whose Hamming
 distance allows a link leave the task and are verified. So the output is a component
 for each document, and no link between components is missed.
 """
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedge.llm.hashing import may_hold, membership, mixed, windows, word_hashes
@@ -32,11 +33,11 @@ from sedge.llm.shared import components, looked_up, shuffle_partitions, stored
 BAND = 1.5
 #: Sketch words that a task holds before it passes them on, and in a class.
 FLUSH, CLASS = 1_000_000, 1_000_000
-#: Bytes of a word's hash that travel; the class adds some bits.
-WIDTH = 5
+#: Bytes of a word's hash that travel, three bits of them for the band; the class adds some.
+WIDTH, TAGS = 5, 8
 #: Rounds of links to one member of each word before all that is left is compared,
-#: and rows of a group that are compared at once.
-TURNS, BLOCK = 2, 1024
+#: rows of a group that are compared at once, and those of a small group.
+TURNS, BLOCK, SMALL = 2, 1024, 8
 #: Documents whose words a task passes on once only while it remembers them.
 SEEN = 200_000
 
@@ -81,33 +82,42 @@ class Bands:
         j = int(np.searchsorted(self.edges, n, side="right")) - 1
         return [i for i in range(j + 1) if i == j or 100 * (self.edges[i + 1] - 1) >= self.percent * n]
 
-    def words(self, s: np.ndarray, band: int) -> np.ndarray:
-        """Hashes of the sketch words on which a partner in the band can be met.
+    def words(self, s: np.ndarray, band: int) -> tuple[np.ndarray, int]:
+        """Hashes of the sketch words on which a partner in the band can be met, and
+        how many of them every partner shares at least.
 
         Of k words at least k - D agree. Empty words say little; they are left out
         unless there are so many that all that agree might be empty.
         """
         d = self.most(self.edges[band + 1])
-        k = d + 3 + d // 25
-        part = (s % np.uint64(k)).astype(np.int64)
+        k = d + 3 + d // 4
+        part = (s % np.uint64(k)).astype(np.uint16 if k < 1 << 16 else np.int64)
         order = np.argsort(part, kind="stable")
-        starts = np.flatnonzero(np.r_[True, np.diff(part[order]) > 0])
-        some = part[order][starts]
+        starts = np.flatnonzero(np.r_[True, part[order][1:] != part[order][:-1]])
+        some = part[order][starts].astype(np.int64)
         # a word has 2**64 bits, nearly all unset; the XOR of its set bits' hashes stands for it
         sketch = np.bitwise_xor.reduceat(mixed(s[order]), starts)
-        if k - len(some) >= k - d:
+        needed = len(some) - d
+        if needed < 1:
             full = np.zeros(k, dtype=np.uint64)
             full[some] = sketch
-            some, sketch = np.arange(k), full
+            some, sketch, needed = np.arange(k), full, 1  # a partner may leave its own empty ones out
         with np.errstate(over="ignore"):
-            return mixed(mixed(sketch) + mixed(some.astype(np.uint64) * np.uint64(1 << 20) + np.uint64(band + 1)))
+            hashes = mixed(mixed(sketch) + mixed(some.astype(np.uint64) * np.uint64(1 << 20) + np.uint64(band + 1)))
+        at = np.uint64(64 - 8 * WIDTH)  # the lowest bits that travel
+        return hashes & ~(np.uint64(TAGS - 1) << at) | np.uint64(band % TAGS) << at, needed
 
 
-SCANNED = "doc_id long, n_shingles long, set_id long, part int, sets binary, words binary"
+SCANNED = "doc_id long, n_shingles long, set_id long, needed array<int>, part int, sets binary, words binary"
+FIELDS = ["doc_id", "n_shingles", "set_id", "needed", "part", "sets", "words"]
 
 
 def _scan(n: int, percent: int, classes: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A row for each document, and packed sketch words: a row for each flush and class."""
+    """A row for each document, and packed sketch words: a row for each flush and class.
+
+    needed: for each band's tag how many words a partner in it shares, on the row of
+    the document that gave the words.
+    """
     bands, seen = Bands(percent), set()
     ids: list[np.ndarray] = []
     words: list[np.ndarray] = []
@@ -119,26 +129,28 @@ def _scan(n: int, percent: int, classes: int, batches: Iterator[pd.DataFrame]) -
         order = np.argsort(part, kind="stable")
         ends = np.searchsorted(part[order], np.arange(classes + 1))
         tops = (hashes >> np.uint64(64 - 8 * WIDTH)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH]
-        rows = [(None, None, None, c, owner[at].tobytes(), tops[at].tobytes()) for c in range(classes) if len(at := order[ends[c] : ends[c + 1]])]
-        return pd.DataFrame(rows, columns=["doc_id", "n_shingles", "set_id", "part", "sets", "words"])
+        rows = [(None, None, None, None, c, owner[at].tobytes(), tops[at].tobytes()) for c in range(classes) if len(at := order[ends[c] : ends[c + 1]])]
+        return pd.DataFrame(rows, columns=FIELDS)
 
     for batch in batches:
-        sizes, own = [], []
+        sizes, own, needed = [], [], []
         for text in batch["text"]:
             s = shingles(text, n)
             sizes.append(len(s))
             own.append(signature(s))
+            needed.append(None)
             if len(s) < bands.edges[0] or own[-1] in seen:
                 continue
             if len(seen) >= SEEN:
                 seen.clear()
             seen.add(own[-1])
+            needed[-1] = [0] * TAGS
             for band in bands.of(len(s)):
-                w = bands.words(s, band)
+                w, needed[-1][band % TAGS] = bands.words(s, band)
                 ids.append(np.full(len(w), own[-1], dtype=np.int64))
                 words.append(w)
                 held += len(w)
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": sizes, "set_id": own, "part": None, "sets": None, "words": None})
+        yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": sizes, "set_id": own, "needed": needed, "part": None, "sets": None, "words": None})
         if held >= FLUSH:
             yield flush()
             ids, words, held = [], [], 0
@@ -147,7 +159,7 @@ def _scan(n: int, percent: int, classes: int, batches: Iterator[pd.DataFrame]) -
 
 
 def _meet(group: pd.DataFrame) -> pd.DataFrame:
-    """(word, set_id) for the words of a class that two or more sets share."""
+    """(word, tag, sharing, set_id) for the words of a class that ``sharing`` > 1 sets share."""
     raw = [np.frombuffer(w, np.uint8).reshape(-1, WIDTH) for w in group["words"]]
     words = np.zeros((sum(map(len, raw)), 8), dtype=np.uint8)
     words[:, :WIDTH] = np.concatenate(raw)
@@ -158,8 +170,10 @@ def _meet(group: pd.DataFrame) -> pd.DataFrame:
     new = np.r_[True, (words[1:] != words[:-1]) | (sets[1:] != sets[:-1])]
     words, sets = words[new], sets[new]
     run = np.cumsum(np.r_[False, words[1:] != words[:-1]])
-    some = np.bincount(run)[run] > 1
-    return pd.DataFrame({"word": words[some].astype(np.int64) << 16 | np.int64(group["part"].iloc[0] % (1 << 16)), "set_id": sets[some]})
+    sharing = np.bincount(run)[run]
+    some = sharing > 1
+    words = words[some].astype(np.int64)
+    return pd.DataFrame({"word": words << 16 | np.int64(group["part"].iloc[0] % (1 << 16)), "tag": words % TAGS, "sharing": sharing[some], "set_id": sets[some]})
 
 
 def bit_sketch(s: np.ndarray) -> np.ndarray:
@@ -235,10 +249,19 @@ def folded_all(raw: list[np.ndarray], lengths: np.ndarray, words: int) -> np.nda
 def link_sets(docs: DataFrame, sets: DataFrame, packed: DataFrame, n: int, percent: int) -> DataFrame:
     """(node, component) of the sets that link with a different one.
 
-    ``docs``: doc_id, text. ``sets``: set_id, n_shingles, copies, doc_id (of one
-    document). ``packed``: part, sets, words.
+    ``docs``: doc_id, text. ``sets``: set_id, n_shingles, needed, copies, doc_id (of
+    one document). ``packed``: part, sets, words.
     """
-    met = stored(packed.groupBy("part").applyInPandas(_meet, "word long, set_id long"), "jaccard-met")
+    shared = stored(packed.groupBy("part").applyInPandas(_meet, "word long, tag int, sharing long, set_id long"), "jaccard-shared")
+    # a set has a few words for each shingle, so these windows are no longer than a text
+    of_band = Window.partitionBy("set_id", "tag")
+    common_first = of_band.orderBy(F.col("sharing").desc(), F.col("word").desc())
+    counted = shared.withColumn("all", F.count("*").over(of_band)).withColumn("nth", F.row_number().over(common_first)).join(sets.select("set_id", "needed"), "set_id")
+    at_least = F.element_at("needed", F.col("tag") + 1)
+    # a partner shares at_least words, so one of those that stay
+    rare = stored(counted.filter((F.col("all") >= at_least) & (F.col("nth") >= at_least)).select("word", "set_id"), "jaccard-rare")
+    several = rare.groupBy("word").count().filter("count > 1").select("word")
+    met = stored(rare.join(several, "word"), "jaccard-met")
 
     # the sets that met another, from one document of each
     wanted = stored(sets.join(met.select("set_id").distinct(), "set_id").select("doc_id", "set_id", "n_shingles"), "jaccard-wanted")
@@ -255,6 +278,12 @@ def link_sets(docs: DataFrame, sets: DataFrame, packed: DataFrame, n: int, perce
     sketches = items.select("set_id", "sketch")
     a, b = (items.select(F.col("set_id").alias(c), F.col("items").alias(f"items_{c}")) for c in "ab")
 
+    may_by_size = F.least("n_shingles", "n_rep") * 100 >= F.greatest("n_shingles", "n_rep") * percent
+    one, two = (sketches.select(F.col("set_id").alias(c), F.col("sketch").alias(f"sketch_{c}")) for c in "ab")
+
+    def near_by_sketch(both: DataFrame) -> DataFrame:
+        return both.join(one, "a").join(two, "b").filter(_may_link(percent)).select("a", "b")
+
     def verified(pairs: DataFrame) -> DataFrame:
         """``pairs`` (a, b) with linked."""
         both = F.size(F.array_intersect("items_a", "items_b"))
@@ -264,21 +293,24 @@ def link_sets(docs: DataFrame, sets: DataFrame, packed: DataFrame, n: int, perce
     for turn in range(TURNS + 1):
         last = turn == TURNS
         of_word = F.xxhash64("set_id", "word", F.lit(turn))
-        per = state.groupBy("word").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.min_by("set_id", of_word).alias("rep"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        per = state.groupBy("word").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.min_by("set_id", of_word).alias("rep"), F.count("*").alias("members"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
         # words whose sets are all connected have nothing more to say
-        open_words = per.filter("least < most").select("word", "rep", "blocks")
+        open_words = per.filter("least < most").select("word", "rep", "members", "blocks")
         if last:
-            rows = state.join(open_words, "word").join(sketches, "set_id").withColumn("side", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+            small = state.join(per.filter(f"least < most and members <= {SMALL}").select("word"), "word").select("word", "set_id", "component", "n_shingles")
+            other = small.select("word", F.col("set_id").alias("b"), F.col("component").alias("c_rep"), F.col("n_shingles").alias("n_rep"))
+            both = small.withColumnRenamed("set_id", "a").join(other, "word").filter("a < b and component <> c_rep").filter(may_by_size).select("a", "b", "n_shingles", "n_rep").distinct()
+            rows = state.join(open_words.filter(f"members > {SMALL}"), "word").join(sketches, "set_id").withColumn("side", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
             rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("one", F.least("side", "other")).withColumn("two", F.greatest("side", "other"))
-            pairs = rows.select("word", "one", "two", "side", "set_id", "component", "n_shingles", "sketch").groupBy("word", "one", "two").applyInPandas(lambda g: _close(percent, g), "a long, b long").distinct()
+            large = rows.select("word", "one", "two", "side", "set_id", "component", "n_shingles", "sketch").groupBy("word", "one", "two").applyInPandas(lambda g: _close(percent, g), "a long, b long")
+            pairs = near_by_sketch(both).union(large).distinct()
         else:
             # each word's sets against one of them, another one for another word
             open_state = state.join(open_words, "word")
             rep = state.select("word", F.col("set_id").alias("rep"), F.col("n_shingles").alias("n_rep"), F.col("component").alias("c_rep"))
-            some = open_state.join(rep, ["word", "rep"]).filter("component <> c_rep").filter(F.least("n_shingles", "n_rep") * 100 >= F.greatest("n_shingles", "n_rep") * percent)
+            some = open_state.join(rep, ["word", "rep"]).filter("component <> c_rep").filter(may_by_size)
             both = some.select(F.least("set_id", "rep").alias("a"), F.greatest("set_id", "rep").alias("b"), "n_shingles", "n_rep").distinct()
-            one, two = (sketches.select(F.col("set_id").alias(c), F.col("sketch").alias(f"sketch_{c}")) for c in "ab")
-            pairs = both.join(one, "a").join(two, "b").filter(_may_link(percent)).select("a", "b")
+            pairs = near_by_sketch(both)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         done = stored(verified(pairs), f"jaccard-verified-{turn}")
@@ -306,10 +338,10 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
     # about six bytes to a word, and 0.3 sketch words
     classes = max(shuffle_partitions(docs.sparkSession), int(letters / 6 * 0.3 / CLASS) + 1)
     scanned = stored(text.mapInPandas(lambda b: _scan(n, percent, classes, b), SCANNED), "jaccard-scanned")
-    every = scanned.filter("part is null").select("doc_id", "n_shingles", "set_id")
-    sets = stored(every.filter("n_shingles > 0").groupBy("set_id").agg(F.max("n_shingles").alias("n_shingles"), F.count("*").alias("copies"), F.min("doc_id").alias("doc_id")), "jaccard-sets")
+    every = scanned.filter("part is null").select("doc_id", "n_shingles", "set_id", "needed")
+    sets = stored(every.filter("n_shingles > 0").groupBy("set_id").agg(F.max("n_shingles").alias("n_shingles"), F.max("needed").alias("needed"), F.count("*").alias("copies"), F.min("doc_id").alias("doc_id")), "jaccard-sets")
     linked = link_sets(text, sets, scanned.filter("part is not null").select("part", "sets", "words"), n, percent).withColumnRenamed("node", "set_id")
     of_set = sets.join(linked, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     least = of_set.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     table = stored(of_set.join(least, "component").filter("copies > 1 or component_id <> doc_id").select("set_id", "copies", "component_id"), "jaccard-components")
-    return looked_up(every, table, ["set_id"], "copies").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return looked_up(every.drop("needed"), table, ["set_id"], "copies").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
