@@ -95,7 +95,7 @@ def by_document(packed: DataFrame, width: int, chosen: Callable[[np.ndarray, np.
         packer = Packer(classes, 1)
         docs, positions = docs[order], positions[order]
         starts = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]]) if len(docs) else np.empty(0, int)
-        for a, b in zip(starts, np.r_[starts[1:], len(docs)], strict=True):
+        for a, b in zip(starts, np.r_[starts, len(docs)][1:], strict=True):
             # dealt by document: each of its positions has the document as its hash
             packer.add(int(docs[a]), positions[a:b], np.full(b - a, docs[a]).astype(np.int64).view(np.uint64))
         return packer.flush()
