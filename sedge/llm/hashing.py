@@ -34,6 +34,45 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_known.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
+_SPACES = np.zeros(256, dtype=bool)
+_SPACES[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes of a text that are hashed at once.
+SLICE = 1 << 18
+
+
+def text_hashes(text: bytes) -> np.ndarray:
+    """A 64-bit hash for each word of ``text``, in order, without making the words.
+
+    A word's hash is that of its bytes as a polynomial; slices end between words, so
+    memory is bounded unless a single word is longer than a slice.
+    """
+    if len(text) <= SLICE:
+        return _sliced(text)
+    out, at = [], 0
+    while at < len(text):
+        end = at + SLICE
+        while end < len(text) and not _SPACES[text[end]]:
+            end += 1
+        out.append(_sliced(text[at:end]))
+        at = end
+    return np.concatenate(out)
+
+
+def _sliced(text: bytes) -> np.ndarray:
+    b = np.frombuffer(text, dtype=np.uint8)
+    inside = np.zeros(len(b) + 2, dtype=bool)
+    np.logical_not(_SPACES[b], out=inside[1:-1])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    if not len(starts):
+        return np.empty(0, dtype=np.uint64)
+    up, down = powers(len(b) + 1)
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(b) + 1, dtype=np.uint64)
+        np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)], out=sums[1:])
+        return mixed((sums[ends] - sums[starts]) * down[starts] ^ (ends - starts).astype(np.uint64) << np.uint64(56))
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

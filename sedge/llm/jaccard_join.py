@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedge.llm.hashing import may_hold, membership, mixed, windows, word_hashes
+from sedge.llm.hashing import may_hold, membership, mixed, text_hashes, windows
 from sedge.llm.shared import components, looked_up, shuffle_partitions, stored
 
 #: Sizes of a band span this factor.
@@ -45,12 +45,12 @@ SEEN = 200_000
 def shingles(text: str | None, n: int) -> np.ndarray:
     """Distinct hashed shingles of ``n`` words, A-Z lower-cased; of a shorter text
     its whole sequence as one."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []  # of bytes, lower() changes A-Z only
-    if not words:
+    words = text_hashes(text.encode("utf-8", "surrogatepass").lower()) if text else []  # of bytes, lower() changes A-Z only
+    if not len(words):
         return np.empty(0, dtype=np.uint64)
     if len(words) < n:
-        return mixed(windows(word_hashes(words), len(words)) + np.uint64(len(words)))
-    return np.unique(windows(word_hashes(words), n))
+        return mixed(windows(words, len(words)) + np.uint64(len(words)))
+    return np.unique(windows(words, n))
 
 
 def signature(s: np.ndarray) -> int:

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedge.llm.hashing import may_hold, membership, windows, word_hashes, words_of
+from sedge.llm.hashing import may_hold, membership, text_hashes, windows, words_of
 from sedge.llm.shared import shuffle_partitions, stored
 
 #: Rolling blocks that a task holds before it passes them on, and in a class.
@@ -143,7 +143,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
         packer = Packer(classes, 4)
         for batch in batches:
             for key, own in zip(batch["key"].tolist(), batch["text"], strict=True):
-                hashes = windows(word_hashes(words_of(own)), block)
+                hashes = windows(text_hashes(own.encode("utf-8", "surrogatepass")), block)
                 if len(hashes) >= block:  # else the document has no window
                     packer.add(key, np.arange(len(hashes)), hashes)
                 if packer.held >= FLUSH:
@@ -162,9 +162,9 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
         packer = Packer(classes, 7)
         for batch in batches:
             for key, own, at in zip(batch["key"].tolist(), batch["text"], batch["blocks"], strict=True):
-                words = words_of(own)
+                words = text_hashes(own.encode("utf-8", "surrogatepass"))
                 starts = candidates(len(words), at, window, block)
-                packer.add(key, starts, windows(word_hashes(words), window)[starts])
+                packer.add(key, starts, windows(words, window)[starts])
                 if packer.held >= FLUSH:
                     yield packer.flush()
         yield packer.flush()

@@ -65,3 +65,25 @@ def test_packing_of_positions_round_trips():
         d, at, h = substring_dedup.unpacked(row, 7)
         got |= set(zip(d.tolist(), at.tolist(), h.tolist(), strict=True))
     assert got == {(k, i, int(x) >> 8) for k, h in given.items() for i, x in enumerate(h)}
+
+
+def test_word_hashes_of_bytes():
+    """Equal words have equal hashes and others don't, whatever parts them and wherever they stand."""
+    rng = random.Random(8)
+    words = [prose(rng, 1).encode() for _ in range(5000)] + ["é\x1c".encode(), b"\x00", b"\x00\x00", b"x" * (hashing.SLICE + 5), b"a"]
+    text = b" \t" + b"".join(w + rng.choice([b" ", b"\n", b"\r\n", b"\x0b\x0c"]) for _ in range(30) for w in words)
+    assert len(text) > 3 * hashing.SLICE
+    known = {}
+    got = hashing.text_hashes(text).tolist()
+    assert len(got) == len(text.split())
+    for w, h in zip(text.split(), got, strict=True):
+        assert known.setdefault(w, h) == h
+    assert len(set(known.values())) == len(known)
+    assert len(hashing.text_hashes(b"")) == len(hashing.text_hashes(b" \n ")) == 0
+
+
+def test_classes_without_repeats(spark):
+    """More classes than windows that stay: those that mark nothing are passed over."""
+    rows = [(i, "one two three four five six seven") for i in range(3)] + [(9, "a b c d e f g h")]
+    got = {r.doc_id: r.n_removed for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()}
+    assert got == {0: 7, 1: 7, 2: 7, 9: 0}
