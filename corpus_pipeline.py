@@ -33,10 +33,11 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that stand earlier in the corpus, equal or but for a word.
 
+    Every line that isn't blank is judged, one of a single word too.
     A document goes if it lost lines and none of ``SHORTEST`` words or more is left.
     """
     ship(spark)
-    rows = line_dedup.dedup_lines(docs.select(*COLUMNS))
+    rows = line_dedup.dedup_lines(docs.select(*COLUMNS), every=True)
     line = rf"(?m)^[{SPACE}]*[^{SPACE}]+(?:[\x20\x09\x0B-\x0D]+[^{SPACE}]+){{{line_dedup.SHORTEST - 1}}}"
     changed = F.col("lines_gone") > 0
     return rows.filter(~changed | F.col("text").rlike(line)).withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)

@@ -19,18 +19,26 @@ from pyspark.sql import functions as F
 from sedge.llm.hashing import may_hold, membership
 from sedge.llm.shared import SPACE, looked_up, stored
 
-#: Lines with fewer words are never judged; those with fewer than FUZZY only for equality.
+#: Lines with fewer words are judged only if asked for; those with fewer than FUZZY only for equality.
 SHORTEST, FUZZY = 3, 8
+#: A character of a script that is written without spaces.
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
+def lines_of(docs: DataFrame, every: bool = False) -> DataFrame:
     """doc_id, line_no, norm, n for each line of ``SHORTEST`` words or more.
 
-    norm: lower case, words joined by one space. ``docs``: doc_id, text.
+    norm: lower case, words joined by one space. ``docs``: doc_id, text. With
+    ``every``, each line that isn't blank, and each character of a script without
+    spaces is a word.
     """
     each = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    norm = F.trim(F.regexp_replace(F.lower("line"), f"[{SPACE}]+", " "))
-    return each.select("doc_id", "line_no", norm.alias("norm")).withColumn("n", F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1).filter(F.col("n") >= SHORTEST)
+    line = F.lower("line")
+    if every:
+        line = F.when(line.rlike(UNSPACED), F.regexp_replace(line, f"({UNSPACED})", " $1 ")).otherwise(line)
+    norm = F.trim(F.regexp_replace(line, f"[{SPACE}]+", " "))
+    counted = each.select("doc_id", "line_no", norm.alias("norm")).withColumn("n", F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1)
+    return counted.filter(F.col("norm") != "" if every else F.col("n") >= SHORTEST)
 
 
 def half(tag: str, side: str) -> Column:
@@ -88,23 +96,24 @@ def within_one(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), replaced).when(F.size(a) == F.size(b) + 1, longer(a, b)).when(F.size(b) == F.size(a) + 1, longer(b, a)).otherwise(False)
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: bool = False) -> DataFrame:
     """The lines that go: doc_id, line_no, of_doc_id, of_line_no, edits.
 
     Lines are what newlines part, numbered from 0; their order is (doc_id, line_no).
     A line goes if an earlier one equals it, apart from white space and case, or has
     ``FUZZY`` words or more, as it has itself, and differs by one word; ``of`` is the
     earliest such line and edits says which of the two it is. Lines of under
-    ``SHORTEST`` words stay. Null and empty texts have no lines. Rows that repeat a
+    ``SHORTEST`` words stay, unless ``every`` line is to be judged: then blank lines
+    alone stay, and characters of scripts without spaces count as words. Null and empty texts have no lines. Rows that repeat a
     doc_id count as the same lines. Empty tables give empty results; other columns
     are ignored. Lines are told apart by 96 bits of hash.
     """
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     here = F.struct("doc_id", "line_no")
-    lines = lines_of(text)
+    lines = lines_of(text, every)
     keys = F.array(half("n", "a"), half("n", "b"), half("n - 1", "a"), half("n - 1", "b"))
-    every = stored(lines.select("doc_id", "line_no", "n", F.xxhash64("norm").alias("line"), F.hash("norm").alias("line2"), F.when(F.col("n") >= FUZZY, keys).alias("keys")), "lines-every")
-    distinct = stored(every.groupBy("line", "line2").agg(F.min(here).alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys")), "lines-distinct")
+    stood = stored(lines.select("doc_id", "line_no", "n", F.xxhash64("norm").alias("line"), F.hash("norm").alias("line2"), F.when(F.col("n") >= FUZZY, keys).alias("keys")), "lines-every")
+    distinct = stored(stood.groupBy("line", "line2").agg(F.min(here).alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys")), "lines-distinct")
     chosen = stored(possible(distinct.filter(F.col("n") >= FUZZY)).join(distinct.select("line", "first"), "line"), "lines-possible")
 
     at = F.xxhash64("doc_id", "line_no")
@@ -125,16 +134,16 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     neighbours = true.select(later.alias("x")).select("x.line", "x.near").groupBy("line").agg(F.min("near").alias("near"))
 
     verdict = stored(distinct.select("line", "line2", "first", "copies").join(neighbours, "line", "left").filter("copies > 1 or near is not null"), "lines-verdict")
-    got = looked_up(every.select("doc_id", "line_no", "line", "line2"), verdict, ["line", "line2"], "copies").filter("first is not null")
+    got = looked_up(stood.select("doc_id", "line_no", "line", "line2"), verdict, ["line", "line2"], "copies").filter("first is not null")
     by_near = F.col("near").isNotNull() & (F.col("near") < F.col("first"))
     of = F.when(by_near, F.col("near")).otherwise(F.col("first"))
     return got.select("doc_id", "line_no", of.alias("of"), by_near.cast("int").alias("edits")).filter("not (of.doc_id <=> doc_id and of.line_no = line_no)").select("doc_id", "line_no", F.col("of.doc_id").alias("of_doc_id"), F.col("of.line_no").alias("of_line_no"), "edits")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: bool = False) -> DataFrame:
     """``docs`` without the lines of ``repeated_lines``, and ``lines_gone``, how many
     each lost. Other columns stay as they are; a text that loses nothing too."""
-    gone = stored(repeated_lines(docs, id_col, text_col).groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone")), "lines-gone")
+    gone = stored(repeated_lines(docs, id_col, text_col, every).groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone")), "lines-gone")
     flagged = may_hold(docs.withColumn("_key", F.col(id_col).cast("long")), "_key", membership(gone.withColumnRenamed("doc_id", "_key"), "_key"), "_near")
     touched = flagged.filter("_near").drop("_near").join(gone.withColumnRenamed("doc_id", "_key"), "_key", "left")
     kept = F.array_join(F.filter(F.split(text_col, "\n"), lambda _, i: ~F.array_contains("_gone", i)), "\n")

@@ -60,3 +60,12 @@ def test_matches_brute_force(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert line_dedup.repeated_lines(df).collect() == [] and line_dedup.dedup_lines(df).collect() == []
+
+
+def test_every_line_is_judged(spark):
+    long = "\u6211\u4eec\u4eca\u5929\u53bb\u5317\u4eac\u770b\u957f\u57ce"
+    rows = [(1, f"Home\n{long}\n\nsee also"), (2, f"home\n \n{long}\n  See  also"), (3, f"{long[:4]}\u4e0a{long[5:]}\n\nnew"), (4, f"{long[:7]}\n{long[:6]}\u4e0a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, line_dedup.repeated_lines(df, every=True).collect()))
+    assert got == [(2, 0, 1, 0, 0), (2, 2, 1, 1, 0), (2, 3, 1, 3, 0), (3, 0, 1, 1, 1)]
+    assert [r.text for r in line_dedup.dedup_lines(df, every=True).orderBy("doc_id").collect()] == [rows[0][1], " ", "\nnew", rows[3][1]]
