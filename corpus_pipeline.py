@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sedge.llm import jaccard_join, language_id, line_dedup, mixing, packing
 from sedge.llm.hashing import without
-from sedge.llm.shared import SPACE, ship, stored
+from sedge.llm.shared import WORD, ship, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: No stage but the packing can be said in SQL: a fitted classifier decides first.
@@ -34,13 +34,12 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """Documents without lines that stand earlier in the corpus, equal or but for a word.
 
     Every line that isn't blank is judged, one of a single word too.
-    A document goes if it lost lines and none of ``SHORTEST`` words or more is left.
+    A document goes if it lost lines and nothing but white space is left.
     """
     ship(spark)
     rows = line_dedup.dedup_lines(docs.select(*COLUMNS), every=True)
-    line = rf"(?m)^[{SPACE}]*[^{SPACE}]+(?:[\x20\x09\x0B-\x0D]+[^{SPACE}]+){{{line_dedup.SHORTEST - 1}}}"
     changed = F.col("lines_gone") > 0
-    return rows.filter(~changed | F.col("text").rlike(line)).withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+    return rows.filter(~changed | F.col("text").rlike(WORD)).withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,6 +34,15 @@ def test_stages(spark):
     assert sum(r.length for r in five.collect()) == sum(len(packing.codec(corpus_pipeline.path("word_bpe_49k.json")).encode(r.text)) // 4 + 1 for r in four.collect())
 
 
+def test_short_lines_stay(spark):
+    """A list or a text without spaces stays when it loses a shared header."""
+    poem, zh = "\n".join(f"item{i}" for i in range(50)), "\u6625\u7720\u4e0d\u89c9\u6653"
+    texts = ["the shared header line", f"the shared header line\n{poem}", f"the shared header line\n{zh}", "the shared header line\n \t"]
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, docs, "").collect()}
+    assert got == {0: texts[0], 1: poem, 2: zh}
+
+
 def test_runs_whole(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language identification", "line dedup", "near-copy join", "mixing", "packing"]
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 50
