@@ -83,3 +83,24 @@ def test_awkward_rows(spark):
     assert len(changed) == 1 and changed[0].kinds == ["card", "date"]
     assert Counter(r.text for r in got.filter("n_values = 0").collect()) == Counter(r[1] for r in rows if r[1] is None or "4111" not in r[1])
     assert pii.pseudonymise(spark.createDataFrame([], SCHEMA), KEY).collect() == []
+
+
+def test_values_beside_other_numbers(spark):
+    card, alone = "4111 1111 1111 1111", run(spark, ["4111 1111 1111 1111", "4111111111111111", "2024-02-29", "555-123-4567", "123-45-6789", "10.0.0.1"])
+    new = {k: a[0] for k, a in zip([card, "4111111111111111", "2024-02-29", "555-123-4567", "123-45-6789", "10.0.0.1"], alone, strict=True)}
+    assert all(k != v for k, v in new.items())
+    cases = [
+        ("{} 123", [card]), ("{} 12/25", ["4111111111111111"]), ("2 {}", [card]), ("100234567 {}", ["2024-02-29"]), ("{}T10:00:00Z", ["2024-02-29"]), ("100234567 {}T10:00:00Z", ["2024-02-29"]),
+        ("{} {}", [card, "4111111111111111"]), ("{} {}", [card, "2024-02-29"]), ("{} {}", ["4111111111111111", "10.0.0.1"]), ("12345 {}", ["555-123-4567"]), ("123456788 {}", ["123-45-6789"]), ("7 {} 12 {}", [card, "555-123-4567"]),
+    ]
+    got = run(spark, [f"é {c.format(*v)}, end" for c, v in cases])
+    for (c, v), g in zip(cases, got, strict=True):
+        assert g[:2] == (f"é {c.format(*(new[x] for x in v))}, end", len(v))
+    assert [g[1] for g in run(spark, ["12 34 56 78 90 12 34 5", "1234 5678 9012 3456 7890 12", "100234567 2023-02-30"])] == [0, 0, 0]
+
+
+def test_days_first(spark):
+    days = [f"{d}/{m:02d}/{y}" for d in range(13, 29) for m in (1, 7, 12) for y in (1800, 2024, 2199)]
+    got = run(spark, [*days, "25/2/2024", "31/02/2024"])
+    assert [g[1] for g in got] == [1] * (len(days) + 1) + [0] and len({g[0] for g in got[: len(days)]}) == len(days)
+    assert all(re.fullmatch(r"(1[3-9]|2\d|3[01])/(0[1-9]|1[0-2])/\d{4}", g[0]) for g in got[: len(days)])
