@@ -2,8 +2,8 @@
 
 Messages are parsed into their own text and quoted passages with their levels.
 Passages and their lines are hashed after normalising and meet the texts,
-paragraphs and lines of earlier messages with the same hash. The message that a
-first-level quotation comes from is the one replied to; threads follow those links
+paragraphs and lines of earlier messages with the same hash. The message that the
+shallowest quotation comes from is the one replied to; threads follow those links
 to their first message, and each conversation lists thread after thread.
 """
 
@@ -72,9 +72,9 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for row, text in zip(batch.drop(columns="text").itertuples(index=False), batch["text"].tolist(), strict=True):
             own, quoted = parse(text)
-            said = [(0, h, n) for h, n in units(own.split("\n")).items()]
-            quotes = [(level, h, n) for level, lines in quoted for h, n in units(lines).items()]
-            rows.append((*row, own, len(quoted), [{"level": a, "hash": b, "words": c} for a, b, c in [*said, *sorted(set(quotes))]]))
+            said = [(0, -1, h, n) for h, n in units(own.split("\n")).items()]
+            quotes = [(level, k, h, n) for k, (level, lines) in enumerate(quoted) for h, n in units(lines).items()]
+            rows.append((*row, own, len(quoted), [{"level": a, "passage": k, "hash": b, "words": c} for a, k, b, c in [*said, *quotes]]))
         yield pd.DataFrame(rows, columns=["conv_id", "turn", "role", "body", "n_quoted", "units"])
 
 
@@ -82,19 +82,29 @@ def link(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(parsed, links), both stored.
 
     parsed: conv_id, turn, role, body, n_quoted, units. links: conv_id, turn,
-    reply_to, of messages whose first-level quotations come from an earlier
-    message of the conversation: the one with most quoted words, the latest of
-    equals. Where several messages said the same, the latest before counts.
+    reply_to, sources, of messages with a quotation that comes from an earlier
+    message of the conversation. sources: (passage, level, source, words) for each
+    such passage, counted from 0 as they stand, with the turn of the message that
+    most of its words come from, the latest of equals. reply_to is the like for all
+    passages of the shallowest level with a source; a source of level k is itself
+    k - 1 replies further back than what was answered. Where several messages said
+    the same, the latest before counts.
     """
-    parsed = stored(messages.mapInPandas(_parse, "conv_id long, turn long, role string, body string, n_quoted int, units array<struct<level int, hash long, words int>>"), "quotes-parsed")
-    each = parsed.select("conv_id", "turn", F.explode("units").alias("u")).select("conv_id", "turn", "u.level", "u.hash", "u.words").filter("conv_id is not null and turn is not null and level < 2").distinct()
+    parsed = stored(messages.mapInPandas(_parse, "conv_id long, turn long, role string, body string, n_quoted int, units array<struct<level int, passage int, hash long, words int>>"), "quotes-parsed")
+    each = parsed.select("conv_id", "turn", F.explode("units").alias("u")).select("conv_id", "turn", "u.*").filter("conv_id is not null and turn is not null").distinct()
     # within a turn quotations stand before what the message says itself
     earlier = Window.partitionBy("conv_id", "hash").orderBy("turn", F.col("level").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    quoted = each.filter("level = 1").select("conv_id", "hash").distinct()
+    quoted = each.filter("level > 0").select("conv_id", "hash").distinct()
     source = F.last(F.when(F.col("level") == 0, F.col("turn")), ignorenulls=True).over(earlier)
-    met = each.join(quoted, ["conv_id", "hash"], "left_semi").withColumn("source", source).filter("level = 1 and source is not null")
-    score = met.groupBy("conv_id", "turn", "source").agg(F.sum("words").alias("words"))
-    return parsed, stored(score.groupBy("conv_id", "turn").agg(F.max(F.struct("words", "source")).alias("best")).select("conv_id", "turn", F.col("best.source").alias("reply_to")), "quotes-links")
+    met = each.join(quoted, ["conv_id", "hash"], "left_semi").withColumn("source", source).filter("level > 0 and source is not null")
+    # one passage after the other, each with the hashes that no earlier one of its level has
+    new = F.row_number().over(Window.partitionBy("conv_id", "turn", "level", "hash").orderBy("passage")) == 1
+    per = met.withColumn("new", F.when(new, F.col("words")).otherwise(0)).groupBy("conv_id", "turn", "level", "passage", "source").agg(F.sum("words").alias("words"), F.sum("new").alias("new"))
+    per = stored(per, "quotes-met")
+    passages = per.groupBy("conv_id", "turn", "level", "passage").agg(F.max(F.struct("words", "source")).alias("best")).groupBy("conv_id", "turn").agg(F.sort_array(F.collect_list(F.struct("passage", "level", F.col("best.source").alias("source"), F.col("best.words").alias("words")))).alias("sources"))
+    score = per.groupBy("conv_id", "turn", "level", "source").agg(F.sum("new").alias("words"))
+    best = score.groupBy("conv_id", "turn").agg(F.max(F.struct(-F.col("level"), "words", "source")).alias("best")).select("conv_id", "turn", F.col("best.source").alias("reply_to"))
+    return parsed, stored(best.join(passages, ["conv_id", "turn"]), "quotes-links")
 
 
 def threads(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -102,7 +112,7 @@ def threads(links: DataFrame, rounds: int = 60) -> DataFrame:
 
     Every round doubles the steps that a message has gone back.
     """
-    state = links.withColumn("thread", F.col("reply_to"))
+    state = links.select("conv_id", "turn", "reply_to", F.col("reply_to").alias("thread"))
     for k in range(rounds):
         up = state.select("conv_id", F.col("turn").alias("thread"), F.col("thread").alias("next"))
         state = stored(state.join(up, ["conv_id", "thread"], "left").select("conv_id", "turn", "reply_to", F.coalesce("next", "thread").alias("thread"), F.col("next").isNotNull().alias("moved")), f"quotes-threads-{k}")
@@ -113,10 +123,11 @@ def threads(links: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def reply_order(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """conv_id, turn, role, text, n_quoted, reply_to, thread, position for each row.
+    """conv_id, turn, role, text, n_quoted, reply_to, thread, position, sources for each row.
 
     text is without quotations; reply_to is the turn replied to, null without a
-    quotation that is found; thread is the turn that the thread starts with.
+    quotation that is found: the source of the shallowest level that has one. sources
+    are those of all quoted passages, see ``link``, null without any; thread is the turn that the thread starts with.
     position counts from 0 in each conversation, by (thread, turn): a reply never
     stands before what it answers. Null and empty texts have an empty text. Rows
     of a null conversation or turn are returned unlinked, in a conversation of
@@ -126,7 +137,7 @@ def reply_order(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     """
     kept = messages.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).alias("text"))
     parsed, links = link(kept)
-    all_ = parsed.drop("units").join(threads(links), ["conv_id", "turn"], "left").withColumn("thread", F.coalesce("thread", "turn"))
+    all_ = parsed.drop("units").join(threads(links).join(links.select("conv_id", "turn", "sources"), ["conv_id", "turn"]), ["conv_id", "turn"], "left").withColumn("thread", F.coalesce("thread", "turn"))
     keyed = stored(all_.withColumn("_conv", F.coalesce(F.col("conv_id").cast("string"), F.lit(""))), "quotes-keyed")
     placed = numbered(keyed, ["_conv"], ["thread", "turn", "role", "body"], "quotes-placed")
-    return placed.select("conv_id", "turn", "role", F.col("body").alias("text"), "n_quoted", "reply_to", "thread", F.col("rank").alias("position"))
+    return placed.select("conv_id", "turn", "role", F.col("body").alias("text"), "n_quoted", "reply_to", "thread", F.col("rank").alias("position"), "sources")

@@ -65,3 +65,12 @@ def test_awkward_rows(spark):
     assert len(got) == 7 and sorted(r.position for r in got if r.conv_id == 1) == [0, 1, 2, 3]
     assert [r.reply_to for r in got if (r.conv_id, r.turn) == (5, 6)] == [5]
     assert quotation.reply_order(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_all_levels_are_linked(spark):
+    rows = [(1, 0, "a", "red fox"), (1, 1, "b", "> red fox\nblue owl"), (1, 2, "a", "> blue o... cut\n>> red fox\nsure"), (1, 3, "b", "> blue owl\n>> red fox\n>>> unseen\n> blue owl\nend"), (1, 4, "a", ">> unseen\n>>> blue owl\nlast")]
+    got = {r.turn: r for r in quotation.reply_order(spark.createDataFrame([(*r, 1, 1, 1) for r in rows], SCHEMA)).collect()}
+    assert {t: r.reply_to for t, r in got.items()} == {0: None, 1: 0, 2: 0, 3: 1, 4: 1}
+    assert {r.thread for r in got.values()} == {0}
+    sources = {t: r.sources and [tuple(s) for s in r.sources] for t, r in got.items()}
+    assert sources == {0: None, 1: [(0, 1, 0, 2)], 2: [(1, 2, 0, 2)], 3: [(0, 1, 1, 2), (1, 2, 0, 2), (3, 1, 1, 2)], 4: [(1, 3, 1, 2)]}
