@@ -7,7 +7,7 @@ written as Parquet and read again as the next stage's documents.
 from __future__ import annotations
 
 from public_tokenizers import path
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedge.llm import jaccard_join, language_id, line_dedup, mixing, packing
@@ -15,10 +15,19 @@ from sedge.llm.hashing import without
 from sedge.llm.shared import WORD, ship, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A key of each row, from the first stage to the mixing: doc_id may be null or repeat.
+KEY = "pipeline_row"
 #: No stage but the packing can be said in SQL: a fitted classifier decides first.
 ORACLE_SQL = None
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``KEY``, as the stage before has written it or else made and stored here."""
+    if KEY in docs.columns:
+        return docs.select(KEY, *COLUMNS)
+    return stored(docs.select(*COLUMNS).withColumn(KEY, F.monotonically_increasing_id()), "pipeline-keyed").select(KEY, *COLUMNS)
+
+
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; a missing label is filled in.
 
@@ -27,36 +36,43 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     ship(spark)
     learn = docs.filter(~language_id.held_out()).select(F.col("doc_id").alias("order"), "text", "lang")
     known = language_id.predict(docs.select(*COLUMNS), language_id.fit(learn))
-    return known.filter(F.col("lang_pred") != language_id.UNKNOWN).withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
+    return known.filter(F.col("lang_pred") != language_id.UNKNOWN).withColumn("lang", F.coalesce("lang", "lang_pred")).withColumn(KEY, F.monotonically_increasing_id()).select(KEY, *COLUMNS)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that stand earlier in the corpus, equal or but for a word.
 
-    Every line that isn't blank is judged, one of a single word too.
+    Every line that isn't blank is judged, one of a single word too. Documents stand in
+    the order of doc_id, null last; rows that repeat one are documents of their own.
     A document goes if it lost lines and nothing but white space is left.
     """
     ship(spark)
-    rows = line_dedup.dedup_lines(docs.select(*COLUMNS), every=True)
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", KEY)
+    rows = line_dedup.dedup_lines(keyed(docs).withColumn("_place", place), id_col="_place", every=True)
     changed = F.col("lines_gone") > 0
-    return rows.filter(~changed | F.col("text").rlike(WORD)).withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+    return rows.filter(~changed | F.col("text").rlike(WORD)).withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(KEY, *COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near copies."""
+    """The first document of each group of near copies, by doc_id, null last.
+
+    Of rows that repeat an id each is judged by its own text.
+    """
     ship(spark)
-    groups = stored(jaccard_join.join(docs), "pipeline-groups")
-    return without(docs.select(*COLUMNS), groups.filter("component_id <> doc_id"), "doc_id")
+    docs = keyed(docs)
+    groups = stored(jaccard_join.join(docs, id_col=KEY), "pipeline-groups")
+    members = groups.select(F.col("doc_id").alias(KEY), "component_id").join(docs.select(KEY, "doc_id"), KEY)
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", KEY)).alias("first"))
+    gone = stored(groups.select(F.col("doc_id").alias(KEY)).join(first.select(f"first.{KEY}"), KEY, "left_anti"), "pipeline-gone")
+    return without(docs, gone, KEY)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it, also with a null or repeated doc_id."""
     ship(spark)
-    # rows that repeat an id are told apart by their place among these
-    nth = Window.partitionBy("doc_id")
-    copies = mixing.mix(docs).filter("copies > 0").select("doc_id", "copies", F.row_number().over(nth.orderBy("size")).alias("nth"))
-    rows = docs.select(*COLUMNS).withColumn("nth", F.row_number().over(nth.orderBy("n_chars")))
-    return rows.join(copies, ["doc_id", "nth"]).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
+    docs = keyed(docs)
+    copies = mixing.mix(docs, row_col=KEY).filter("copies > 0").select(KEY, "copies")
+    return docs.join(copies, KEY).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sedge.llm.hashing import may_hold, membership
 from sedge.llm.shared import SPACE, looked_up, stored
@@ -25,6 +26,11 @@ SHORTEST, FUZZY = 3, 8
 UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 
 
+def id_of(docs: DataFrame, id_col: str) -> Column:
+    """A number, or a struct as it is."""
+    return F.col(id_col) if isinstance(docs.schema[id_col].dataType, StructType) else F.col(id_col).cast("long")
+
+
 def lines_of(docs: DataFrame, every: bool = False) -> DataFrame:
     """doc_id, line_no, norm, n for each line of ``SHORTEST`` words or more.
 
@@ -105,10 +111,10 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     earliest such line and edits says which of the two it is. Lines of under
     ``SHORTEST`` words stay, unless ``every`` line is to be judged: then blank lines
     alone stay, and characters of scripts without spaces count as words. Null and empty texts have no lines. Rows that repeat a
-    doc_id count as the same lines. Empty tables give empty results; other columns
+    doc_id count as the same lines; the id may be a struct. Empty tables give empty results; other columns
     are ignored. Lines are told apart by 96 bits of hash.
     """
-    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    text = docs.select(id_of(docs, id_col).alias("doc_id"), F.col(text_col).alias("text"))
     here = F.struct("doc_id", "line_no")
     lines = lines_of(text, every)
     keys = F.array(half("n", "a"), half("n", "b"), half("n - 1", "a"), half("n - 1", "b"))
@@ -144,7 +150,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` without the lines of ``repeated_lines``, and ``lines_gone``, how many
     each lost. Other columns stay as they are; a text that loses nothing too."""
     gone = stored(repeated_lines(docs, id_col, text_col, every).groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone")), "lines-gone")
-    flagged = may_hold(docs.withColumn("_key", F.col(id_col).cast("long")), "_key", membership(gone.withColumnRenamed("doc_id", "_key"), "_key"), "_near")
+    flagged = may_hold(docs.withColumn("_key", id_of(docs, id_col)), "_key", membership(gone.withColumnRenamed("doc_id", "_key"), "_key"), "_near")
     touched = flagged.filter("_near").drop("_near").join(gone.withColumnRenamed("doc_id", "_key"), "_key", "left")
     kept = F.array_join(F.filter(F.split(text_col, "\n"), lambda _, i: ~F.array_contains("_gone", i)), "\n")
     whole = flagged.filter("not _near").drop("_near").withColumn("lines_gone", F.lit(0))

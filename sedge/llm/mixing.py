@@ -89,7 +89,7 @@ def targets(sources: DataFrame, factor: float, cap: float) -> DataFrame:
     return rows.withColumn("target", F.least("_cap", F.coalesce(level, F.lit(float("inf"))) * F.col("_w"))).drop("_w", "_cap", "_total", "_level")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", factor: float = 1.5, cap: float = 2.0, reserve: int = 4096, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", factor: float = 1.5, cap: float = 2.0, reserve: int = 4096, seed: int = 17, row_col: str | None = None) -> DataFrame:
     """Decide how often the mix takes each document.
 
     Returns doc_id, size, source, source_size, target, taken, copies: a document
@@ -97,12 +97,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     size. Sizes are words; a null or empty text has size 0 and taken 0. A null
     source is a source of its own, last in order. Equal rows may be taken
     differently often, but the same set results in every run. An empty table
-    gives an empty result. Other columns of ``docs`` are ignored.
+    gives an empty result. Other columns of ``docs`` are ignored, but ``row_col``, a
+    key of rows, is returned with each.
     """
     if cap != int(cap):
         raise ValueError("cap counts whole repeats")
+    rows = [row_col] if row_col else []
     sizes = stored(
         docs.select(
+            *rows,
             F.col(id_col).alias("doc_id"),
             F.col(source_col).alias("source"),
             F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("")).alias("source_key"),
@@ -129,6 +132,6 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         .applyInPandas(choose, "source_key string, size long, source_size long, target double, repeats long, more long")
     )
     plan = stored(plan, "mix-plan")
-    chosen = ranked(sizes.withColumn("_order", F.xxhash64(F.lit(seed), "doc_id")), ["source_key", "size"], ["_order", "doc_id"], per_key=plan)
+    chosen = ranked(sizes.withColumn("_order", F.xxhash64(F.lit(seed), "doc_id")), ["source_key", "size"], ["_order", "doc_id"], per_key=plan, ties=rows)
     copies = F.col("repeats") + F.when(F.col("rank") < F.col("more"), 1).otherwise(0)
-    return chosen.select("doc_id", "size", "source", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"), F.when(F.col("size") > 0, copies).otherwise(0).cast("int").alias("copies"))
+    return chosen.select(*rows, "doc_id", "size", "source", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"), F.when(F.col("size") > 0, copies).otherwise(0).cast("int").alias("copies"))

@@ -72,14 +72,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def ranked(df: DataFrame, keys: list[str], order: list[str], per_key: DataFrame | None = None, salts: int = 256) -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], order: list[str], per_key: DataFrame | None = None, salts: int = 256, ties: list[str] | None = None) -> DataFrame:
     """``df`` with ``rank``: 0, 1, ... within each combination of ``keys``.
 
     The order within a group is (salt, ``order``), the salt being a hash of
     ``order``: pseudo-random but the same in every run. A group is split over
     ``salts`` windows, so one key may hold a third of all rows; only counts for
     each key and salt are summed by key. ``keys`` must not be null. Columns of
-    ``per_key`` (unique in ``keys``) are joined on the way.
+    ``per_key`` (unique in ``keys``) are joined on the way. Rows that are equal in
+    ``order`` stand in that of ``ties``.
     """
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
     before = Window.partitionBy(*keys).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
@@ -91,7 +92,7 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], per_key: DataFrame
     )
     if per_key is not None:
         base = base.join(per_key, keys, "left")
-    within = Window.partitionBy(*keys, "_salt").orderBy(*order)
+    within = Window.partitionBy(*keys, "_salt").orderBy(*order, *(ties or []))
     return (
         salted.withColumn("_at", F.row_number().over(within) - 1)
         .join(base, [*keys, "_salt"])

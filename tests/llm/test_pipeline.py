@@ -43,6 +43,23 @@ def test_short_lines_stay(spark):
     assert got == {0: texts[0], 1: poem, 2: zh}
 
 
+def test_null_and_repeated_ids(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    table = lambda rows: spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], schema)
+    texts = lambda df: sorted(r.text for r in df.collect())
+    a, b, c = ("\n".join(f"{x}{k} {x}{k + 1} {x}{k + 2} end" for k in range(9)) for x in "abc")
+
+    lines = [(None, "top line of all\nc one two"), (1, "top line of all"), (2, "top line of all\na one two"), (2, "b one two\nb three four")]
+    assert texts(corpus_pipeline.drop_repeated_lines(spark, table(lines), "")) == ["a one two", "b one two\nb three four", "c one two", "top line of all"]
+
+    near = corpus_pipeline.drop_near_copies(spark, table([(None, a), (3, a), (7, a), (7, a), (7, b), (None, c), (None, c)]), "").collect()
+    assert sorted((r.doc_id or 0, r.text) for r in near) == [(0, c), (3, a), (7, b)]
+
+    mixed = corpus_pipeline.mix_sources(spark, table([(None, a), (None, b + " x"), (4, c + " y z"), (4, "one"), (4, "two words")]), "").collect()
+    assert {r.text for r in mixed} == {a, b + " x", c + " y z", "one", "two words"}
+    assert 1.3 * 114 < sum(len(r.text.split()) for r in mixed) <= 1.5 * 114
+
+
 def test_runs_whole(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language identification", "line dedup", "near-copy join", "mixing", "packing"]
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 50
