@@ -53,21 +53,28 @@ def directory(cells: dict[int, int], capacity: int, max_depth: int = MAX_DEPTH)
     return [number.setdefault(p, len(number)) for p in pointers]
 
 
+def _least(a: int | None, b: int | None) -> int | None:
+    """The smaller id; null (None, or NaN from pandas) only if both are."""
+    if pd.isna(a):
+        return None if pd.isna(b) else b
+    return a if pd.isna(b) else min(a, b)
+
+
 def _combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """One row for each text and flush instead of one for each copy."""
     held: dict[str, list] = {}
     size = 0
 
     def flush() -> pd.DataFrame:
-        return pd.DataFrame([[b, k, t, i, n] for t, (b, k, i, n) in held.items()], columns=["bucket", "key", "norm", "doc_id", "copies"])
+        return pd.DataFrame([[b, k, t, i, n] for t, (b, k, i, n) in held.items()], columns=["bucket", "key", "norm", "doc_id", "copies"]).astype({"doc_id": "Int64"})
 
     for batch in batches:
         for bucket, key, norm, doc_id in zip(batch["bucket"], batch["key"], batch["norm"], batch["doc_id"], strict=True):
             if (got := held.get(norm)) is None:
-                held[norm] = [bucket, key, doc_id, 1]
+                held[norm] = [bucket, key, _least(doc_id, None), 1]
                 size += len(norm)
             else:
-                got[2] = min(got[2], doc_id)
+                got[2] = _least(got[2], doc_id)
                 got[3] += 1
         if size > COMBINE_BYTES:
             yield flush()
@@ -91,13 +98,13 @@ def _own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 key, chain = k, []
             for link in chain:
                 if link[0] == norm:
-                    link[2] = min(link[2], doc_id)
+                    link[2] = _least(link[2], doc_id)
                     link[3] += copies
                     break
             else:
-                chain.append([norm, bucket, doc_id, copies])
-        yield pd.DataFrame(out, columns=["bucket", "key", "slot", "text_sha256", "keep_id", "group_size"])
-    yield pd.DataFrame(entries(), columns=["bucket", "key", "slot", "text_sha256", "keep_id", "group_size"])
+                chain.append([norm, bucket, _least(doc_id, None), copies])
+        yield pd.DataFrame(out, columns=["bucket", "key", "slot", "text_sha256", "keep_id", "group_size"]).astype({"keep_id": "Int64"})
+    yield pd.DataFrame(entries(), columns=["bucket", "key", "slot", "text_sha256", "keep_id", "group_size"]).astype({"keep_id": "Int64"})
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -152,7 +159,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capac
     Texts are equal when identical after each run of ASCII white space became
     one space; null counts as empty. The smallest doc_id of equal texts stays;
     rows that repeat a doc_id with its text all count and are all marked alike.
-    A null doc_id is an error. Empty tables give empty results; other columns
+    A null doc_id comes after all others: keep_id is the smallest that isn't null,
+    or null if none is, and kept is null where doc_id or keep_id is. Empty tables give empty results; other columns
     are ignored.
     """
     return probe(*build_index(docs, id_col, text_col, capacity))

@@ -44,3 +44,9 @@ def test_collisions_are_chained():
     rows = pd.DataFrame([[0, 5, "a", 3, 1], [0, 5, "b", 4, 2], [0, 5, "a", 1, 1], [0, 6, "c", 9, 1]], columns=["bucket", "key", "norm", "doc_id", "copies"])
     out = pd.concat(exact_dedup._own(iter([rows.iloc[:2], rows.iloc[2:]])))
     assert out[["key", "slot", "keep_id", "group_size"]].values.tolist() == [[5, 0, 1, 2], [5, 1, 4, 2], [6, 0, 9, 1]]
+
+
+def test_null_ids(spark):
+    rows = [(None, "a"), (4, "a"), (2, "a"), (None, "b"), (None, "b"), (9, "c"), (None, "d")]
+    got = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    assert got == {(None, 2, 3, None), (4, 2, 3, False), (2, 2, 3, True), (None, None, 2, None), (9, 9, 1, True), (None, None, 1, None)}
