@@ -11,7 +11,6 @@ which ranks of its pieces go to which sequences.
 from __future__ import annotations
 
 import re
-import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -22,78 +21,104 @@ from pyspark.sql import functions as F
 
 from sedge.llm.shared import ranked, stored
 
-#: Words that a worker remembers at most, over all its tasks.
-CACHE_WORDS = 900_000
-_LETTERS_THEN_MARKS = re.compile(r"([^\W\d_]+)([^\w\s]+)")
+#: Bytes of words and ids that a worker remembers, over all its tasks: of the words seen
+#: last, and as many of those before them.
+CACHE_BYTES = 16 << 20
+#: Bytes of text whose new words are encoded together.
+GROUP_BYTES = 1 << 20
+#: What ends in an ASCII letter or digit or a Latin letter (not U+0130, which lower-cases to
+#: a letter and a mark), and punctuation after it.
+_THEN_MARKS = re.compile(r"(.*[A-Za-z0-9À-ÖØ-öø-įı-ɏ])([!-/:-@\[-`{-~]+)", re.DOTALL)
 _codecs: dict[str, WordCodec] = {}
 
 
 class WordCodec:
     """Token ids of whole texts, with the ids of seen words remembered.
 
-    Exact for byte-pair tokenizers with word ends (</w>) that lower-case first and
-    split letters, single digits and other marks: words between white space are
-    encoded apart. Texts with a special
-    token's string go through the tokenizer whole.
+    Exact for tokenizers that part texts at ASCII white space in any case and drop it,
+    compose (NFC) and lower-case character by character, and then part runs of letters
+    from punctuation: what stands between white space is encoded apart, as the tokenizer
+    itself does. Only what can't change ids is done here: ASCII letters are lower-cased
+    unless a combining accent or what may be a special token is in the text (an accent
+    composes with some capitals only), and punctuation is parted from a letter or digit.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.plain = Tokenizer.from_file(path)
-        self.plain.encode_special_tokens = True
-        specials = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        # str.split() also parts at \\x1c-\\x1f, which are no white space to the tokenizer
-        self.special = re.compile("|".join(["[\\x1c-\\x1f]", *map(re.escape, specials)]))
-        self.known: dict[str, bytes] = {}
-        vocabulary = self.whole.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-
-    def learn(self, new: set[str]) -> None:
-        """Remember the ids of whole words.
-
-        A word of letters is one unit to the tokenizer and ends in a token that
-        says so, so many are encoded as one text. Letters with punctuation after
-        them are two units, whose ids follow each other.
-        """
-        known, parts, other = self.known, {}, []
+        #: A special token parts what is encoded at once: no word's ids hold it.
+        self.parting = next((t.content for _, t in sorted(self.whole.get_added_tokens_decoder().items()) if t.special and not t.normalized), None)
+        self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
+        self.held = 0
+
+    def ids(self, words: list[str]) -> list[bytes]:
+        """The ids of each word, encoded apart."""
+        joined, alone = [], words
+        if self.parting is not None:
+            joined, alone = [w for w in words if "<" not in w], [w for w in words if "<" in w]
+        found: dict[str, bytes] = {}
+        if joined:
+            got = np.array(self.whole.encode_batch_fast([self.parting.join(joined)], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = np.flatnonzero(got == self.whole.token_to_id(self.parting)).tolist()
+            raw, at = got.tobytes(), 0
+            for w, cut_ in zip(joined, [*cuts, len(got)], strict=True):
+                found[w] = raw[4 * at : 4 * cut_]
+                at = cut_ + 1
+        for w, e in zip(alone, self.whole.encode_batch_fast(alone, add_special_tokens=False), strict=True):
+            found[w] = np.array(e.ids, dtype="<u4").tobytes()
+        return [found[w] for w in words]
+
+    def learn(self, new: set[bytes]) -> None:
+        known, before = self.known, self.before
+        parts: dict[bytes, tuple[bytes, ...]] = {}
+        wanted: set[bytes] = set()
         for w in new:
-            if not w.isalpha():
-                if m := _LETTERS_THEN_MARKS.fullmatch(w):
-                    parts[w] = m.groups()
-                else:
-                    other.append(w)
-        other += {x for _, x in parts.values()}.difference(known, other)
-        letters = list({w for w in new if w.isalpha()}.union(x for x, _ in parts.values()).difference(known))
-        if letters:
-            ids = np.array(self.plain.encode(" ".join(letters), add_special_tokens=False).ids, dtype="<u4")
-            ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            raw, at = ids.tobytes(), 0
-            for w, end in zip(letters, ends, strict=True):
-                known[w] = raw[4 * at : 4 * end]
-                at = end
-        for w, e in zip(other, self.plain.encode_batch_fast(other, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        for w, (x, y) in parts.items():
-            known[w] = known[x] + known[y]
-
-    def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        if self.special.search(text):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        # str.lower() of a capital sigma or dotted I depends on more than the character
-        plain = text.isascii() or (unicodedata.is_normalized("NFC", text) and "Σ" not in text and "İ" not in text)
-        words = (text.lower() if plain else text).split()
+            if (got := before.get(w)) is not None:
+                known[w] = got
+                self.held += 160 + len(w) + len(got)
+                continue
+            m = None if b"<|" in w else _THEN_MARKS.fullmatch(w.decode())
+            parts[w] = tuple(x.encode() for x in m.groups()) if m else (w,)
+            wanted.update(parts[w])
+        fresh = [w for w in wanted if w not in known]
+        found = dict(zip(fresh, self.ids([w.decode() for w in fresh]), strict=True))
+        known.update(found)
+        self.held += sum(160 + len(w) + len(x) for w, x in found.items())
+        for w, own in parts.items():
+            if len(own) == 2:
+                known[w] = known[own[0]] + known[own[1]]
+                self.held += 160 + len(w) + len(known[w])
+
+    def encode_all(self, texts: list[str | None]) -> Iterator[bytes]:
+        """Little-endian unsigned 32-bit ids of each text, nothing of a null one."""
+        group: list[list[bytes]] = []
+        size = 0
+        for text in texts:
+            raw = (text or "").encode()
+            # U+0300 to U+036F, all that compose with an ASCII letter, begin with these bytes
+            if b"<|" not in raw and b"\xcc" not in raw and b"\xcd" not in raw:
+                raw = raw.lower()
+            group.append(raw.split())
+            size += len(raw)
+            if size >= GROUP_BYTES:
+                yield from self._group(group)
+                group, size = [], 0
+        yield from self._group(group)
+
+    def _group(self, group: list[list[bytes]]) -> Iterator[bytes]:
+        if self.held > CACHE_BYTES:
+            self.known, self.before, self.held = {}, self.known, 0
         known = self.known
-        new = set(words).difference(known)
-        if len(known) + len(new) > CACHE_WORDS:
-            known.clear()
-            new = set(words)
+        new = {w for words in group for w in words if w not in known}
         if new:
             self.learn(new)
-        return b"".join(map(known.__getitem__, words))
+        for words in group:
+            yield b"".join(map(known.__getitem__, words))
+
+    def encode(self, text: str | None) -> bytes:
+        return next(self.encode_all([text]))
 
 
 def codec(path: str) -> WordCodec:
@@ -111,11 +136,11 @@ def cut(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, id
     fields = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids]
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, end = codec(tokenizer).encode, np.array([end_id], dtype="<u4").tobytes()
+        encode, end = codec(tokenizer).encode_all, np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"].tolist(), strict=True):
-                ids = (encode(text) if text else b"") + end
+            for doc_id, ids in zip(batch["doc_id"].tolist(), encode(batch["text"].tolist()), strict=True):
+                ids += end
                 total = len(ids) // 4
                 for start in range(0, total, window):
                     piece = ids[4 * start : 4 * (start + window)]

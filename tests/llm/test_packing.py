@@ -12,11 +12,46 @@ from sedge.llm import packing
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.text(alphabet=st.sampled_from(list("aAbé́ÉΣσİ'stve<|>endofx \t\n\x1c\x85 　1½.,!字"))))
+AWKWARD = ["İ", "İ.", "İstanbul", "m²,", "12 m², ok", "x¹)", "H₂O, x", "a³.", "cafe\u0301", "CAFE\u0301 H\u0331 J\u030c.", "x<|endoftext|>. <|EndOfText|>!", "a<b> <i>c</i>", "it's. 'S'S, I'LL", " a\x85b\xa0c\x1cd", "≠ =\u0338 <\u0338", "ΑΣ Σ. ΣΑΣ", "각 ﬁ K Å"]
+ODD = st.sampled_from(list("aAbé\u0301ÉΣσİ'stve<|>endofx \t\n\x1c\x85 \u30001½.,!字"))
+ANY = st.characters(exclude_categories=["Cs"])
+
+
+def exact(codec, text):
+    assert np.frombuffer(codec.encode(text), "<u4").tolist() == codec.whole.encode(text, add_special_tokens=False).ids
+
+
+def fresh(codec):
+    """The same tokenizer with nothing remembered."""
+    new = packing.WordCodec.__new__(packing.WordCodec)
+    new.__dict__.update(codec.__dict__, known={}, before={}, held=0)
+    return new
+
+
+@settings(max_examples=5000, deadline=None)
+@given(st.text(alphabet=ODD | ANY))
 def test_codec_is_exact(text):
-    c = packing.codec(PATH)
-    assert np.frombuffer(c.encode(text), "<u4").tolist() == c.whole.encode(text, add_special_tokens=False).ids
+    shared = packing.codec(PATH)
+    exact(shared, text)
+    exact(fresh(shared), text)
+
+
+def test_codec_on_awkward_words():
+    shared = packing.codec(PATH)
+    for text in AWKWARD:
+        exact(fresh(shared), text)
+        exact(shared, text)
+
+
+def test_codec_forgets(monkeypatch):
+    """Ids stay exact when what is remembered is bounded to almost nothing."""
+    monkeypatch.setattr(packing, "CACHE_BYTES", 2000)
+    monkeypatch.setattr(packing, "GROUP_BYTES", 100)
+    c = fresh(packing.codec(PATH))
+    texts = [r[1] for r in documents()] + AWKWARD
+    want = [c.whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in c.encode_all(texts)] == want
+    assert c.held < 2000 + 300 * 20000
 
 
 def test_packing(spark):
