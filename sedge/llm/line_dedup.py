@@ -13,7 +13,9 @@ hash of a half. This drops no pair, and it spares most lines their variants.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -22,8 +24,9 @@ from sedge.llm.shared import SPACE, looked_up, stored
 
 #: Lines with fewer words are judged only if asked for; those with fewer than FUZZY only for equality.
 SHORTEST, FUZZY = 3, 8
-#: A character of a script that is written without spaces.
+#: A character of a script that is written without spaces, and where such may stand.
 UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
+FAR = r"[\x{0E00}-\x{1FFF}\x{2E80}-\x{10FFFF}]"
 
 
 def id_of(docs: DataFrame, id_col: str) -> Column:
@@ -31,19 +34,29 @@ def id_of(docs: DataFrame, id_col: str) -> Column:
     return F.col(id_col) if isinstance(docs.schema[id_col].dataType, StructType) else F.col(id_col).cast("long")
 
 
+def normalised(line: Column, every: bool = False) -> Column:
+    """Lower case, words joined by one space. With ``every`` each character of a script
+    without spaces is a word. Expressions that cost much run only where they change something."""
+    line = F.lower(line)
+    if every:
+        wide = F.octet_length(line) > F.length(line)
+        line = F.when(wide & line.rlike(FAR), F.regexp_replace(line, f"({UNSPACED})", " $1 ")).otherwise(line)
+    ragged = reduce(lambda a, b: a | b, [F.contains(line, F.lit(x)) for x in ("  ", "\t", "\r", "\x0b", "\x0c")])
+    return F.trim(F.when(ragged, F.regexp_replace(line, f"[{SPACE}]+", " ")).otherwise(line))
+
+
+def words_in(norm: Column) -> Column:
+    return F.octet_length(norm) - F.octet_length(F.replace(norm, F.lit(" "), F.lit(""))) + 1
+
+
 def lines_of(docs: DataFrame, every: bool = False) -> DataFrame:
     """doc_id, line_no, norm, n for each line of ``SHORTEST`` words or more.
 
-    norm: lower case, words joined by one space. ``docs``: doc_id, text. With
-    ``every``, each line that isn't blank, and each character of a script without
-    spaces is a word.
+    ``docs``: doc_id, text. With ``every``, each line that isn't blank.
     """
-    each = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    line = F.lower("line")
-    if every:
-        line = F.when(line.rlike(UNSPACED), F.regexp_replace(line, f"({UNSPACED})", " $1 ")).otherwise(line)
-    norm = F.trim(F.regexp_replace(line, f"[{SPACE}]+", " "))
-    counted = each.select("doc_id", "line_no", norm.alias("norm")).withColumn("n", F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1)
+    # normalised inside the generator: a filter on what a projection makes would make it twice
+    each = docs.select("doc_id", F.posexplode(F.transform(F.split("text", "\n"), lambda x: normalised(x, every))).alias("line_no", "norm"))
+    counted = each.withColumn("n", words_in(F.col("norm")))
     return counted.filter(F.col("norm") != "" if every else F.col("n") >= SHORTEST)
 
 
@@ -59,11 +72,14 @@ def possible(distinct: DataFrame) -> DataFrame:
     """(line, same, fewer, more): lines that share a half with another one of as many
     words, of one word less, or of one more. ``distinct``: line, n, keys."""
     keys = distinct.select("line", "n", F.explode("keys").alias("k")).select("line", "n", "k.tag", "k.half")
-    group = Window.partitionBy("half")
-    counts = keys.withColumn("_even", F.count(F.when(F.col("n") == F.col("tag"), 1)).over(group)).withColumn("_over", F.count(F.when(F.col("n") > F.col("tag"), 1)).over(group))
     even = F.col("n") == F.col("tag")
+    per = keys.groupBy("half").agg(F.count_if(even).alias("_even"), F.count_if(~even).alias("_over"))
+    shared = stored(per.filter("_even > 1 or _even > 0 and _over > 0").withColumn("_members", F.col("_even") + F.col("_over")), "lines-halves")
+    some = stored(may_hold(keys, "half", membership(shared, "half"), "_near").filter("_near").drop("_near"), "lines-sharing")
     return (
-        counts.select("line", (even & (F.col("_even") > 1)).alias("same"), (~even & (F.col("_even") > 0)).alias("fewer"), (even & (F.col("_over") > 0)).alias("more"))
+        looked_up(some, shared, ["half"], "_members")
+        .filter("_members is not null")
+        .select("line", (even & (F.col("_even") > 1)).alias("same"), (~even & (F.col("_even") > 0)).alias("fewer"), (even & (F.col("_over") > 0)).alias("more"))
         .filter("same or fewer or more")
         .groupBy("line")
         .agg(F.max("same").alias("same"), F.max("fewer").alias("fewer"), F.max("more").alias("more"))
@@ -122,15 +138,20 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     distinct = stored(stood.groupBy("line", "line2").agg(F.min(here).alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys")), "lines-distinct")
     chosen = stored(possible(distinct.filter(F.col("n") >= FUZZY)).join(distinct.select("line", "first"), "line"), "lines-possible")
 
-    at = F.xxhash64("doc_id", "line_no")
-    wanted = chosen.withColumn("at", F.xxhash64("first.doc_id", "first.line_no"))
-    near = may_hold(lines.filter(F.col("n") >= FUZZY).withColumn("at", at), "at", membership(wanted, "at"), "near").filter("near")
-    texts = stored(near.join(wanted, "at").filter("first.doc_id <=> doc_id and first.line_no = line_no").filter(F.xxhash64("norm") == F.col("line")).dropDuplicates(["line"]).select("line", "norm", "n", "first", "same", "fewer", "more"), "lines-texts")
+    # texts are read again, but only chosen lines are normalised: documents without any go first
+    wanted = chosen.withColumn("at", F.xxhash64("first.doc_id", "first.line_no")).withColumn("doc", F.xxhash64("first.doc_id"))
+    held = may_hold(text.withColumn("doc", F.xxhash64("doc_id")), "doc", membership(wanted, "doc"), "some").filter("some")
+    raw = held.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "raw")).withColumn("at", F.xxhash64("doc_id", "line_no"))
+    near = may_hold(raw, "at", membership(wanted, "at"), "near").filter("near").select("doc_id", "line_no", "at", "raw")
+    found = near.join(wanted.drop("doc"), "at").filter("first.doc_id <=> doc_id and first.line_no = line_no")
+    same_text = found.select("line", "first", "same", "fewer", "more", F.explode(F.array(normalised(F.col("raw"), every))).alias("norm")).filter(F.xxhash64("norm") == F.col("line"))
+    texts = stored(same_text.dropDuplicates(["line"]).select("line", "norm", words_in(F.col("norm")).alias("n"), "first", "same", "fewer", "more"), "lines-texts")
 
-    emitted = variants(texts)
+    emitted = stored(variants(texts), "lines-variants")
     # of lines that share all but one place, each needs only the earliest
-    least = F.min(F.struct("first", "line")).over(Window.partitionBy("key"))
-    replaced = emitted.filter("kind = 0").withColumn("least", least).filter("least.line <> line").select("line", F.col("least.line").alias("other"))
+    placed = emitted.filter("kind = 0").select("key", "line", "first")
+    least = placed.groupBy("key").agg(F.min(F.struct("first", "line")).alias("least"), F.count("*").alias("members")).filter("members > 1").select("key", F.col("least.line").alias("other"), "members")
+    replaced = looked_up(placed.select("key", "line"), stored(least, "lines-least"), ["key"], "members").filter("other <> line").select("line", "other")
     shorter, whole = emitted.filter("kind = 1").select("key", "line"), emitted.filter("kind = 2").select("key", F.col("line").alias("other"))
     inserted = shorter.join(whole, "key").select("line", "other")
     pairs = replaced.union(inserted).distinct()
@@ -148,11 +169,22 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: bool = False) -> DataFrame:
     """``docs`` without the lines of ``repeated_lines``, and ``lines_gone``, how many
-    each lost. Other columns stay as they are; a text that loses nothing too."""
-    gone = stored(repeated_lines(docs, id_col, text_col, every).groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone")), "lines-gone")
-    flagged = may_hold(docs.withColumn("_key", id_of(docs, id_col)), "_key", membership(gone.withColumnRenamed("doc_id", "_key"), "_key"), "_near")
-    touched = flagged.filter("_near").drop("_near").join(gone.withColumnRenamed("doc_id", "_key"), "_key", "left")
-    kept = F.array_join(F.filter(F.split(text_col, "\n"), lambda _, i: ~F.array_contains("_gone", i)), "\n")
-    whole = flagged.filter("not _near").drop("_near").withColumn("lines_gone", F.lit(0))
-    changed = touched.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept)).withColumn("lines_gone", F.coalesce(F.size("_gone"), F.lit(0))).drop("_gone")
-    return whole.unionByName(changed).select(*docs.columns, "lines_gone")
+    each lost. Other columns stay as they are, but one of that name; a text that loses nothing too.
+
+    Documents stand in the order of the id, null last, and of a hash of the text: rows
+    that repeat an id are documents of their own. Rows that repeat id and text are the same
+    document twice: both lose the same lines and keep what comes first in it.
+    """
+    place = F.struct(F.col(id_col).isNull().alias("unnamed"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"))
+    placed = docs.withColumn("_place", place)
+    gone = stored(repeated_lines(placed, "_place", text_col, every).groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone")).select(F.col("doc_id").alias("_place"), F.xxhash64("doc_id").alias("_key"), "_gone"), "lines-gone")
+    flagged = may_hold(placed.withColumn("_key", F.xxhash64("_place")), "_key", membership(gone, "_key"), "_near")
+    touched = flagged.filter("_near").drop("_near")
+    touched = touched.join(gone.select(F.col("_key").alias("_of_key"), F.col("_place").alias("_of"), "_gone"), F.expr("_key = _of_key and _place <=> _of"), "left")
+    # what stays, by number: a document of many lines is gone through once
+    numbers = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
+    kept = F.element_at(F.transform(F.array(F.split(text_col, "\n")), lambda lines: F.array_join(F.transform(numbers(lines), lambda i: F.element_at(lines, i + 1)), "\n")), 1)
+    whole = flagged.filter("not _near").withColumn("lines_gone", F.lit(0))
+    changed = touched.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept)).withColumn("lines_gone", F.coalesce(F.size("_gone"), F.lit(0)))
+    columns = [c for c in docs.columns if c != "lines_gone"]
+    return whole.select(*columns, "lines_gone").unionByName(changed.select(*columns, "lines_gone"))
