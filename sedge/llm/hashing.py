@@ -3,23 +3,15 @@
 from __future__ import annotations
 
 import numpy as np
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words whose hash a worker remembers at most.
-CACHE_WORDS = 1_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Makes a second, independent hash of a first one of words or shingles.
+SECOND = np.uint64(0xA0761D6478BD642F)
 
 
-class _Known(dict):
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_known = _Known()
 _powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 
 
@@ -29,9 +21,7 @@ def words_of(text: str) -> list[bytes]:
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    if len(_known) > CACHE_WORDS:
-        _known.clear()
-    return np.fromiter(map(_known.__getitem__, words), dtype=np.uint64, count=len(words))
+    return text_hashes(b" ".join(words))
 
 
 _SPACES = np.zeros(256, dtype=bool)
@@ -43,8 +33,8 @@ SLICE = 1 << 18
 def text_hashes(text: bytes) -> np.ndarray:
     """A 64-bit hash for each word of ``text``, in order, without making the words.
 
-    A word's hash is that of its bytes as a polynomial; slices end between words, so
-    memory is bounded unless a single word is longer than a slice.
+    Slices end between words, so memory is bounded unless a single word is longer
+    than a slice.
     """
     if len(text) <= SLICE:
         return _sliced(text)
@@ -59,18 +49,32 @@ def text_hashes(text: bytes) -> np.ndarray:
 
 
 def _sliced(text: bytes) -> np.ndarray:
+    """The sum over a word's bytes of a random number of the byte times one of its place.
+
+    Multilinear hashing: as each place has a number of its own, and not the power of one
+    base, no two words are bound to collide, however long they are or what they repeat.
+    """
     b = np.frombuffer(text, dtype=np.uint8)
     inside = np.zeros(len(b) + 2, dtype=bool)
     np.logical_not(_SPACES[b], out=inside[1:-1])
     edges = np.flatnonzero(inside[1:] != inside[:-1])
-    starts, ends = edges[::2], edges[1::2]
-    if not len(starts):
+    lengths = edges[1::2] - edges[::2]
+    if not len(lengths):
         return np.empty(0, dtype=np.uint64)
-    up, down = powers(len(b) + 1)
+    firsts = np.cumsum(lengths) - lengths
+    place = np.arange(int(lengths.sum())) - np.repeat(firsts, lengths)
+    terms = _BYTES[b[inside[1:-1]]] * places(int(lengths.max()))[place]
     with np.errstate(over="ignore"):
-        sums = np.zeros(len(b) + 1, dtype=np.uint64)
-        np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)], out=sums[1:])
-        return mixed((sums[ends] - sums[starts]) * down[starts] ^ (ends - starts).astype(np.uint64) << np.uint64(56))
+        return mixed(np.add.reduceat(terms, firsts) + mixed(lengths.astype(np.uint64)))
+
+
+def places(n: int) -> np.ndarray:
+    """A random number for each place of a word, the same in every process."""
+    global _places
+    if len(_places) < n:
+        with np.errstate(over="ignore"):
+            _places = mixed(np.arange(1, 2 * n + 1, dtype=np.uint64) * BASE)
+    return _places[:n]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -80,6 +84,18 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def top_bytes(hashes: np.ndarray, width: int) -> np.ndarray:
+    """The ``width`` highest bytes of each hash, a row for each."""
+    return (hashes >> np.uint64(64 - 8 * width)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+
+
+def as_number(carried: np.ndarray) -> np.ndarray:
+    """What ``top_bytes`` gave, as numbers."""
+    raw = np.zeros((len(carried), 8), dtype=np.uint8)
+    raw[:, : carried.shape[1]] = carried
+    return raw.view("<u8").ravel()
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64 for i < n."""
     if len(_powers[0]) < n:
@@ -102,6 +118,11 @@ def windows(hashes: np.ndarray, size: int) -> np.ndarray:
         return mixed((sums[size:] - sums[:-size]) * down[:n])
 
 
+with np.errstate(over="ignore"):
+    _BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+_places = np.empty(0, dtype=np.uint64)
+
+
 #: Bits of a membership filter: 4 MB for any input, 8.4 MB as a broadcast table holds them.
 FILTER_BITS = 1 << 25
 

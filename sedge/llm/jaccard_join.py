@@ -20,14 +20,15 @@ for each document, and no link between components is missed.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedge.llm.hashing import may_hold, membership, mixed, text_hashes, windows
-from sedge.llm.shared import components, looked_up, shuffle_partitions, stored
+from sedge.llm.hashing import SECOND, as_number, may_hold, membership, mixed, text_hashes, top_bytes, windows
+from sedge.llm.shared import COARSE, components, looked_up, resplit, shuffle_partitions, stored
 
 #: Sizes of a band span this factor.
 BAND = 1.5
@@ -39,7 +40,9 @@ WIDTH, TAGS = 5, 8
 #: rows of a group that are compared at once, and those of a small group.
 TURNS, BLOCK, SMALL = 2, 1024, 8
 #: Documents whose words a task passes on once only while it remembers them.
-SEEN = 200_000
+SEEN = 100_000
+#: Seeds of signatures that are tried until no two sets share one; one nearly always does.
+SEEDS = 4
 
 
 def shingles(text: str | None, n: int) -> np.ndarray:
@@ -53,9 +56,11 @@ def shingles(text: str | None, n: int) -> np.ndarray:
     return np.unique(windows(words, n))
 
 
-def signature(s: np.ndarray) -> int:
-    """The same for equal sets: 64 bits of the set, not of any order."""
+def signature(s: np.ndarray, seed: int = 0) -> int:
+    """The same for equal sets: 64 bits of the set, not of any order; others for another seed."""
     with np.errstate(over="ignore"):
+        if seed:
+            s = mixed(s ^ (np.uint64(seed) * SECOND))
         total = np.array([s.sum(dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.bitwise_xor.reduce(mixed(s)) + np.uint64(len(s))]) if len(s) else np.zeros(1, dtype=np.uint64)
     return int(mixed(total).view(np.int64)[0])
 
@@ -108,15 +113,15 @@ class Bands:
         return hashes & ~(np.uint64(TAGS - 1) << at) | np.uint64(band % TAGS) << at, needed
 
 
-SCANNED = "doc_id long, n_shingles long, set_id long, needed array<int>, part int, sets binary, words binary"
-FIELDS = ["doc_id", "n_shingles", "set_id", "needed", "part", "sets", "words"]
+SCANNED = "doc_id long, n_shingles long, set_id long, other_id long, needed array<int>, part int, sets binary, words binary"
+FIELDS = ["doc_id", "n_shingles", "set_id", "other_id", "needed", "part", "sets", "words"]
 
 
-def _scan(n: int, percent: int, classes: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _scan(n: int, percent: int, classes: int, seed: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """A row for each document, and packed sketch words: a row for each flush and class.
 
     needed: for each band's tag how many words a partner in it shares, on the row of
-    the document that gave the words.
+    the document that gave the words. other_id: a second signature.
     """
     bands, seen = Bands(percent), set()
     ids: list[np.ndarray] = []
@@ -128,16 +133,17 @@ def _scan(n: int, percent: int, classes: int, batches: Iterator[pd.DataFrame]) -
         part = (hashes % np.uint64(classes)).astype(np.uint16 if classes < 1 << 16 else np.uint32)
         order = np.argsort(part, kind="stable")
         ends = np.searchsorted(part[order], np.arange(classes + 1))
-        tops = (hashes >> np.uint64(64 - 8 * WIDTH)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH]
-        rows = [(None, None, None, None, c, owner[at].tobytes(), tops[at].tobytes()) for c in range(classes) if len(at := order[ends[c] : ends[c + 1]])]
+        tops = top_bytes(hashes, WIDTH)
+        rows = [(None, None, None, None, None, c, owner[at].tobytes(), tops[at].tobytes()) for c in range(classes) if len(at := order[ends[c] : ends[c + 1]])]
         return pd.DataFrame(rows, columns=FIELDS)
 
     for batch in batches:
-        sizes, own, needed = [], [], []
+        sizes, own, other, needed = [], [], [], []
         for text in batch["text"]:
             s = shingles(text, n)
             sizes.append(len(s))
-            own.append(signature(s))
+            own.append(signature(s, seed))
+            other.append(signature(s, seed + 1))
             needed.append(None)
             if len(s) < bands.edges[0] or own[-1] in seen:
                 continue
@@ -150,7 +156,7 @@ def _scan(n: int, percent: int, classes: int, batches: Iterator[pd.DataFrame]) -
                 ids.append(np.full(len(w), own[-1], dtype=np.int64))
                 words.append(w)
                 held += len(w)
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": sizes, "set_id": own, "needed": needed, "part": None, "sets": None, "words": None})
+        yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": sizes, "set_id": own, "other_id": other, "needed": needed, "part": None, "sets": None, "words": None})
         if held >= FLUSH:
             yield flush()
             ids, words, held = [], [], 0
@@ -160,10 +166,7 @@ def _scan(n: int, percent: int, classes: int, batches: Iterator[pd.DataFrame]) -
 
 def _meet(group: pd.DataFrame) -> pd.DataFrame:
     """(word, tag, sharing, set_id) for the words of a class that ``sharing`` > 1 sets share."""
-    raw = [np.frombuffer(w, np.uint8).reshape(-1, WIDTH) for w in group["words"]]
-    words = np.zeros((sum(map(len, raw)), 8), dtype=np.uint8)
-    words[:, :WIDTH] = np.concatenate(raw)
-    words = words.view("<u8").ravel()
+    words = as_number(np.concatenate([np.frombuffer(w, np.uint8).reshape(-1, WIDTH) for w in group["words"]]))
     sets = np.concatenate([np.frombuffer(s, np.int64) for s in group["sets"]])
     order = np.lexsort((sets, words))
     words, sets = words[order], sets[order]
@@ -173,7 +176,26 @@ def _meet(group: pd.DataFrame) -> pd.DataFrame:
     sharing = np.bincount(run)[run]
     some = sharing > 1
     words = words[some].astype(np.int64)
-    return pd.DataFrame({"word": words << 16 | np.int64(group["part"].iloc[0] % (1 << 16)), "tag": words % TAGS, "sharing": sharing[some], "set_id": sets[some]})
+    return pd.DataFrame({"word": words << 16 | np.int64(group["part"].iloc[0]), "tag": words % TAGS, "sharing": sharing[some], "set_id": sets[some]})
+
+
+PACKED = "part int, sets binary, words binary"
+
+
+def _finer(n: int, rows: pd.DataFrame) -> pd.DataFrame:
+    """Packed rows of a class dealt into ``n`` finer ones."""
+    words = np.concatenate([np.frombuffer(w, np.uint8).reshape(-1, WIDTH) for w in rows["words"]])
+    sets = np.concatenate([np.frombuffer(x, np.int64) for x in rows["sets"]])
+    fine = (mixed(as_number(words)) % np.uint64(n)).astype(np.int64)
+    part = int(rows["part"].iloc[0])
+    return pd.DataFrame([(part, int(f), sets[fine == f].tobytes(), words[fine == f].tobytes()) for f in np.unique(fine)], columns=["part", "fine", "sets", "words"])
+
+
+def _by_class(packed: DataFrame, classes: int):
+    """``packed`` grouped so that a group has about ``CLASS`` words, in two steps if many."""
+    if classes <= COARSE:
+        return packed.groupBy("part")
+    return resplit(packed, PACKED, partial(_finer, -(-classes // COARSE)), FLUSH // 8).groupBy("part", "fine")
 
 
 def bit_sketch(s: np.ndarray) -> np.ndarray:
@@ -246,13 +268,13 @@ def folded_all(raw: list[np.ndarray], lengths: np.ndarray, words: int) -> np.nda
     return out
 
 
-def link_sets(docs: DataFrame, sets: DataFrame, packed: DataFrame, n: int, percent: int) -> DataFrame:
+def link_sets(docs: DataFrame, sets: DataFrame, packed: DataFrame, n: int, percent: int, classes: int, seed: int = 0) -> DataFrame:
     """(node, component) of the sets that link with a different one.
 
     ``docs``: doc_id, text. ``sets``: set_id, n_shingles, needed, copies, doc_id (of
     one document). ``packed``: part, sets, words.
     """
-    shared = stored(packed.groupBy("part").applyInPandas(_meet, "word long, tag int, sharing long, set_id long"), "jaccard-shared")
+    shared = stored(_by_class(packed, classes).applyInPandas(_meet, "word long, tag int, sharing long, set_id long"), "jaccard-shared")
     # a set has a few words for each shingle, so these windows are no longer than a text
     of_band = Window.partitionBy("set_id", "tag")
     common_first = of_band.orderBy(F.col("sharing").desc(), F.col("word").desc())
@@ -268,7 +290,7 @@ def link_sets(docs: DataFrame, sets: DataFrame, packed: DataFrame, n: int, perce
 
     def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            got = [(own, s.view(np.int64), bit_sketch(s).view(np.int64)) for t, own in zip(batch["text"], batch["set_id"], strict=True) if signature(s := shingles(t, n)) == own]
+            got = [(own, s.view(np.int64), bit_sketch(s).view(np.int64)) for t, own in zip(batch["text"], batch["set_id"], strict=True) if signature(s := shingles(t, n), seed) == own]
             yield pd.DataFrame(got, columns=["set_id", "items", "sketch"])
 
     near = may_hold(docs, "doc_id", membership(wanted, "doc_id"), "near").filter("near")
@@ -330,18 +352,27 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
     when 100 * intersection >= ``percent`` * union of their sets of ``n``-word
     shingles. Null and empty texts have no shingles and link with nothing, so each
     is its own component. Rows that repeat an id are one node if their texts have
-    equal sets. Empty tables give empty results; other columns are ignored. Sets
-    are told apart by 64 bits of hash, links are verified on 64-bit shingles.
+    equal sets; a null id is never the smallest. Empty tables give empty results; other columns
+    are ignored. Sets are told apart by 128 bits of two signatures: where two share the first,
+    which serves as their number, everything is done again under another seed. Links
+    are verified on 64-bit shingles.
     """
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     letters = text.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # about six bytes to a word, and 0.3 sketch words
     classes = max(shuffle_partitions(docs.sparkSession), int(letters / 6 * 0.3 / CLASS) + 1)
-    scanned = stored(text.mapInPandas(lambda b: _scan(n, percent, classes, b), SCANNED), "jaccard-scanned")
-    every = scanned.filter("part is null").select("doc_id", "n_shingles", "set_id", "needed")
-    sets = stored(every.filter("n_shingles > 0").groupBy("set_id").agg(F.max("n_shingles").alias("n_shingles"), F.max("needed").alias("needed"), F.count("*").alias("copies"), F.min("doc_id").alias("doc_id")), "jaccard-sets")
-    linked = link_sets(text, sets, scanned.filter("part is not null").select("part", "sets", "words"), n, percent).withColumnRenamed("node", "set_id")
+    for seed in range(0, 2 * SEEDS, 2):
+        scanned = stored(text.mapInPandas(partial(_scan, n, percent, min(classes, COARSE), seed), SCANNED), "jaccard-scanned")
+        every = scanned.filter("part is null").select("doc_id", "n_shingles", "set_id", "other_id", "needed")
+        per = every.filter("n_shingles > 0").groupBy("set_id").agg(F.max("n_shingles").alias("n_shingles"), F.max("needed").alias("needed"), F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"), F.min("other_id").alias("low"), F.max("other_id").alias("high"))
+        sets = stored(per, "jaccard-sets")
+        if sets.filter("low <> high").isEmpty():
+            break
+    else:
+        raise RuntimeError("different sets have the same signature under every seed")
+    sets = sets.drop("low", "high")
+    linked = link_sets(text, sets, scanned.filter("part is not null").select("part", "sets", "words"), n, percent, classes, seed).withColumnRenamed("node", "set_id")
     of_set = sets.join(linked, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     least = of_set.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     table = stored(of_set.join(least, "component").filter("copies > 1 or component_id <> doc_id").select("set_id", "copies", "component_id"), "jaccard-components")
-    return looked_up(every.drop("needed"), table, ["set_id"], "copies").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return looked_up(every.drop("needed", "other_id"), table, ["set_id"], "copies").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))

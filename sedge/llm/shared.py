@@ -8,8 +8,10 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,13 +45,15 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, local mode) a temporary folder
-    is made for the application and removed when the driver ends.
+    Only where the session names none and has a local master (tests) a temporary
+    folder is made for the application and removed when the driver ends.
     """
     app = spark.sparkContext.applicationId
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return f"{root.rstrip('/')}/{app}"
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="sedge-shared-")
         atexit.register(shutil.rmtree, _own_dirs[app], ignore_errors=True)
@@ -68,6 +72,35 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Classes into which a task deals packed rows at once: each of its flushes makes a row for
+#: each class at most, so with more the rows would be small and many.
+COARSE = 4096
+
+
+def resplit(packed: DataFrame, schema: str, split: Callable[[pd.DataFrame], pd.DataFrame], flush: int) -> DataFrame:
+    """``packed`` rows (part, binary columns) dealt into finer classes (part, fine).
+
+    Rows are first brought together by part, so a task sees few parts; it gathers
+    ``flush`` rows' worth of bytes of a part before ``split(rows of one part)`` deals them.
+    """
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, list[pd.DataFrame]] = {}
+        size: dict[int, int] = {}
+        for batch in batches:
+            for part, rows in batch.groupby("part"):
+                held.setdefault(part, []).append(rows)
+                size[part] = size.get(part, 0) + int(sum(rows[c].map(len).sum() for c in names[1:]))
+                if size[part] >= 16 * flush:
+                    yield split(pd.concat(held.pop(part)))
+                    del size[part]
+        for rows in held.values():
+            yield split(pd.concat(rows))
+
+    return packed.repartition(shuffle_partitions(packed.sparkSession), "part").sortWithinPartitions("part").mapInPandas(deal, schema.replace("part int", "part int, fine int"))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

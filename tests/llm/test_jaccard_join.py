@@ -79,3 +79,34 @@ def test_linked_pairs_meet():
             met = [{x: bands.words(np.unique(s), x) for x in bands.of(len(np.unique(s)))} for s in (a, b)]
             both = {x: len(set(met[0][x][0].tolist()) & set(met[1][x][0].tolist())) for x in met[0].keys() & met[1].keys()}
             assert any(n >= max(met[0][x][1], met[1][x][1]) >= 1 for x, n in both.items())
+
+
+def test_long_words_differ(spark):
+    letters = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = letters.translate(str.maketrans("ab", "ba"))
+    rows = [(1, letters), (2, other), (3, f"x y z {letters}"), (4, f"x y z {other}"), (5, other.upper())]
+    assert sorted(tuple(r) for r in jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()) == brute(rows, 4, 85)
+
+
+def test_equal_signatures_are_noticed(spark, monkeypatch):
+    """Where sets share a signature all is done again under another seed."""
+    scan = jaccard_join._scan
+    monkeypatch.setattr(jaccard_join, "SEEDS", 2)
+
+    def poor(n, percent, classes, seed, batches):
+        for rows in scan(n, percent, classes, seed, batches):
+            yield rows.assign(set_id=rows["n_shingles"]) if seed == 0 and rows["part"].isna().all() else rows
+
+    monkeypatch.setattr(jaccard_join, "_scan", poor)
+    rows = [r[:2] for r in documents()]
+    assert sorted(tuple(r) for r in jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()) == brute(rows, 4, 85)
+
+
+def test_classes_dealt_twice(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "COARSE", 3)
+    monkeypatch.setattr(jaccard_join, "FLUSH", 2000)
+    rng = random.Random(2)
+    base = prose(rng, 90).split()
+    rows = [r[:2] for r in documents()] + [(500 + i, edited(rng, base, i % 4)) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(tuple(r) for r in jaccard_join.join(df, 4, 85).collect()) == brute(rows, 4, 85)

@@ -87,3 +87,40 @@ def test_classes_without_repeats(spark):
     rows = [(i, "one two three four five six seven") for i in range(3)] + [(9, "a b c d e f g h")]
     got = {r.doc_id: r.n_removed for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()}
     assert got == {0: 7, 1: 7, 2: 7, 9: 0}
+
+
+def swapped(letters):
+    """Two strings of ``letters`` a and b that any polynomial modulo a power of two takes for equal."""
+    a = ""
+    for i in range(letters):
+        a += "ab"[bin(i).count("1") % 2]
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_long_words_differ(spark):
+    """Words are told apart whatever they repeat; one that differs is no repeat."""
+    for letters in (8, 1024, 1 << 15):
+        assert len(set(hashing.text_hashes(" ".join(swapped(letters)).encode()).tolist())) == 2
+    words = prose(random.Random(4), 34).split()
+    one, two = swapped(1024)
+    rows = [(1, " ".join([*words, one])), (2, " ".join([*words, two])), (3, " ".join([*words[:20], two, *words[20:]]))]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(r.n_words, r.n_removed) for r in got] == [(35, 0)] * 3
+
+
+def test_windows_are_compared_by_both_hashes(spark, monkeypatch):
+    """With nothing carried of the first hash but a byte, the second one still tells windows apart."""
+    monkeypatch.setattr(substring_dedup, "WINDOW_BYTES", (1, 8))
+    rows = [r[:2] for r in documents()]
+    got = sorted((tuple(r) for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()), key=str)
+    assert got == brute(rows, 5)
+
+
+def test_classes_dealt_twice(spark, monkeypatch):
+    """More classes than a task deals at once."""
+    monkeypatch.setattr(substring_dedup, "COARSE", 4)
+    monkeypatch.setattr(substring_dedup, "FLUSH", 4000)
+    rows = [r[:2] for r in documents()]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((tuple(r) for r in substring_dedup.remove_repeats(df, 5).collect()), key=str)
+    assert got == brute(rows, 5)
