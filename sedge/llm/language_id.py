@@ -12,6 +12,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
@@ -20,23 +21,46 @@ from pyspark.sql import functions as F
 
 from sedge.llm.shared import stored
 
-#: Families of related languages by ISO 639-1 code; any other code is its own family.
+#: Families of related languages by ISO 639-1 code; any other code is its own family. Fixed values.
 FAMILIES = {
-    "germanic": ["af", "da", "de", "en", "is", "nl", "no", "sv"],
-    "romance": ["ca", "es", "fr", "gl", "it", "pt", "ro"],
-    "slavic": ["be", "bg", "cs", "hr", "mk", "pl", "ru", "sk", "sl", "sr", "uk"],
+    "baltic": ["lt", "lv"],
+    "bantu": ["ln", "lg", "ny", "rn", "rw", "sn", "st", "sw", "tn", "ts", "xh", "zu"],
+    "celtic": ["br", "cy", "ga", "gd", "gv", "kw"],
+    "dravidian": ["kn", "ml", "ta", "te"],
+    "germanic": ["af", "da", "de", "en", "fo", "fy", "is", "lb", "nb", "nl", "nn", "no", "sv", "yi"],
+    "indo-aryan": ["as", "bn", "gu", "hi", "mr", "ne", "or", "pa", "sa", "sd", "si", "ur"],
+    "iranian": ["fa", "ku", "ps", "tg"],
+    "malayo-polynesian": ["id", "jv", "mg", "mi", "ms", "sm", "su", "tl", "to"],
+    "romance": ["ca", "co", "es", "fr", "gl", "it", "la", "oc", "pt", "rm", "ro"],
+    "semitic": ["am", "ar", "he", "mt", "ti"],
+    "sinitic and japonic": ["ja", "zh"],
+    "slavic": ["be", "bg", "bs", "cs", "hr", "mk", "pl", "ru", "sk", "sl", "sr", "uk"],
+    "tai": ["lo", "th"],
+    "turkic": ["az", "ba", "kk", "ky", "tk", "tr", "tt", "ug", "uz"],
+    "uralic": ["et", "fi", "hu", "se"],
 }
 FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes}
 #: Hashed features, and the labelled rows of each language that a fit uses at most.
 DIMENSIONS, SAMPLE = 2048, 1000
+#: Separators that are fitted at the same time.
+AT_ONCE = 8
 UNKNOWN = "und"
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
+def letters_of(text: str | None) -> str:
+    """Lower case, everything but letters (Unicode category L) as one space."""
+    kept = _NOT_LETTERS.sub(" ", text.lower()).strip() if text else ""
+    # what is left may hold other numbers, such as a half or a circled one
+    if not kept.replace(" ", "").isalpha():
+        kept = " ".join("".join(c if c.isalpha() else " " for c in kept).split())
+    return kept
+
+
 def features(text: str | None) -> np.ndarray | None:
     """Square roots of the shares of letter pairs and triples; None without a letter."""
-    letters = _NOT_LETTERS.sub(" ", text.lower()).strip() if text else ""
+    letters = letters_of(text)
     if not letters:
         return None
     b = np.frombuffer(f" {letters} ".encode("utf-8", "surrogatepass"), dtype=np.uint8).astype(np.uint32)
@@ -90,16 +114,24 @@ class Model:
         return names.tolist(), score
 
 
-def _vote(sample: DataFrame, column: str, classes: list[str]) -> Vote:
+def _votes(sample: DataFrame, groups: list[tuple[str, list[str]]]) -> list[Vote]:
+    """A ``Vote`` for each (column, classes), all their separators fitted side by side."""
+    from pyspark import inheritable_thread_target
     from pyspark.ml.classification import LinearSVC  # the tasks that predict do without
 
-    weights, bias = [], []
-    for one, two in combinations(classes, 2):
+    def separator(column: str, one: str, two: str) -> tuple[np.ndarray, float]:
         rows = sample.filter(F.col(column).isin(one, two)).select("x", (F.col(column) == one).cast("double").alias("y"))
         fitted = LinearSVC(featuresCol="x", labelCol="y", maxIter=25, regParam=1e-3, standardization=False).fit(rows)
-        weights.append(fitted.coefficients.toArray())
-        bias.append(fitted.intercept)
-    return Vote(classes, np.array(weights, dtype=np.float32), np.array(bias, dtype=np.float32))
+        return fitted.coefficients.toArray(), fitted.intercept
+
+    wanted = [(column, one, two) for column, classes in groups for one, two in combinations(classes, 2)]
+    with ThreadPool(AT_ONCE) as pool:
+        fitted = iter(pool.map(inheritable_thread_target(sample.sparkSession)(lambda w: separator(*w)), wanted))
+    votes = []
+    for _, classes in groups:
+        own = [next(fitted) for _ in combinations(classes, 2)]
+        votes.append(Vote(classes, np.array([w for w, _ in own], dtype=np.float32), np.array([b for _, b in own], dtype=np.float32)))
+    return votes
 
 
 def held_out(id_col: str = "doc_id"):
@@ -131,14 +163,15 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
     if not known:
         return None
     families = sorted({f for f, _ in known})
-    return Model(_vote(points, "family", families), [_vote(points, "lang", [code for g, code in known if g == f]) for f in families])
+    top, *within = _votes(points, [("family", families), *(("lang", [code for g, code in known if g == f]) for f in families)])
+    return Model(top, within)
 
 
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score (0 to 1).
 
     A null text, one without a letter, and every text if nothing was learned get
-    ``und`` with score 0. Columns of these names must not be in ``docs``.
+    ``und`` with score 0. Columns of these names in ``docs`` give way to the new ones.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # DIMENSIONS floats for each pair
 
@@ -157,7 +190,8 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
                 out += part
             yield pd.DataFrame(out, columns=["lang_pred", "score"])
 
-    return docs.withColumn("_guess", guess(F.col(text_col))).select("*", "_guess.lang_pred", "_guess.score").drop("_guess")
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    return docs.select(*kept, guess(F.col(text_col)).alias("_guess")).select(*kept, "_guess.lang_pred", "_guess.score")
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> DataFrame:
