@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedge.llm.shared import SPACE, looked_up, shuffle_partitions, stored
+from sedge.llm.shared import SPACE, looked_up, shuffle_partitions, stored, trimmed
 
 #: Key bits that a directory may use at most.
 MAX_DEPTH = 16
@@ -136,10 +136,10 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         yield from _combine(with_bucket())
 
     entries = (
-        text.mapInPandas(place, "bucket int, key long, norm string, doc_id long, copies long")
+        text.mapInPandas(trimmed(place), "bucket int, key long, norm string, doc_id long, copies long")
         .repartition(parts, "bucket")
         .sortWithinPartitions("bucket", "key", "doc_id")
-        .mapInPandas(_own, "bucket int, key long, slot int, text_sha256 string, keep_id long, group_size long")
+        .mapInPandas(trimmed(_own), "bucket int, key long, slot int, text_sha256 string, keep_id long, group_size long")
     )
     return documents, stored(entries, "dedup-index")
 

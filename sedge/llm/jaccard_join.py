@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedge.llm.hashing import SECOND, as_number, may_hold, membership, mixed, text_hashes, top_bytes, windows
-from sedge.llm.shared import COARSE, components, looked_up, resplit, shuffle_partitions, stored
+from sedge.llm.shared import COARSE, components, looked_up, resplit, shuffle_partitions, stored, trimmed
 
 #: Sizes of a band span this factor.
 BAND = 1.5
@@ -294,7 +294,7 @@ def link_sets(docs: DataFrame, sets: DataFrame, packed: DataFrame, n: int, perce
             yield pd.DataFrame(got, columns=["set_id", "items", "sketch"])
 
     near = may_hold(docs, "doc_id", membership(wanted, "doc_id"), "near").filter("near")
-    items = stored(near.select("doc_id", "text").join(wanted.select("doc_id", "set_id"), "doc_id").mapInPandas(compute, "set_id long, items array<long>, sketch array<long>").dropDuplicates(["set_id"]), "jaccard-items")
+    items = stored(near.select("doc_id", "text").join(wanted.select("doc_id", "set_id"), "doc_id").mapInPandas(trimmed(compute), "set_id long, items array<long>, sketch array<long>").dropDuplicates(["set_id"]), "jaccard-items")
     state = stored(met.join(wanted.select("set_id", "n_shingles"), "set_id").withColumn("component", F.col("set_id")), "jaccard-state")
     links, tested = None, None
     sketches = items.select("set_id", "sketch")
@@ -362,7 +362,7 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
     # about six bytes to a word, and 0.3 sketch words
     classes = max(shuffle_partitions(docs.sparkSession), int(letters / 6 * 0.3 / CLASS) + 1)
     for seed in range(0, 2 * SEEDS, 2):
-        scanned = stored(text.mapInPandas(partial(_scan, n, percent, min(classes, COARSE), seed), SCANNED), "jaccard-scanned")
+        scanned = stored(text.mapInPandas(trimmed(partial(_scan, n, percent, min(classes, COARSE), seed)), SCANNED), "jaccard-scanned")
         every = scanned.filter("part is null").select("doc_id", "n_shingles", "set_id", "other_id", "needed")
         per = every.filter("n_shingles > 0").groupBy("set_id").agg(F.max("n_shingles").alias("n_shingles"), F.max("needed").alias("needed"), F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"), F.min("other_id").alias("low"), F.max("other_id").alias("high"))
         sets = stored(per, "jaccard-sets")

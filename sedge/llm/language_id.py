@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedge.llm.shared import stored
+from sedge.llm.shared import stored, trimmed
 
 #: Families of related languages by ISO 639-1 code; any other code is its own family. Fixed values.
 FAMILIES = {
@@ -151,14 +151,14 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
     share = rows.groupBy("lang").count().select("lang", (F.lit(float(sample)) / F.col("count")).alias("share"))
     position = F.pmod(F.xxhash64("order"), F.lit(1 << 30)) / float(1 << 30)
 
-    @F.pandas_udf("array<float>")
-    def vector(texts: pd.Series) -> pd.Series:
-        return pd.Series([features(t) for t in texts])
+    def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch[["lang", "family"]].assign(v=[features(t) for t in batch["text"]]).dropna(subset="v")
 
     family = F.coalesce(*[F.when(F.col("lang").isin(codes), F.lit(name)) for name, codes in FAMILIES.items()], F.col("lang"))
     # one row for each language: far under any broadcast limit
-    chosen = rows.join(F.broadcast(share), "lang").filter(position < F.col("share")).select("lang", family.alias("family"), vector("text").alias("v")).filter("v is not null")
-    points = stored(chosen, "language-sample").select("lang", "family", array_to_vector("v").alias("x"))
+    chosen = rows.join(F.broadcast(share), "lang").filter(position < F.col("share")).select("lang", family.alias("family"), "text")
+    points = stored(chosen.mapInPandas(trimmed(vectors), "lang string, family string, v array<float>"), "language-sample").select("lang", "family", array_to_vector("v").alias("x"))
     known = sorted((r["family"], r["lang"]) for r in points.select("family", "lang").distinct().collect())
     if not known:
         return None
@@ -177,6 +177,9 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
 
     @F.pandas_udf("lang_pred string, score double")
     def guess(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from trimmed(guesses)(batches)
+
+    def guesses(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known = shared.value
         for texts in batches:
             out = []

@@ -11,6 +11,7 @@ which ranks of its pieces go to which sequences.
 from __future__ import annotations
 
 import re
+import string
 import zlib
 from collections.abc import Iterator
 
@@ -19,16 +20,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedge.llm.shared import ranked, stored
+from sedge.llm.shared import ranked, stored, trimmed
 
-#: Bytes of words and ids that a worker remembers, over all its tasks: of the words seen
-#: last, and as many of those before them.
-CACHE_BYTES = 16 << 20
+#: Bytes of words and ids that a task remembers: of the words seen last, and as many of
+#: those before them.
+CACHE_BYTES = 32 << 20
 #: Bytes of text whose new words are encoded together.
 GROUP_BYTES = 1 << 20
 #: What ends in an ASCII letter or digit or a Latin letter (not U+0130, which lower-cases to
 #: a letter and a mark), and punctuation after it.
 _THEN_MARKS = re.compile(r"(.*[A-Za-z0-9À-ÖØ-öø-įı-ɏ])([!-/:-@\[-`{-~]+)", re.DOTALL)
+_MARKS = frozenset(string.punctuation.encode())
 _codecs: dict[str, WordCodec] = {}
 
 
@@ -55,41 +57,34 @@ class WordCodec:
 
     def ids(self, words: list[str]) -> list[bytes]:
         """The ids of each word, encoded apart."""
-        joined, alone = [], words
-        if self.parting is not None:
-            joined, alone = [w for w in words if "<" not in w], [w for w in words if "<" in w]
-        found: dict[str, bytes] = {}
-        if joined:
-            got = np.array(self.whole.encode_batch_fast([self.parting.join(joined)], add_special_tokens=False)[0].ids, dtype="<u4")
-            cuts = np.flatnonzero(got == self.whole.token_to_id(self.parting)).tolist()
-            raw, at = got.tobytes(), 0
-            for w, cut_ in zip(joined, [*cuts, len(got)], strict=True):
-                found[w] = raw[4 * at : 4 * cut_]
-                at = cut_ + 1
-        for w, e in zip(alone, self.whole.encode_batch_fast(alone, add_special_tokens=False), strict=True):
-            found[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return [found[w] for w in words]
+        if self.parting is None or any("<" in w for w in words):
+            return [np.array(e.ids, dtype="<u4").tobytes() for e in self.whole.encode_batch_fast(words, add_special_tokens=False)]
+        got = np.array(self.whole.encode_batch_fast([self.parting.join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ends = np.flatnonzero(got == self.whole.token_to_id(self.parting))
+        raw, starts = got.tobytes(), [0, *(4 * ends + 4).tolist()]
+        return [raw[a:b] for a, b in zip(starts, [*(4 * ends).tolist(), len(raw)], strict=True)]
 
     def learn(self, new: set[bytes]) -> None:
-        known, before = self.known, self.before
-        parts: dict[bytes, tuple[bytes, ...]] = {}
-        wanted: set[bytes] = set()
+        known, before, then = self.known, self.before, _THEN_MARKS.fullmatch
+        # what may hold a special token is encoded in a call of its own
+        plain, odd, parts = [], [], []
         for w in new:
             if (got := before.get(w)) is not None:
                 known[w] = got
-                self.held += 160 + len(w) + len(got)
-                continue
-            m = None if b"<|" in w else _THEN_MARKS.fullmatch(w.decode())
-            parts[w] = tuple(x.encode() for x in m.groups()) if m else (w,)
-            wanted.update(parts[w])
-        fresh = [w for w in wanted if w not in known]
-        found = dict(zip(fresh, self.ids([w.decode() for w in fresh]), strict=True))
-        known.update(found)
-        self.held += sum(160 + len(w) + len(x) for w, x in found.items())
-        for w, own in parts.items():
-            if len(own) == 2:
-                known[w] = known[own[0]] + known[own[1]]
-                self.held += 160 + len(w) + len(known[w])
+            elif w[-1] in _MARKS and b"<|" not in w and (m := then(w.decode())):
+                parts.append((w, *map(str.encode, m.groups())))
+            elif b"<" in w:
+                odd.append(w)
+            else:
+                plain.append(w)
+        heads = {x for _, *both in parts for x in both}.difference(known, plain, odd)
+        for x in heads:
+            (odd if b"<" in x else plain).append(x)
+        for some in (plain, odd):
+            if some:
+                known.update(zip(some, self.ids([w.decode() for w in some]), strict=True))
+        for w, head, tail in parts:
+            known[w] = known[head] + known[tail]
 
     def encode_all(self, texts: list[str | None]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text, nothing of a null one."""
@@ -111,12 +106,16 @@ class WordCodec:
         if self.held > CACHE_BYTES:
             self.known, self.before, self.held = {}, self.known, 0
         known = self.known
-        new = {w for words in group for w in words if w not in known}
+        new = set().union(*group).difference(known)
         if new:
             self.learn(new)
+            self.held += 200 * len(new) + sum(map(len, new)) + sum(len(known[w]) for w in new)
         for words in group:
             yield b"".join(map(known.__getitem__, words))
 
+    def forget(self) -> None:
+        self.known, self.before, self.held = {}, {}, 0
+
     def encode(self, text: str | None) -> bytes:
         return next(self.encode_all([text]))
 
@@ -136,7 +135,8 @@ def cut(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, id
     fields = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids]
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, end = codec(tokenizer).encode_all, np.array([end_id], dtype="<u4").tobytes()
+        words, end = codec(tokenizer), np.array([end_id], dtype="<u4").tobytes()
+        encode = words.encode_all
         for batch in batches:
             out = []
             for doc_id, ids in zip(batch["doc_id"].tolist(), encode(batch["text"].tolist()), strict=True):
@@ -146,10 +146,11 @@ def cut(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, id
                     piece = ids[4 * start : 4 * (start + window)]
                     out.append((doc_id, start, len(piece) // 4, zlib.crc32(piece), total, *[piece] * with_ids))
             yield pd.DataFrame(out, columns=fields)
+        words.forget()
 
     kept = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = dict(kept.dtypes)["doc_id"]
-    return kept.mapInPandas(pieces, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids)
+    return kept.mapInPandas(trimmed(pieces), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids)
 
 
 def combinations(units: int, present: set[int]) -> list[tuple[int, ...]]:

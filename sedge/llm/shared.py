@@ -4,6 +4,7 @@ ranks in hot groups, connected components and shipping of this package."""
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -12,6 +13,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,13 +21,15 @@ from pyspark.sql import functions as F
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Bytes of an Arrow batch: texts are long, ten thousand of them fill a worker.
+_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 _own_dirs: dict[str, str] = {}
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package and batches that suit texts, once for each application."""
+    """Give the executors this package, once for each application, and bound Arrow batches by
+    bytes unless the session does; that changes no result of any query."""
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -37,8 +41,8 @@ def ship(spark: SparkSession) -> None:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))
     spark.sparkContext.addPyFile(str(target))
-    if spark.conf.get(_BATCH) == "10000":
-        spark.conf.set(_BATCH, "1000")  # texts are long: ten thousand of them fill a worker
+    if not spark.conf.get(_BATCH, None):
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     _shipped.add(app)
 
 
@@ -72,6 +76,23 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def trimmed(f: Callable) -> Callable:
+    """``f``, a generator over batches, giving what its task has freed back to the system.
+
+    Workers are kept for other tasks, and what they hold counts against their executor.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from f(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the GNU C library
+                trim(0)
+
+    return run
+
+
 #: Classes into which a task deals packed rows at once: each of its flushes makes a row for
 #: each class at most, so with more the rows would be small and many.
 COARSE = 4096
@@ -98,7 +119,7 @@ def resplit(packed: DataFrame, schema: str, split: Callable[[pd.DataFrame], pd.D
         for rows in held.values():
             yield split(pd.concat(rows))
 
-    return packed.repartition(shuffle_partitions(packed.sparkSession), "part").sortWithinPartitions("part").mapInPandas(deal, schema.replace("part int", "part int, fine int"))
+    return packed.repartition(shuffle_partitions(packed.sparkSession), "part").sortWithinPartitions("part").mapInPandas(trimmed(deal), schema.replace("part int", "part int, fine int"))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedge.llm.hashing import SECOND, as_number, may_hold, membership, mixed, text_hashes, top_bytes, windows, words_of
-from sedge.llm.shared import COARSE, resplit, shuffle_partitions, stored
+from sedge.llm.shared import COARSE, resplit, shuffle_partitions, stored, trimmed
 
 #: Rolling blocks that a task holds before it passes them on, and in a class.
 FLUSH, CLASS = 1_000_000, 2_000_000
@@ -196,7 +196,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
     def met(positions: np.ndarray, run: np.ndarray) -> np.ndarray:
         return (positions % block == 0) & (np.bincount(run)[run] > 1) if len(run) else np.empty(0, bool)
 
-    blocks = stored(by_document(text.select("key", "text").mapInPandas(roll, PACKED), BLOCK_BYTES, met, classes), "anchors-blocks")
+    blocks = stored(by_document(text.select("key", "text").mapInPandas(trimmed(roll), PACKED), BLOCK_BYTES, met, classes), "anchors-blocks")
     found = blocks.select("key", F.col("positions").alias("blocks"))
     near = may_hold(text, "key", membership(blocks, "key"), "near")
 
@@ -215,7 +215,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
         return np.bincount(run)[run] == 1 if len(run) else np.empty(0, bool)
 
     # what comes back is the windows that did not repeat, far fewer than those that did
-    alone = stored(by_document(near.filter("near").select("key", "text").join(found, "key").mapInPandas(extend, PACKED), WINDOW_BYTES, single, classes), "anchors-alone")
+    alone = stored(by_document(near.filter("near").select("key", "text").join(found, "key").mapInPandas(trimmed(extend), PACKED), WINDOW_BYTES, single, classes), "anchors-alone")
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -239,4 +239,4 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
     no_list = F.lit(None).cast("array<int>")
     marked = near.filter("near").select("doc_id", "text", "key").join(found, "key", "left").join(alone.select("key", F.col("positions").alias("alone")), "key", "left")
     every = near.filter("not near").select("doc_id", "text", no_list.alias("blocks"), no_list.alias("alone")).unionByName(marked.select("doc_id", "text", "blocks", "alone"))
-    return every.mapInPandas(finish, f"doc_id {dict(text.dtypes)['doc_id']}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
+    return every.mapInPandas(trimmed(finish), f"doc_id {dict(text.dtypes)['doc_id']}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
