@@ -16,19 +16,23 @@ from pyspark.sql import functions as F
 
 ROUNDS = 8
 _ISO = r"(?:1[89]|2[01])\d{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])"
-_EMAIL = r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}"
+#: Repeats of groups are bounded or possessive: Java's matcher takes stack for each turn of any other.
+_EMAIL = r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,10}[A-Za-z]{2,63}"
 #: Between the digits of a number; what follows may not be a date, an address or a mailbox.
-_GAP = rf"(?:[ -](?!{_ISO}(?!\d)|\d{{1,2}}(?:/\d{{1,2}}/|\.\d{{1,2}}\.)\d{{4}}(?!\d)|\d{{1,3}}(?:\.\d{{1,3}}){{3}}(?!\d)|{_EMAIL}))?"
+_PART = rf"[ -](?!{_ISO}(?!\d)|\d{{1,2}}(?:/\d{{1,2}}/|\.\d{{1,2}}\.)\d{{4}}(?!\d)|\d{{1,3}}(?:\.\d{{1,3}}){{3}}(?!\d)|{_EMAIL})"
+_GAP = rf"(?:{_PART})?"
 #: What is looked at; whether it is a value is decided after. Runs of 13 digits and more
 #: come before what they may hold.
 PATTERNS = {
     "email": _EMAIL,
     "date": rf"{_ISO}|" r"\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}",
     "ip": r"\d{1,3}(?:\.\d{1,3}){3}",
-    "card": rf"\d(?:{_GAP}\d){{12,}}",
+    "card": rf"(?=(?:\d[ -]?){{12}}\d)\d++(?:{_PART}\d++(?![A-Za-z]))*+",
     "ssn": r"\d{3}-\d{2}-\d{4}",
-    "phone": r"(?:\+\d{1,3}[ -]?)?\(\d{3}\)[ -]?\d{3}[ -]\d{4}|" rf"\+\d{{1,3}}(?:{_GAP}\d){{7,12}}|" r"\d{3}-\d{3}-\d{4}",
+    "phone": r"(?:\+\d{1,3}[ -]?)?\(\d{3}\)[ -]?\d{3}[ -]\d{4}|" rf"\+\d{{1,3}}(?:{_GAP}\d){{7,12}}|" r"\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4}",
 }
+#: Digits of ``base`` that one network permutes: its halves stay within 64 bits.
+BLOCK = 24
 #: A time may follow a date.
 ANY = rf"(?<![0-9A-Za-z])(?:{_ISO}(?=T\d)|(?:" + "|".join(PATTERNS.values()) + r")(?![0-9A-Za-z]))"
 #: Four hundred years from here: 146,097 days, 189 x 773.
@@ -37,9 +41,9 @@ FIRST_DAY, DAYS = "1800-01-01", (189, 773)
 WALK = 64
 
 
-def _secret(key: str, label: Column, turn: Column, half: Column) -> Column:
+def _secret(key: str | Column, label: Column, turn: Column, half: Column) -> Column:
     """60 keyed bits of a half."""
-    text = F.concat_ws("|", F.lit(key), label, turn.cast("string"), half.cast("string"))
+    text = F.concat_ws("|", key if isinstance(key, Column) else F.lit(key), label, turn.cast("string"), half.cast("string"))
     return F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long")
 
 
@@ -64,13 +68,27 @@ def _let(value: Column, body) -> Column:
 
 
 def permute(key: str, label: Column, s: Column, base: int) -> Column:
-    """A string of up to 24 digits of ``base`` permuted among those of its length."""
+    """A string of up to ``BLOCK`` digits of ``base`` permuted among those of its length.
+
+    A single digit has no two halves: all are put in a keyed order, and it gets the
+    digit that stands at its place.
+    """
     n = F.length(s)
     m = F.floor(n / 2).cast("int")
     number = lambda x: F.coalesce(F.conv(x, base, 10).cast("long"), F.lit(0).cast("long"))
     text = lambda x, k: F.when(k > 0, F.lpad(F.lower(F.conv(x.cast("string"), 10, base)), k, F.lit("0"))).otherwise("")
-    pair = feistel(key, F.concat_ws("|", label, n.cast("string")), number(F.substring(s, F.lit(1), m)), number(F.substring(s, m + 1, n - m)), power(base, m), power(base, n - m))
-    return F.when(n > 0, _let(pair, lambda p: F.concat(text(p["a"], m), text(p["b"], n - m)))).otherwise("")
+    of_length = F.concat_ws("|", label, n.cast("string"))
+    pair = feistel(key, of_length, number(F.substring(s, F.lit(1), m)), number(F.substring(s, m + 1, n - m)), power(base, m), power(base, n - m))
+    every = F.sort_array(F.transform(F.sequence(F.lit(0), F.lit(base - 1)), lambda d: F.struct(_secret(key, of_length, F.lit(0), d).alias("order"), d.alias("digit"))))
+    single = F.element_at(every, (number(s) + 1).cast("int"))["digit"]
+    return F.when(n == 1, text(single, n)).when(n > 0, _let(pair, lambda p: F.concat(text(p["a"], m), text(p["b"], n - m)))).otherwise("")
+
+
+def permute_all(key: str, label: Column, s: Column, base: int) -> Column:
+    """A string of any number of digits, ``BLOCK`` after ``BLOCK``, each in its own way."""
+    blocks = F.sequence(F.lit(0), F.floor((F.length(s) - 1) / BLOCK).cast("int"))
+    each = F.transform(blocks, lambda k: permute(key, F.concat_ws("#", label, k.cast("string")), F.substring(s, k * BLOCK + 1, F.lit(BLOCK)), base))
+    return F.when(F.length(s) > 0, F.array_join(each, "")).otherwise("")
 
 
 def put_back(value: Column, keep: str, new: Column) -> Column:
@@ -200,9 +218,9 @@ def _email(v: Column, key: str) -> Column:
     digits = F.regexp_replace(local, r"\D", "")
     low, base26 = "abcdefghijklmnopqrstuvwxyz", "0123456789abcdefghijklmnop"
     label = F.concat(F.lit("email"), F.lower(host))
-    new = F.concat(F.translate(permute(key, F.concat(label, digits), F.translate(F.substring(letters, 1, 24), low, base26), 26), base26, low), F.substring(letters, F.lit(25), F.length(letters)))
+    new = F.translate(permute_all(key, F.concat(label, digits), F.translate(letters, low, base26), 26), base26, low)
     first = put_back(local, "A-Za-z", new)
-    return F.concat(F.when(F.length(digits).between(1, 24), put_back(first, "0-9", permute(key, F.concat(label, F.lit("#")), digits, 10))).otherwise(first), F.lit("@"), host)
+    return F.concat(put_back(first, "0-9", permute_all(key, F.concat(label, F.lit("#")), digits, 10)), F.lit("@"), host)
 
 
 _MAKERS = {"email": _email, "date": _date, "ip": _ip, "ssn": _ssn, "phone": _phone, "card": _card}
@@ -215,26 +233,43 @@ def pseudonym(value: Column, key: str) -> Column:
     made = _let(kind, lambda k: F.struct(k.alias("kind"), reduce(lambda c, n: c.when(k == n, _MAKERS[n](value, key)), list(_MAKERS)[1:], F.when(k == "email", _email(value, key))).alias("new")))
     none = F.array().cast("array<string>")
     single = lambda m: F.struct(m["new"].alias("new"), F.when(m["new"].isNotNull(), F.array(m["kind"])).otherwise(none).alias("kinds"))
-    return _let(made, lambda m: F.when((m["kind"] == "card") & m["new"].isNull(), _in_run(value, key)).otherwise(single(m)))
+    # a run is looked into where it is no value as a whole, be it of 13 digits or more or of fewer before a date
+    return _let(made, lambda m: F.when(m["new"].isNull() & value.rlike(r"^\d+(?:[ -]\d+)*+$"), _in_run(value, key)).otherwise(single(m)))
 
 
-def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str | Column, text_col: str = "text") -> DataFrame:
     """``docs`` with valid values replaced in ``text_col``, ``n_values`` (how many)
     and ``kinds`` (which, sorted).
 
-    Values: cards (13 to 19 digits with a Luhn check digit, also among other groups
-    of digits; first digit kept), phone
-    numbers (10 to 15 digits; all but the last seven kept), US social security
-    numbers in valid ranges, IPv4 addresses, dates of 1800 to 2199 that exist
-    (with slashes the month is first, or the day where that is no date), and
-    mailboxes (host kept). Separators stay. What is not valid stays, and a text
-    without a value is returned as it is; a null text stays null with 0 values.
-    Nothing is shuffled; rows and other columns stay as they are.
+    Values, and what of them stays:
+
+    - cards: 13 to 19 digits with a Luhn check digit and single spaces or hyphens, also
+      among other groups of digits; the first digit stays, the last is made to fit
+    - phones: 555-123-4567, 555.123.4567, (555) 123-4567, each also after +1, and +44 20 7946 0958,
+      of 10 to 15 digits; all but the last seven stay. Ten digits without any mark are none
+    - US social security numbers in valid ranges, 123-45-6789
+    - IPv4 addresses
+    - dates of 1800 to 2199 that exist: 2024-02-29 (a time may follow after T), 29.2.2024, and
+      2/29/2024, where the day is first if that is no date
+    - mailboxes; the host stays (ten labels at most), all letters and digits before it change
+
+    Separators stay. What is not valid stays, and a text without a value is returned as it
+    is; a null text stays null with 0 values. A single letter or digit is drawn from a keyed
+    order of all, two and more go through eight rounds. Nothing is shuffled; rows and
+    other columns stay as they are, but columns named n_values and kinds give way.
+    ``key`` as text stands in the query's plan; a column (of a table of one row that was
+    joined, say) keeps it out.
     """
-    found = docs.withColumn("_found", F.when(F.col(text_col).rlike("[0-9@]"), F.regexp_extract_all(text_col, F.lit(f"({ANY})"), F.lit(1))))
-    made = found.withColumn("_made", F.when(F.size("_found") > 0, F.transform("_found", lambda v: F.struct(v.alias("old"), pseudonym(v, key).alias("p")))))
-    new = F.transform("_made", lambda x: F.coalesce(x["p"]["new"], x["old"]))
+    columns = [c for c in docs.columns if c not in ("n_values", "kinds")]
+    temporary = "_made"
+    while temporary in docs.columns:
+        temporary += "_"
+    found = F.when(F.col(text_col).rlike("[0-9@]"), F.regexp_extract_all(text_col, F.lit(f"({ANY})"), F.lit(1)))
+    made = docs.withColumn(temporary, found)
+    made = made.withColumn(temporary, F.when(F.size(temporary) > 0, F.transform(temporary, lambda v: F.struct(v.alias("old"), pseudonym(v, key).alias("p")))))
+    new = F.transform(temporary, lambda x: F.coalesce(x["p"]["new"], x["old"]))
     rebuilt = F.array_join(F.zip_with(F.split(text_col, ANY, -1), F.concat(new, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
-    kinds = F.flatten(F.transform("_made", lambda x: x["p"]["kinds"]))
-    out = made.withColumn("n_values", F.coalesce(F.when(F.size("_made") > 0, F.size(kinds)), F.lit(0))).withColumn("kinds", F.coalesce(F.sort_array(F.array_distinct(kinds)), F.array().cast("array<string>")))
-    return out.withColumn(text_col, F.when(F.col("n_values") > 0, rebuilt).otherwise(F.col(text_col))).drop("_found", "_made")
+    kinds = F.flatten(F.transform(temporary, lambda x: x["p"]["kinds"]))
+    n = F.coalesce(F.when(F.size(temporary) > 0, F.size(kinds)), F.lit(0))
+    text = F.when(n > 0, rebuilt).otherwise(F.col(text_col)).alias(text_col)
+    return made.select(*[text if c == text_col else F.col(c) for c in columns], n.alias("n_values"), F.coalesce(F.sort_array(F.array_distinct(kinds)), F.array().cast("array<string>")).alias("kinds"))

@@ -104,3 +104,48 @@ def test_days_first(spark):
     got = run(spark, [*days, "25/2/2024", "31/02/2024"])
     assert [g[1] for g in got] == [1] * (len(days) + 1) + [0] and len({g[0] for g in got[: len(days)]}) == len(days)
     assert all(re.fullmatch(r"(1[3-9]|2\d|3[01])/(0[1-9]|1[0-2])/\d{4}", g[0]) for g in got[: len(days)])
+
+
+def test_texts_that_take_stack(spark):
+    """A megabyte of what patterns repeat: no stack is taken, and the value after it is found."""
+    n = 1 << 20
+    heavy = ["x@" + "a." * (n // 2) + "!", "1" * n, "1 1 1 " * 2000, "+1 " * (n // 3), "1-" * 3000, "a@" * (n // 2), "1.1." * (n // 4), "a" * n + "@b.co", "x@" + "a-" * (n // 2) + ".com"]
+    rows = [(i, f"{t} seen 2024-02-29 end") for i, t in enumerate(heavy)]
+    got = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), KEY).collect()}
+    for i, t in enumerate(heavy):
+        assert "2024-02-29" not in got[i].text and "date" in got[i].kinds
+        assert len(got[i].text) == len(rows[i][1]) or "ip" in got[i].kinds
+
+
+def test_single_characters_are_no_shift(spark):
+    """One letter or digit: a permutation, not the same step for all; two mailboxes never meet."""
+    letters = [f"{c}@one.com" for c in "abcdefghijklmnopqrstuvwxyz"] + [f"{d}@one.com" for d in range(10)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(letters)], "doc_id long, text string")
+    got = [r.text[0] for r in pii.pseudonymise(df, KEY).orderBy("doc_id").collect()]
+    for some, first in ((got[:26], "a"), (got[26:], "0")):
+        assert len(set(some)) == len(some)
+        assert len({(ord(x) - ord(first) - i) % len(some) for i, x in enumerate(some)}) > 3
+
+
+def test_long_mailboxes_change_whole(spark):
+    a, b = "abcdefghij" * 6, "0123456789" * 6
+    rows = [(0, f"{a}@one.com"), (1, f"{a[:-1]}x@one.com"), (2, f"{b}@one.com"), (3, f"{b[:-1]}0@one.com")]
+    got = [r.text for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), KEY).orderBy("doc_id").collect()]
+    assert len(set(got)) == 4
+    for (_, old), new in zip(rows, got, strict=True):
+        assert len(old) == len(new) and new.endswith("@one.com")
+        assert all(sum(x != y for x, y in zip(old[k : k + 12], new[k : k + 12], strict=True)) > 3 for k in (0, 12, 24, 36, 48))
+
+
+def test_formats_in_and_out(spark):
+    texts = ["555.123.4567", "5551234567", "2024-02-29T10:00:00Z", "12 555-123-4567 2024-02-29", "4111 1111 1111 1111 2abc", "4111 1111 1111 1111 12abc", None, ""]
+    got = [r.kinds for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), KEY).orderBy("doc_id").collect()]
+    assert got == [["phone"], [], ["date"], ["date", "phone"], ["card"], ["card"], [], []]
+
+
+def test_clashing_columns(spark):
+    """Columns of its own names give way, all others stay."""
+    df = spark.createDataFrame([(1, "on 2024-02-29", 7, ["x"], "f", "m")], "doc_id long, text string, n_values int, kinds array<string>, _found string, _made string")
+    out = pii.pseudonymise(df, KEY)
+    row = out.first()
+    assert out.columns == ["doc_id", "text", "_found", "_made", "n_values", "kinds"] and (row["_found"], row["_made"], row.n_values, row.kinds) == ("f", "m", 1, ["date"])
