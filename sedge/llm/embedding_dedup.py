@@ -1,27 +1,31 @@
 """Near-duplicate vectors through a pivot-permutation index.
 
-Every vector is described by its ordered nearest reference points. It enters the
-inverted lists of the pairs among those pivots, so two vectors meet in a list
-exactly if they share two pivots or more. Lists are worked through in blocks of
-bounded size; a pair is verified in the first list that it shares, in double
-precision, and only sums and a spanning forest leave the task.
+Every vector is described by its ordered nearest reference points. Two vectors are
+candidates if they share two pivots or more among those. For each pivot there is an
+inverted list of the vectors that have it; long lists are parted by the other pivots
+that a pair may share, so their length stays about the same as the table grows. Lists are
+worked through in blocks of bounded size; shared pivots are counted there, a pair is
+verified in double precision in the one list that its two first shared pivots name, and only
+sums and a spanning forest leave the task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
-from sedge.llm.shared import components, looked_up, stored
+from sedge.llm.shared import components, looked_up, stored, trimmed
 
-#: Reference points, how many nearest ones describe a vector, rows of a block, and
-#: the rows from which reference points are picked.
-PIVOTS, NEAREST, BLOCK, SAMPLE = 128, 8, 1024, 2048
+#: Reference points of a small table (four for each root of the rows of a larger one, up to
+#: MOST), how many nearest ones describe a vector, and rows of a block.
+PIVOTS, MOST, NEAREST, BLOCK = 128, 8192, 8, 1024
+#: Vectors for each pivot from which pivots are picked.
+SAMPLE = 4
 
 
 def unit(rows: list) -> np.ndarray:
@@ -40,23 +44,42 @@ def spread(sample: np.ndarray, n: int) -> np.ndarray:
 
 def nearest(x: np.ndarray, pivots: np.ndarray, k: int) -> np.ndarray:
     """For each row the numbers of its ``k`` nearest pivots, nearest first."""
-    return np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, :k]
+    far = -(x @ pivots.T)
+    if k < far.shape[1]:
+        some = np.sort(np.argpartition(far, k - 1, axis=1)[:, :k], axis=1)
+        order = np.argsort(np.take_along_axis(far, some, axis=1), axis=1, kind="stable")
+        return np.take_along_axis(some, order, axis=1)
+    return np.argsort(far, axis=1, kind="stable")
 
 
-def pairs_of(x: np.ndarray, order: np.ndarray, n_pivots: int, p: int, q: int, cosine: float, side: np.ndarray) -> np.ndarray:
-    """The boolean matrix of verified pairs that list (p, q) owns.
+def lists_of(order: np.ndarray, parts: int) -> list[int]:
+    """The lists that a vector enters: its pivot p, and the part of a pivot q > p that a
+    partner may share too, as p * parts + part."""
+    own = sorted(order)
+    return sorted({int(p) * parts + int(q) % parts for i, p in enumerate(own) for q in own[i + 1 :]})
 
-    It owns a pair if no smaller two pivots are shared. ``side``: the block of each
-    row; with two blocks only pairs between them count.
+
+def linked_in(x: np.ndarray, order: np.ndarray, name: int, parts: int, cosine: float, side: np.ndarray) -> np.ndarray:
+    """The boolean matrix of verified pairs that list ``name`` owns.
+
+    It owns a pair if the first two pivots that both have say so. ``side``: the block of
+    each row; with two blocks only pairs between them count.
     """
-    held = np.zeros((len(x), n_pivots), dtype=np.float32)
-    held[np.arange(len(x))[:, None], order] = 1
-    before = np.delete(held[:, :q], p, axis=1)
-    linked = (x @ x.T >= cosine) & (before @ before.T == 0)
-    np.fill_diagonal(linked, False)
+    linked = np.triu(x @ x.T >= cosine, 1)
     if len(np.unique(side)) > 1:
         linked &= side[:, None] != side[None, :]
-    return linked
+    own = np.sort(order, axis=1)
+    one, two = np.nonzero(linked)
+    for at in range(0, len(one), 1 << 17):
+        i, j = one[at : at + (1 << 17)], two[at : at + (1 << 17)]
+        shared = (own[i][:, :, None] == own[j][:, None, :]).any(axis=2)
+        first = shared.argmax(axis=1)
+        rest = shared.copy()
+        rest[np.arange(len(i)), first] = False
+        second = rest.argmax(axis=1)
+        p, q = own[i, first], own[i, second]
+        linked[i, j] = rest.any(axis=1) & (p * parts + q % parts == name)
+    return linked | linked.T
 
 
 def forest(linked: np.ndarray) -> np.ndarray:
@@ -74,7 +97,7 @@ def forest(linked: np.ndarray) -> np.ndarray:
     return parent
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = PIVOTS, k: int = NEAREST) -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int | None = None, k: int = NEAREST) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of ``vectors``.
 
     Vectors link at a cosine of ``cosine`` or more in double precision, if they
@@ -82,59 +105,71 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_
     the README; equal vectors always link). Vectors of unlike length never link;
     null, empty, zero and non-finite ones, or with a null inside, link with
     nothing. n_links counts the other rows linked directly, component_id is the
-    smallest vec_id reachable, kept marks that row. Empty tables give empty
-    results; other columns are ignored. Equal vectors are told apart from others
-    by 96 bits of hash. The pivots come from ``SAMPLE`` vectors of each length,
-    chosen by hash: the only bound in this module; every vector is indexed.
+    smallest vec_id reachable (null after all others), kept marks that row. Rows that
+    repeat a vec_id are vectors of their own, each counted as a link of the other if
+    they link. Empty tables give empty results; other columns are ignored. Equal
+    vectors are told apart from others by 96 bits of hash.
+
+    The index is fitted on a bounded sample: ``SAMPLE`` vectors for each of ``pivots``
+    (by default 4 times the root of the number of different vectors, from ``PIVOTS`` to
+    ``MOST``) of all lengths together, chosen by hash; every vector is indexed. A
+    length without a vector in the sample has one pivot only, at the origin, and its
+    vectors, few beside the others, meet all in one list.
     """
     spark = vectors.sparkSession
-    wide = F.transform(F.col(vector_col), lambda v: v.cast("double") + F.lit(0.0))
+    kind = "float" if vectors.schema[vector_col].dataType == ArrayType(FloatType()) else "double"
+    value = F.transform(F.col(vector_col), lambda v: v.cast(kind) + F.lit(0.0).cast(kind))
     good = F.col(vector_col).isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col), wide.alias("v")).withColumn("good", F.coalesce(good, F.lit(False)))
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col), value.alias("v")).withColumn("good", F.coalesce(good, F.lit(False)))
     keyed = rows.select("vec_id", "good", "v", F.xxhash64("v").alias("h1"), F.hash("v").alias("h2"))
     ids = stored(keyed.select("vec_id", "good", F.when(F.col("good"), F.col("h1")).alias("h1"), F.when(F.col("good"), F.col("h2")).alias("h2")), "pivot-ids")
-    classes = stored(keyed.filter("good").groupBy("h1", "h2").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("copies"), F.first("v").alias("v")), "pivot-classes")
-
-    by_size = Window.partitionBy("size").orderBy(F.xxhash64("h1"), "class_id")
-    sample = classes.select(F.size("v").alias("size"), "v", "h1", "class_id").withColumn("n", F.row_number().over(by_size)).filter(F.col("n") <= SAMPLE).select("size", "v").collect()  # SAMPLE rows for each length
-    points = {n: spread(unit([r["v"] for r in sample if r["size"] == n]), pivots) for n in {r["size"] for r in sample}}
-    shared = spark.sparkContext.broadcast(points)
+    grouped = keyed.filter("good").groupBy("h1", "h2").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("copies"), F.first("v").alias("v"))
+    # an id may repeat, so classes have numbers, fixed when they are written
+    classes = stored(grouped.withColumn("class_id", F.monotonically_increasing_id()), "pivot-classes")
+
+    total = classes.count()
+    many = pivots or int(min(MOST, max(PIVOTS, 4 * total**0.5)))
+    parts = max(1, -(-k * (k - 1) // 2 * total // (many * BLOCK)))
+    position = F.pmod(F.xxhash64("h1", "h2"), F.lit(1 << 30)) / float(1 << 30)
+    # half as many again, so that there are enough; then the least
+    sample = classes.filter(position < 1.5 * SAMPLE * many / max(1, total)).orderBy(position, "class_id").limit(SAMPLE * many).select("v").collect()
+    by_length: dict[int, list] = {}
+    for r in sample:
+        by_length.setdefault(len(r["v"]), []).append(r["v"])
+    shared = spark.sparkContext.broadcast({n: spread(unit(own), max(2, many * len(own) // len(sample))) for n, own in by_length.items()})  # ``many`` vectors
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            sizes = batch["v"].map(len)
-            for n, some in batch.groupby(sizes):
-                own = shared.value[n]
-                order = nearest(unit(list(some["v"])), own, k)
-                for class_id, copies, v, near in zip(some["class_id"], some["copies"], some["v"], order, strict=True):
-                    # of equal vectors one row stands for all; a list is a pair of pivots
-                    out += [(n, int(p), int(q), class_id, copies, v, near.tolist()) for p, q in combinations(sorted(near), 2)]
-            yield pd.DataFrame(out, columns=["size", "p", "q", "class_id", "copies", "v", "near"])
-
-    lists = classes.select("class_id", "copies", "v").mapInPandas(index, "size int, p int, q int, class_id long, copies long, v array<double>, near array<int>")
-    keys = classes.select("class_id", "v").mapInPandas(lambda b: (x[["size", "p", "q"]] for x in index(y.assign(copies=1) for y in b)), "size int, p int, q int")
-    # one row for each pair of pivots
-    blocks = keys.groupBy("size", "p", "q").count().filter("count > 1").select("size", "p", "q", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    dealt = lists.join(F.broadcast(blocks), ["size", "p", "q"]).withColumn("side", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("one", F.least("side", "other")).withColumn("two", F.greatest("side", "other"))
+            for n, some in batch.groupby(batch["v"].map(len)):
+                own = shared.value.get(n)
+                order = nearest(unit(list(some["v"])), own, k) if own is not None and len(own) > 1 else None
+                for i, class_id in enumerate(some["class_id"]):
+                    near = order[i].tolist() if order is not None else [0, 1]
+                    out.append((class_id, n, near, lists_of(near, parts)))
+            yield pd.DataFrame(out, columns=["class_id", "size", "near", "lists"])
+
+    indexed = stored(classes.select("class_id", "v").mapInPandas(trimmed(index), "class_id long, size int, near array<int>, lists array<long>"), "pivot-index")
+    entries = stored(indexed.select("class_id", "size", F.explode("lists").alias("list")), "pivot-entries")
+    lengths = stored(entries.groupBy("size", "list").agg(F.count("*").alias("members")).filter("members > 1"), "pivot-lengths")
+    met = looked_up(entries, lengths, ["size", "list"], "members").filter("members is not null").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
+    dealt = met.withColumn("side", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("class_id", "size", "list", "side", F.least("side", "other").alias("one"), F.greatest("side", "other").alias("two"))
+    described = dealt.join(indexed.select("class_id", "near"), "class_id").join(classes.select("class_id", "copies", "v"), "class_id")
 
     def verify(group: pd.DataFrame) -> pd.DataFrame:
-        first = group.iloc[0]
         x = unit(list(group["v"]))
-        linked = pairs_of(x, np.stack(group["near"]), len(shared.value[first["size"]]), int(first["p"]), int(first["q"]), cosine, group["side"].to_numpy())
+        linked = linked_in(x, np.stack(group["near"]), int(group["list"].iloc[0]), parts, cosine, group["side"].to_numpy())
         parent, ids_, n = forest(linked), group["class_id"].to_numpy(), linked @ group["copies"].to_numpy(dtype=np.int64)
         some = np.flatnonzero(n)
         return pd.DataFrame({"class_id": ids_[some], "links": n[some], "parent": pd.array([int(ids_[parent[i]]) if parent[i] >= 0 else None for i in some], dtype="Int64")})
 
-    found = stored(dealt.groupBy("size", "p", "q", "one", "two").applyInPandas(verify, "class_id long, links long, parent long"), "pivot-links")
+    found = stored(described.groupBy("size", "list", "one", "two").applyInPandas(verify, "class_id long, links long, parent long"), "pivot-links")
     linked = found.groupBy("class_id").agg(F.sum("links").alias("links"))
     comps = components(found.filter("parent is not null").select(F.col("class_id").alias("a"), F.col("parent").alias("b"))).withColumnRenamed("node", "class_id")
-    table = stored(
-        classes.drop("v").join(linked, "class_id", "left").join(comps, "class_id", "left")
-        .select("h1", "h2", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "class_id").alias("component_id")),
-        "pivot-table",
-    )
+    table = classes.drop("v").join(linked, "class_id", "left").join(comps, "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
+    least = table.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    table = stored(table.join(least, "component").select("h1", "h2", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"), "pivot-table")
     joined = looked_up(ids.filter("good"), table, ["h1", "h2"], "copies").select("vec_id", "n_links", "component_id")
     alone = ids.filter("not good").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return joined.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))

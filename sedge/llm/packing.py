@@ -24,7 +24,7 @@ from sedge.llm.shared import ranked, stored, trimmed
 
 #: Bytes of words and ids that a task remembers: of the words seen last, and as many of
 #: those before them.
-CACHE_BYTES = 32 << 20
+CACHE_BYTES = 28 << 20
 #: Bytes of text whose new words are encoded together.
 GROUP_BYTES = 1 << 20
 #: What ends in an ASCII letter or digit or a Latin letter (not U+0130, which lower-cases to

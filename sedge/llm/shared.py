@@ -22,7 +22,7 @@ SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 
 #: Bytes of an Arrow batch: texts are long, ten thousand of them fill a worker.
-_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 1 << 20
 _own_dirs: dict[str, str] = {}
 _shipped: set[str] = set()
 

@@ -68,3 +68,34 @@ def test_recall_on_noisy_copies():
 def test_few(spark, n):
     df = spark.createDataFrame([(7, [1.0, 2.0], 1, 2, 3)][:n], SCHEMA)
     assert [tuple(r) for r in embedding_dedup.near_duplicates(df).collect()] == [(7, 0, 7, True)][:n]
+
+
+@pytest.mark.parametrize("n", [1500, 6000])
+def test_recall_through_the_operator(spark, n):
+    """Noisy copies at the threshold among many others: found by the operator itself."""
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 64))
+    x = np.concatenate([x, x[: n // 2] + rng.normal(size=(n // 2, 64)) * 0.47]).astype(np.float32)
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    true = np.sum(unit @ unit.T >= 0.9, axis=1) - 1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(df).collect()}
+    assert all(got[i] <= true[i] for i in got) and true.sum() > n // 2
+    assert sum(got.values()) >= 0.97 * true.sum()
+
+
+def test_repeated_and_null_ids(spark):
+    """Rows of one id are vectors of their own; a null id is never the smallest."""
+    a, b = [1.0, 0.1, 0.0], [0.0, 1.0, 0.2]
+    rows = [(5, a), (5, b), (None, a), (7, b), (7, b), (None, [0.3, -1.0, 4.0])]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    want = [(5, 1, 5, True), (5, 2, 5, True), (None, 1, 5, None), (7, 2, 5, False), (7, 2, 5, False), (None, 0, None, None)]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+def test_parted_lists(spark, monkeypatch):
+    """Lists parted by the second pivot, and lengths that the sample misses."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 12)
+    rows = vectors(200, 3) + [(9000, [1.0, 2.0]), (9001, [2.0, 4.1]), (9002, [-2.0, 4.0])]
+    df = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], SCHEMA).repartition(4)
+    assert sorted(tuple(r) for r in embedding_dedup.near_duplicates(df, pivots=16).collect()) == brute(rows)
