@@ -2,8 +2,8 @@
 
 Both levels are one-versus-one linear support vector machines over hashed
 character pairs and triples of the letters of a whole text. They are fitted
-by Spark's own trainer on a bounded sample of labelled rows and applied to
-every text in one pass.
+on a bounded sample of labelled rows, each separator in a task of its own and all in
+one job, and applied to every text in one pass.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
@@ -42,8 +41,8 @@ FAMILIES = {
 FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes}
 #: Hashed features, and the labelled rows of each language that a fit uses at most.
 DIMENSIONS, SAMPLE = 2048, 1000
-#: Separators that are fitted at the same time.
-AT_ONCE = 8
+#: Weight of the squared norm against the mean hinge loss, and passes over the rows at most.
+RIDGE, PASSES = 1e-3, 30
 UNKNOWN = "und"
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -114,23 +113,50 @@ class Model:
         return names.tolist(), score
 
 
-def _votes(sample: DataFrame, groups: list[tuple[str, list[str]]]) -> list[Vote]:
-    """A ``Vote`` for each (column, classes), all their separators fitted side by side."""
-    from pyspark import inheritable_thread_target
-    from pyspark.ml.classification import LinearSVC  # the tasks that predict do without
-
-    def separator(column: str, one: str, two: str) -> tuple[np.ndarray, float]:
-        rows = sample.filter(F.col(column).isin(one, two)).select("x", (F.col(column) == one).cast("double").alias("y"))
-        fitted = LinearSVC(featuresCol="x", labelCol="y", maxIter=25, regParam=1e-3, standardization=False).fit(rows)
-        return fitted.coefficients.toArray(), fitted.intercept
-
+def hinge(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, passes: int = PASSES, enough: float = 0.01) -> np.ndarray:
+    """Weights and a bias with the least mean hinge loss of labels ``y`` (1, -1) plus
+    ``ridge`` / 2 of their squared norm, by coordinate descent on the dual."""
+    x = np.column_stack([x, np.ones(len(x))])
+    top, norms = 1 / (ridge * len(x)), (x * x).sum(axis=1)
+    w, a, rng = np.zeros(x.shape[1]), np.zeros(len(x)), np.random.default_rng(0)
+    for _ in range(passes):
+        worst = 0.0
+        for i in rng.permutation(len(x)):
+            slope = y[i] * (w @ x[i]) - 1
+            worst = max(worst, -slope if a[i] < top else 0.0, slope if a[i] > 0 else 0.0)
+            new = min(max(a[i] - slope / norms[i], 0.0), top)
+            if new != a[i]:
+                w += (new - a[i]) * y[i] * x[i]
+                a[i] = new
+        if worst < enough:
+            break
+    return w
+
+
+def _separator(group: pd.DataFrame) -> pd.DataFrame:
+    group = group.sort_values(["position", "y"], kind="stable")
+    w = hinge(np.stack(group["v"]).astype(np.float64), group["y"].to_numpy())
+    return pd.DataFrame({"level": group["level"].iloc[:1], "one": group["one"].iloc[:1], "two": group["two"].iloc[:1], "weights": [w[:-1]], "bias": w[-1]})
+
+
+def _votes(points: DataFrame, groups: list[tuple[str, list[str]]]) -> list[Vote]:
+    """A ``Vote`` for each (column, classes), all their separators fitted in one job.
+
+    A separator's rows are two classes' samples, so no task has more than these.
+    """
     wanted = [(column, one, two) for column, classes in groups for one, two in combinations(classes, 2)]
-    with ThreadPool(AT_ONCE) as pool:
-        fitted = iter(pool.map(inheritable_thread_target(sample.sparkSession)(lambda w: separator(*w)), wanted))
+    if not wanted:
+        return [Vote(classes, np.empty((0, DIMENSIONS), np.float32), np.empty(0, np.float32)) for _, classes in groups]
+    sides = points.sparkSession.createDataFrame([(c, one, two, own, y) for c, one, two in wanted for own, y in ((one, 1.0), (two, -1.0))], "level string, one string, two string, own string, y double")
+    # a family's sample is as large as a language's: the languages in it share it
+    levels = points.select("v", "position", F.explode(F.array(F.struct(F.lit("lang").alias("level"), F.col("lang").alias("own"), F.lit(True).alias("used")), F.struct(F.lit("family").alias("level"), F.col("family").alias("own"), (F.col("turn") * F.col("members") < 1).alias("used")))).alias("x"))
+    rows = levels.select("v", "position", "x.*").filter("used").join(F.broadcast(sides), ["level", "own"])  # two rows for each separator
+    fitted = rows.select("level", "one", "two", "y", "position", "v").groupBy("level", "one", "two").applyInPandas(_separator, "level string, one string, two string, weights array<float>, bias double")
+    known = {(r["level"], r["one"], r["two"]): r for r in fitted.collect()}  # DIMENSIONS floats for each separator
     votes = []
-    for _, classes in groups:
-        own = [next(fitted) for _ in combinations(classes, 2)]
-        votes.append(Vote(classes, np.array([w for w, _ in own], dtype=np.float32), np.array([b for _, b in own], dtype=np.float32)))
+    for column, classes in groups:
+        own = [known[column, one, two] for one, two in combinations(classes, 2)]
+        votes.append(Vote(classes, np.array([r["weights"] for r in own], dtype=np.float32), np.array([r["bias"] for r in own], dtype=np.float32)))
     return votes
 
 
@@ -142,28 +168,28 @@ def held_out(id_col: str = "doc_id"):
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
     """Learn from ``labelled`` (order, text, lang); None if no row has a letter.
 
-    Each language gives about ``sample`` rows, chosen by a hash of ``order``:
-    the only bound in this module. A language that has fewer gives all.
+    Each language gives about ``sample`` rows, chosen by a hash of ``order``, and each
+    family about as many: the only bounds in this module. A language that has fewer
+    gives all.
     """
-    from pyspark.ml.functions import array_to_vector
-
     rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     share = rows.groupBy("lang").count().select("lang", (F.lit(float(sample)) / F.col("count")).alias("share"))
-    position = F.pmod(F.xxhash64("order"), F.lit(1 << 30)) / float(1 << 30)
+    place = lambda *key: F.pmod(F.xxhash64("order", *key), F.lit(1 << 30)) / float(1 << 30)
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch[["lang", "family"]].assign(v=[features(t) for t in batch["text"]]).dropna(subset="v")
+            yield batch[["lang", "position", "turn"]].assign(v=[features(t) for t in batch["text"]]).dropna(subset="v")
 
-    family = F.coalesce(*[F.when(F.col("lang").isin(codes), F.lit(name)) for name, codes in FAMILIES.items()], F.col("lang"))
     # one row for each language: far under any broadcast limit
-    chosen = rows.join(F.broadcast(share), "lang").filter(position < F.col("share")).select("lang", family.alias("family"), "text")
-    points = stored(chosen.mapInPandas(trimmed(vectors), "lang string, family string, v array<float>"), "language-sample").select("lang", "family", array_to_vector("v").alias("x"))
-    known = sorted((r["family"], r["lang"]) for r in points.select("family", "lang").distinct().collect())
+    chosen = rows.join(F.broadcast(share), "lang").filter(place() < F.col("share")).select("lang", place().alias("position"), place(F.lit("family")).alias("turn"), "text")
+    points = stored(chosen.mapInPandas(trimmed(vectors), "lang string, position double, turn double, v array<float>"), "language-sample")
+    known = sorted((FAMILY.get(r["lang"], r["lang"]), r["lang"]) for r in points.select("lang").distinct().collect())
     if not known:
         return None
     families = sorted({f for f, _ in known})
-    top, *within = _votes(points, [("family", families), *(("lang", [code for g, code in known if g == f]) for f in families)])
+    members = {f: [code for g, code in known if g == f] for f in families}
+    kinds = labelled.sparkSession.createDataFrame([(code, f, len(own)) for f, own in members.items() for code in own], "lang string, family string, members int")
+    top, *within = _votes(points.join(F.broadcast(kinds), "lang"), [("family", families), *(("lang", members[f]) for f in families)])
     return Model(top, within)
 
 

@@ -101,3 +101,14 @@ def test_letters_are_letters(spark):
 def test_families_hold_each_code_once():
     codes = [c for own in language_id.FAMILIES.values() for c in own]
     assert len(codes) == len(set(codes)) == len(language_id.FAMILY) > 90
+
+
+def test_hinge_is_least():
+    """No small step from the solution makes the objective smaller."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(200, 5))
+    y = np.where(x @ [1, -2, 0.5, 0, 0] + rng.normal(size=200) > 0, 1.0, -1.0)
+    w = language_id.hinge(x, y, ridge=0.01, passes=500, enough=1e-5)
+    loss = lambda w: np.maximum(0, 1 - y * (x @ w[:-1] + w[-1])).mean() + 0.005 * w @ w
+    assert all(loss(w + rng.normal(size=6) * 0.02) >= loss(w) - 1e-6 for _ in range(300))
+    assert (language_id.hinge(x, y, ridge=0.01) == language_id.hinge(x, y, ridge=0.01)).all()
