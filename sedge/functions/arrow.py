@@ -1,76 +1,62 @@
-"""Arrow functions for what has no expression: keyed digests and text splitting."""
+"""Keyed digests and tokens, and functions under SQL names; all of built-in expressions."""
 
 from __future__ import annotations
 
-import base64
 import hashlib
-import hmac
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sedge import schema
 
 
-def hmac_hex(body, secret: str) -> Column:
-    """Hex HMAC-SHA256 of each body."""
+def pads(secret: str) -> tuple[bytes, bytes]:
+    """The inner and outer block that HMAC-SHA256 makes of a key."""
+    key = secret.encode()
+    key = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    return bytes(x ^ 0x36 for x in key), bytes(x ^ 0x5C for x in key)
 
-    @F.pandas_udf("string")
-    def sign(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else hmac.new(secret.encode(), x.encode(), hashlib.sha256).hexdigest())
 
-    return sign(body)
+def hmac_hex(body, secret: str) -> Column:
+    """Hex HMAC-SHA256 of each body; of null, null."""
+    inner, outer = (F.lit(bytearray(p)) for p in pads(secret))
+    column = body if isinstance(body, Column) else F.col(body)
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, column.cast("binary")), 256))), 256)
 
 
-def signature_holds(body, signature, secret: str) -> Column:
-    """Compared in constant time; a missing signature doesn't hold."""
+def _same(expected: Column, given: Column, secret: str) -> Column:
+    """Equality of what only the digests of both are compared for, so that the time taken
+    says nothing about the expected text."""
+    return F.coalesce(hmac_hex(expected, secret) == hmac_hex(given, secret), F.lit(False))
 
-    @F.pandas_udf("boolean")
-    def check(b: pd.Series, s: pd.Series) -> pd.Series:
-        good = [x is not None and y is not None and hmac.compare_digest(hmac.new(secret.encode(), x.encode(), hashlib.sha256).hexdigest().encode(), y.encode()) for x, y in zip(b, s, strict=True)]
-        return pd.Series(good, dtype=bool)
 
-    return check(body, signature)
+def signature_holds(body, signature, secret: str) -> Column:
+    """Whether a body's signature is this one; a missing one doesn't hold."""
+    return _same(hmac_hex(body, secret), signature if isinstance(signature, Column) else F.col(signature), secret)
 
 
 def payment_signature_holds(order_id, payment_id, signature, secret: str) -> Column:
     return signature_holds(F.concat_ws("|", order_id, payment_id), signature, secret)
 
 
-def _url64(raw: bytes) -> str:
-    return base64.urlsafe_b64encode(raw).rstrip(b"=").decode()
+def _url64(raw: Column) -> Column:
+    # base64 may be parted into lines
+    return F.translate(F.base64(raw), "+/=\r\n", "-_")
 
 
 def upload_token(payload, secret: str) -> Column:
     """``payload`` (a struct) as JSON in base64url, a dot, and its signature."""
-
-    @F.pandas_udf("string")
-    def make(s: pd.Series) -> pd.Series:
-        raw = s.map(lambda x: _url64(x.encode()))
-        return raw.map(lambda r: f"{r}.{_url64(hmac.new(secret.encode(), r.encode(), hashlib.sha256).digest())}")
-
-    return make(F.to_json(payload))
+    raw = _url64(F.to_json(payload).cast("binary"))
+    return F.concat(raw, F.lit("."), _url64(F.unhex(hmac_hex(raw, secret))))
 
 
 def token_payload(token, secret: str, now_ms: int) -> Column:
     """The payload of a token that is signed and not past its time, else null."""
-
-    @F.pandas_udf("string")
-    def read(s: pd.Series) -> pd.Series:
-        def one(t: str | None) -> str | None:
-            raw, _, rest = (t or "").partition(".")
-            signature = rest.split(".")[0]
-            if not raw or not signature:
-                return None
-            expected = _url64(hmac.new(secret.encode(), raw.encode(), hashlib.sha256).digest())
-            if not hmac.compare_digest(signature.encode(), expected.encode()):
-                return None
-            return base64.urlsafe_b64decode(raw + "=" * (-len(raw) % 4)).decode("utf-8", "replace")
-
-        return s.map(one)
-
-    payload = F.from_json(read(token), schema.UPLOAD_TOKEN)
+    parts = F.split(token if isinstance(token, Column) else F.col(token), r"\.")
+    raw, signature = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+    holds = (raw != "") & (signature != "") & _same(_url64(F.unhex(hmac_hex(raw, secret))), signature, secret)
+    whole = F.concat(F.translate(raw, "-_", "+/"), F.repeat(F.lit("="), F.pmod(-F.length(raw), F.lit(4))))
+    payload = F.from_json(F.when(holds, F.unbase64(whole).cast("string")), schema.UPLOAD_TOKEN)
     return F.when(payload["expiresAt"] >= now_ms, payload)
 
 

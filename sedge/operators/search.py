@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,8 +53,8 @@ def search_many(queries: DataFrame, chunks: DataFrame, k: int = 10, threshold: f
 
         def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ids, users, q = shared.value
+            held: dict[int, list[tuple[float, int]]] = {}
             for batch in batches:
-                out = []
                 for user, some in batch.groupby("user_id"):
                     mine = np.flatnonzero(users == user)
                     if not len(mine):
@@ -63,8 +64,10 @@ def search_many(queries: DataFrame, chunks: DataFrame, k: int = 10, threshold: f
                     for column, i in enumerate(mine):
                         hit = np.flatnonzero(s[:, column] > threshold)
                         top = hit[np.lexsort((own[hit], -s[hit, column]))[:k]]
-                        out += [(ids[i], int(own[t]), float(s[t, column])) for t in top]
-                yield pd.DataFrame(out, columns=["query_id", "id", "similarity"])
+                        if len(top):
+                            held[i] = heapq.nsmallest(k, [*held.get(i, []), *((-float(s[t, column]), int(own[t])) for t in top)])
+            out = [(ids[i], own_id, -s) for i, some in held.items() for s, own_id in some]
+            yield pd.DataFrame(out, columns=["query_id", "id", "similarity"])
 
         return chunks.select("id", "user_id", "embeddings").mapInPandas(best, f"query_id {dict(queries.dtypes)['query_id']}, id long, similarity double")
 

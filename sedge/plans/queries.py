@@ -290,6 +290,9 @@ def embedded_documents(t: Tables) -> DataFrame:
     return embedding.embed(t.files().select("id", "text"), "text", embedding.HashingEmbedder(64)).select("id", F.transform("embeddings", lambda x: F.round(x.cast("double"), 6)).alias("vector"))
 
 
-@query()
+_INNER, _OUTER = (p.hex() for p in A.pads("secret"))
+
+
+@query(f"SELECT page_id AS id, sha256(from_hex('{_OUTER}') || from_hex(sha256(from_hex('{_INNER}') || encode(html)))) AS signature FROM pages")
 def signed_bodies(t: Tables) -> DataFrame:
     return t.raw("pages").select(F.col("page_id").alias("id"), A.hmac_hex(F.col("html"), "secret").alias("signature"))
