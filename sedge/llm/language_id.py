@@ -220,7 +220,8 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
             yield pd.DataFrame(out, columns=["lang_pred", "score"])
 
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    return docs.select(*kept, guess(F.col(text_col)).alias("_guess")).select(*kept, "_guess.lang_pred", "_guess.score")
+    once = guess.asNondeterministic()  # or a filter on what it returns would compute it again
+    return docs.select(*kept, once(F.col(text_col)).alias("_guess")).select(*kept, "_guess.lang_pred", "_guess.score")
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> DataFrame:

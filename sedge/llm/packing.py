@@ -10,7 +10,6 @@ which ranks of its pieces go to which sequences.
 
 from __future__ import annotations
 
-import re
 import string
 import zlib
 from collections.abc import Iterator
@@ -27,10 +26,11 @@ from sedge.llm.shared import ranked, stored, trimmed
 CACHE_BYTES = 28 << 20
 #: Bytes of text whose new words are encoded together.
 GROUP_BYTES = 1 << 20
-#: What ends in an ASCII letter or digit or a Latin letter (not U+0130, which lower-cases to
-#: a letter and a mark), and punctuation after it.
-_THEN_MARKS = re.compile(r"(.*[A-Za-z0-9À-ÖØ-öø-įı-ɏ])([!-/:-@\[-`{-~]+)", re.DOTALL)
-_MARKS = frozenset(string.punctuation.encode())
+_MARKS = string.punctuation.encode()
+_ALNUM = frozenset(string.ascii_letters.encode() + string.digits.encode())
+#: Latin letters in UTF-8, but U+0130, which lower-cases to a letter and a mark: what stands
+#: after one of these, an ASCII letter or a digit is a unit of its own if it is punctuation.
+_LATIN = frozenset(chr(c).encode() for c in range(0xC0, 0x250) if c not in (0xD7, 0xF7, 0x130))
 _codecs: dict[str, WordCodec] = {}
 
 
@@ -65,14 +65,14 @@ class WordCodec:
         return [raw[a:b] for a, b in zip(starts, [*(4 * ends).tolist(), len(raw)], strict=True)]
 
     def learn(self, new: set[bytes]) -> None:
-        known, before, then = self.known, self.before, _THEN_MARKS.fullmatch
+        known, before = self.known, self.before
         # what may hold a special token is encoded in a call of its own
         plain, odd, parts = [], [], []
         for w in new:
             if (got := before.get(w)) is not None:
                 known[w] = got
-            elif w[-1] in _MARKS and b"<|" not in w and (m := then(w.decode())):
-                parts.append((w, *map(str.encode, m.groups())))
+            elif w[-1] in _MARKS and b"<|" not in w and (head := w.rstrip(_MARKS)) and (head[-1] in _ALNUM or head[-2:] in _LATIN):
+                parts.append((w, head, w[len(head) :]))
             elif b"<" in w:
                 odd.append(w)
             else:
@@ -109,7 +109,7 @@ class WordCodec:
         new = set().union(*group).difference(known)
         if new:
             self.learn(new)
-            self.held += 200 * len(new) + sum(map(len, new)) + sum(len(known[w]) for w in new)
+            self.held += 200 * len(new) + 2 * sum(map(len, new))
         for words in group:
             yield b"".join(map(known.__getitem__, words))
 
