@@ -78,7 +78,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with their sequences and places."""
     ship(spark)
-    return packing.pack_documents(docs, path("word_bpe_49k.json"))
+    return packing.pack_documents(docs, path("word_bpe_49k.json"), lean=True)
 
 
 STAGES = [

@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 
 from sedge.llm.shared import ranked, stored, trimmed
 
-#: Bytes of words and ids that a task remembers: of the words seen last, and as many of
-#: those before them.
-CACHE_BYTES = 28 << 20
+#: Bytes of words and ids that a worker remembers: of the words seen last, and as many of
+#: those before them. LEAN_BYTES where executors hold much else; then nothing is kept from task to task.
+CACHE_BYTES, LEAN_BYTES = 80 << 20, 28 << 20
 #: Bytes of text whose new words are encoded together.
 GROUP_BYTES = 1 << 20
 _MARKS = string.punctuation.encode()
@@ -86,7 +86,7 @@ class WordCodec:
         for w, head, tail in parts:
             known[w] = known[head] + known[tail]
 
-    def encode_all(self, texts: list[str | None]) -> Iterator[bytes]:
+    def encode_all(self, texts: list[str | None], most: int | None = None) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text, nothing of a null one."""
         group: list[list[bytes]] = []
         size = 0
@@ -98,12 +98,12 @@ class WordCodec:
             group.append(raw.split())
             size += len(raw)
             if size >= GROUP_BYTES:
-                yield from self._group(group)
+                yield from self._group(group, most)
                 group, size = [], 0
-        yield from self._group(group)
+        yield from self._group(group, most)
 
-    def _group(self, group: list[list[bytes]]) -> Iterator[bytes]:
-        if self.held > CACHE_BYTES:
+    def _group(self, group: list[list[bytes]], most: int | None) -> Iterator[bytes]:
+        if self.held > (CACHE_BYTES if most is None else most):
             self.known, self.before, self.held = {}, self.known, 0
         known = self.known
         new = set().union(*group).difference(known)
@@ -126,7 +126,7 @@ def codec(path: str) -> WordCodec:
     return _codecs[path]
 
 
-def cut(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def cut(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, lean: bool = False) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens[, ids] for each piece.
 
     A document's ids are those of its text (null: none) and ``end_id``. Pieces
@@ -136,17 +136,18 @@ def cut(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, id
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, end = codec(tokenizer), np.array([end_id], dtype="<u4").tobytes()
-        encode = words.encode_all
+        encode, most = words.encode_all, LEAN_BYTES if lean else CACHE_BYTES
         for batch in batches:
             out = []
-            for doc_id, ids in zip(batch["doc_id"].tolist(), encode(batch["text"].tolist()), strict=True):
+            for doc_id, ids in zip(batch["doc_id"].tolist(), encode(batch["text"].tolist(), most), strict=True):
                 ids += end
                 total = len(ids) // 4
                 for start in range(0, total, window):
                     piece = ids[4 * start : 4 * (start + window)]
                     out.append((doc_id, start, len(piece) // 4, zlib.crc32(piece), total, *[piece] * with_ids))
             yield pd.DataFrame(out, columns=fields)
-        words.forget()
+        if lean:
+            words.forget()
 
     kept = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = dict(kept.dtypes)["doc_id"]
@@ -279,12 +280,13 @@ def pack(pieces: DataFrame, window: int = 4096, classes: int = 256) -> DataFrame
     return placed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long"))
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, lean: bool = False) -> DataFrame:
     """Cut and pack ``docs``; one row for each piece.
 
     A null or empty text is a document of one id, ``end_id``. Rows that repeat a
     doc_id are documents of their own. Empty tables give empty results; other
     columns of ``docs`` are ignored. Pieces, with their ids only if asked for,
-    are stored in the shared folder between the two passes.
+    are stored in the shared folder between the two passes. ``lean``: workers remember
+    fewer words, and none from task to task; that costs time and changes no result.
     """
-    return pack(stored(cut(docs, tokenizer, window, end_id, id_col, text_col, with_ids), "pack-pieces"), window)
+    return pack(stored(cut(docs, tokenizer, window, end_id, id_col, text_col, with_ids, lean), "pack-pieces"), window)
