@@ -10,6 +10,8 @@ which ranks of its pieces go to which sequences.
 
 from __future__ import annotations
 
+import json
+import re
 import string
 import zlib
 from collections.abc import Iterator
@@ -23,7 +25,7 @@ from sedge.llm.shared import ranked, stored, trimmed
 
 #: Bytes of words and ids that a worker remembers: of the words seen last, and as many of
 #: those before them. LEAN_BYTES where executors hold much else; then nothing is kept from task to task.
-CACHE_BYTES, LEAN_BYTES = 80 << 20, 28 << 20
+CACHE_BYTES, LEAN_BYTES = 128 << 20, 28 << 20
 #: Bytes of text whose new words are encoded together.
 GROUP_BYTES = 1 << 20
 _MARKS = string.punctuation.encode()
@@ -31,6 +33,11 @@ _ALNUM = frozenset(string.ascii_letters.encode() + string.digits.encode())
 #: Latin letters in UTF-8, but U+0130, which lower-cases to a letter and a mark: what stands
 #: after one of these, an ASCII letter or a digit is a unit of its own if it is punctuation.
 _LATIN = frozenset(chr(c).encode() for c in range(0xC0, 0x250) if c not in (0xD7, 0xF7, 0x130))
+#: A run of lower-case ASCII and Latin-1 letters (U+00DF to U+00FF but the division sign) in UTF-8,
+#: then punctuation: such letters are one unit, and normalising leaves them as they are.
+_PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([" + re.escape(_MARKS) + rb"]*)")
+#: Plain words encoded in one call.
+CALL_WORDS = 1000
 _codecs: dict[str, WordCodec] = {}
 
 
@@ -51,10 +58,39 @@ class WordCodec:
         self.whole = Tokenizer.from_file(path)
         #: A special token parts what is encoded at once: no word's ids hold it.
         self.parting = next((t.content for _, t in sorted(self.whole.get_added_tokens_decoder().items()) if t.special and not t.normalized), None)
+        self.bare, self.last = self._bare(path)
         self.known: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
         self.held = 0
 
+    @staticmethod
+    def _bare(path: str) -> tuple:
+        """The model alone, for units between spaces that need no normalising, and for each id whether
+        it ends a unit; nothing where the tokenizer isn't a word-ending byte-level BPE."""
+        from tokenizers import Tokenizer
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        suffix = spec["model"].get("end_of_word_suffix")
+        if not suffix or len(steps) != 2 or steps[0].get("type") != "Split" or steps[1].get("type") != "ByteLevel" or steps[1].get("add_prefix_space") or steps[1].get("use_regex"):
+            return None, None
+        spec["normalizer"], spec["added_tokens"], steps[0] = None, [], {"type": "WhitespaceSplit"}
+        vocab = spec["model"]["vocab"]
+        last = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        last[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
+        return Tokenizer.from_str(json.dumps(spec)), last
+
+    def unit_ids(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each of ``words``, which are runs of lower-case Latin letters."""
+        out: list[bytes] = []
+        for i in range(0, len(words), CALL_WORDS):
+            some = b" ".join(words[i : i + CALL_WORDS]).decode()
+            got = np.array(self.bare.encode_batch_fast([some], add_special_tokens=False)[0].ids, dtype="<u4")
+            raw, ends = got.tobytes(), (4 * np.flatnonzero(self.last[got]) + 4).tolist()
+            out.extend([raw[a:b] for a, b in zip([0, *ends], ends)])  # noqa: B905
+        return out
+
     def ids(self, words: list[str]) -> list[bytes]:
         """The ids of each word, encoded apart."""
         if self.parting is None or any("<" in w for w in words):
@@ -66,24 +102,36 @@ class WordCodec:
 
     def learn(self, new: set[bytes]) -> None:
         known, before = self.known, self.before
+        bare = self.bare is not None
         # what may hold a special token is encoded in a call of its own
-        plain, odd, parts = [], [], []
+        units, plain, odd = [], [], []
+        parted, heads, tails = [], [], []
         for w in new:
             if (got := before.get(w)) is not None:
                 known[w] = got
+            elif bare and (m := _PLAIN.fullmatch(w)) and b"<|" not in w:
+                if m.end(1) == len(w):
+                    units.append(w)
+                else:
+                    parted.append(w)
+                    heads.append(m[1])
+                    tails.append(m[2])
             elif w[-1] in _MARKS and b"<|" not in w and (head := w.rstrip(_MARKS)) and (head[-1] in _ALNUM or head[-2:] in _LATIN):
-                parts.append((w, head, w[len(head) :]))
+                parted.append(w)
+                heads.append(head)
+                tails.append(w[len(head) :])
             elif b"<" in w:
                 odd.append(w)
             else:
                 plain.append(w)
-        heads = {x for _, *both in parts for x in both}.difference(known, plain, odd)
-        for x in heads:
-            (odd if b"<" in x else plain).append(x)
+        for x in {*heads, *tails}.difference(known, units, plain, odd):
+            (odd if b"<" in x else units if bare and _PLAIN.fullmatch(x) else plain).append(x)
+        if units:
+            known.update(zip(units, self.unit_ids(units), strict=True))
         for some in (plain, odd):
             if some:
                 known.update(zip(some, self.ids([w.decode() for w in some]), strict=True))
-        for w, head, tail in parts:
+        for w, head, tail in zip(parted, heads, tails, strict=True):
             known[w] = known[head] + known[tail]
 
     def encode_all(self, texts: list[str | None], most: int | None = None) -> Iterator[bytes]:
@@ -105,13 +153,20 @@ class WordCodec:
     def _group(self, group: list[list[bytes]], most: int | None) -> Iterator[bytes]:
         if self.held > (CACHE_BYTES if most is None else most):
             self.known, self.before, self.held = {}, self.known, 0
-        known = self.known
-        new = set().union(*group).difference(known)
+        known, new = self.known, set()
+        found = []
+        for words in group:
+            got = list(map(known.get, words))
+            if None in got:
+                new.update([w for w, ids in zip(words, got, strict=True) if ids is None])
+            found.append(got)
         if new:
             self.learn(new)
             self.held += 200 * len(new) + 2 * sum(map(len, new))
-        for words in group:
-            yield b"".join(map(known.__getitem__, words))
+        for words, got in zip(group, found, strict=True):
+            if None in got:
+                got = [known[w] if ids is None else ids for w, ids in zip(words, got, strict=True)]
+            yield b"".join(got)
 
     def forget(self) -> None:
         self.known, self.before, self.held = {}, {}, 0

@@ -36,6 +36,26 @@ def test_codec_is_exact(text):
     exact(fresh(shared), text)
 
 
+LATIN = st.sampled_from([*"abcdefghijklmnopqrstuvwxyz", *map(chr, range(0xC0, 0x100)), *"''<|>._-!", "\u0301"])
+
+
+@settings(max_examples=3000, deadline=None)
+@given(st.text(alphabet=LATIN, max_size=12), st.text(alphabet=LATIN, max_size=12))
+def test_codec_is_exact_on_latin_words(first, second):
+    shared = packing.codec(PATH)
+    assert shared.bare is not None
+    exact(fresh(shared), f"{first} {second}")
+    exact(shared, f"{first} {second}")
+
+
+def test_codec_without_the_bare_model():
+    """Ids are the same where a tokenizer has no form without normalising."""
+    c = fresh(packing.codec(PATH))
+    c.bare = None
+    for text in [*AWKWARD, *(r[1] for r in documents() if r[1])]:
+        exact(c, text)
+
+
 def test_codec_on_awkward_words():
     shared = packing.codec(PATH)
     for text in AWKWARD:
