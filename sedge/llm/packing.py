@@ -38,7 +38,7 @@ _LATIN = frozenset(chr(c).encode() for c in range(0xC0, 0x250) if c not in (0xD7
 _PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([" + re.escape(_MARKS) + rb"]*)")
 #: Plain words encoded in one call.
 CALL_WORDS = 1000
-_codecs: dict[str, WordCodec] = {}
+_codecs: dict[tuple[str, bool], WordCodec] = {}
 
 
 class WordCodec:
@@ -52,13 +52,13 @@ class WordCodec:
     composes with some capitals only), and punctuation is parted from a letter or digit.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, lean: bool = False):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         #: A special token parts what is encoded at once: no word's ids hold it.
         self.parting = next((t.content for _, t in sorted(self.whole.get_added_tokens_decoder().items()) if t.special and not t.normalized), None)
-        self.bare, self.last = self._bare(path)
+        self.bare, self.last = (None, None) if lean else self._bare(path)
         self.known: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
         self.held = 0
@@ -175,10 +175,11 @@ class WordCodec:
         return next(self.encode_all([text]))
 
 
-def codec(path: str) -> WordCodec:
-    if path not in _codecs:
-        _codecs[path] = WordCodec(path)
-    return _codecs[path]
+def codec(path: str, lean: bool = False) -> WordCodec:
+    """The codec of a worker; a lean one does without the second, bare model."""
+    if (path, lean) not in _codecs:
+        _codecs[path, lean] = WordCodec(path, lean)
+    return _codecs[path, lean]
 
 
 def cut(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, lean: bool = False) -> DataFrame:
@@ -190,7 +191,7 @@ def cut(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, id
     fields = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids]
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, end = codec(tokenizer), np.array([end_id], dtype="<u4").tobytes()
+        words, end = codec(tokenizer, lean), np.array([end_id], dtype="<u4").tobytes()
         encode, most = words.encode_all, LEAN_BYTES if lean else CACHE_BYTES
         for batch in batches:
             out = []
