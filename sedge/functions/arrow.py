@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sedge import schema
+from sedge.functions import columns as C
 
 
 def pads(secret: str) -> tuple[bytes, bytes]:
@@ -64,5 +65,9 @@ def register(spark) -> None:
     """SQL names for the functions that users call."""
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION estimate_tokens(t STRING) RETURNS INT RETURN CAST(ceil(length(t) / 4) AS INT)")
     spark.sql(r"CREATE OR REPLACE TEMPORARY FUNCTION sanitize_text(t STRING) RETURNS STRING RETURN trim(regexp_replace(t, r'(?U)[\s﻿&&[^\u0085]]+', ' '))")
+    trimmed = f"regexp_replace(coalesce(t, ''), r'(?U)^{C.BLANK}+|{C.BLANK}+$', '')"
+    lacks = lambda name: f"NOT rlike({trimmed}, r'(?i)(^|\\n)#{{0,3}}(?U:{C.BLANK})*{name}(?![A-Za-z0-9_])')"
+    added = [f"CASE WHEN {lacks('Answer')} THEN '{C.ANSWER}' ELSE '' END", trimmed, f"CASE WHEN {lacks('Key Points')} THEN '{C.KEY_POINTS}' ELSE '' END", f"CASE WHEN looked_up AND {lacks('Sources')} THEN '{C.SOURCES}' ELSE '' END"]
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION ensure_structured_answer(t STRING, looked_up BOOLEAN) RETURNS STRING RETURN CASE WHEN {trimmed} = '' THEN '' ELSE concat({', '.join(added)}) END")
     dot = "aggregate(zip_with({0}, {1}, (x, y) -> CAST(x AS DOUBLE) * CAST(y AS DOUBLE)), 0D, (s, v) -> s + v)"
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION cosine_similarity(a ARRAY<FLOAT>, b ARRAY<FLOAT>) RETURNS DOUBLE RETURN try_divide({dot.format('a', 'b')}, sqrt({dot.format('a', 'a')}) * sqrt({dot.format('b', 'b')}))")

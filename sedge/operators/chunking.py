@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -28,13 +31,13 @@ def _pieces(text: str, separator: str) -> list[str]:
 
 
 def _merged(pieces: list[str], size: int, overlap: int) -> list[str]:
-    out, held, total = [], [], 0
+    out, held, total = [], deque(), 0
     for piece in pieces:
         if held and total + len(piece) > size:
             if whole := "".join(held).strip():
                 out.append(whole)
             while total > overlap or (total + len(piece) > size and total > 0):
-                total -= len(held.pop(0))
+                total -= len(held.popleft())
         held.append(piece)
         total += len(piece)
     whole = "".join(held).strip()
@@ -57,6 +60,14 @@ def split(text: str, size: int = 4000, overlap: int = 400, separators: tuple[str
     return out + _merged(fit, size, overlap)
 
 
+def _placed(text: str, chunks: list[str]) -> list[dict]:
+    """Chunks with their first place in ``text`` and its section: one more than the blank
+    lines before it."""
+    ends = [m.end() for m in re.finditer("\n\n", text)]
+    starts = [text.find(c) for c in chunks]
+    return [{"content": c, "start": at, "section": bisect_right(ends, max(at, 0)) + 1} for c, at in zip(chunks, starts, strict=True)]
+
+
 def chunk(files: DataFrame, text_col: str = "text", name_col: str | None = "name", pages_col: str | None = None, size: int = 4000, overlap: int = 400) -> DataFrame:
     """``files`` without its text, one row for each chunk: chunk_index, content, metadata.
 
@@ -66,25 +77,36 @@ def chunk(files: DataFrame, text_col: str = "text", name_col: str | None = "name
     if overlap >= size:
         raise ValueError("overlap must be smaller than size")
 
-    @F.pandas_udf("array<string>")
-    def parts(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in texts:
-            yield s.map(lambda t: split(t, size, overlap) if t else [])
+    @F.pandas_udf("array<struct<content: string, start: int, section: int>>")
+    def parts(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, trimmed in batches:
+            yield pd.Series([_placed(text, split(t, size, overlap)) if t else [] for text, t in zip(texts, trimmed, strict=True)], dtype=object)
 
-    trimmed = C.trim_all(text_col)
-    each = files.withColumn("_trimmed", trimmed).withColumn("_parts", parts("_trimmed")).select("*", F.posexplode("_parts").alias("chunk_index", "content"))
-    start, total = C.index_of(text_col, "content"), F.length("_trimmed")
-    pages = F.col(pages_col) if pages_col else F.lit(None).cast("int")
-    each = each.withColumn("_start", start)
+    # the text goes before its chunks become rows, so that these don't carry it
+    rows = files.withColumn("_trimmed", C.trim_all(text_col)).withColumn("_parts", parts(text_col, "_trimmed")).withColumns({"_total": F.length("_trimmed"), "_n": F.size("_parts")}).drop("_trimmed", text_col)
+    each = rows.select("*", F.posexplode("_parts").alias("chunk_index", "_part")).drop("_parts")
+    start, pages = F.col("_part.start"), F.col(pages_col) if pages_col else F.lit(None).cast("int")
+    place = F.greatest(start, F.lit(0))
     metadata = F.struct(
         F.col("chunk_index").alias("chunkIndex"),
-        F.size("_parts").alias("totalChunks"),
+        F.col("_n").alias("totalChunks"),
         (F.col(name_col) if name_col else F.lit(None).cast("string")).alias("fileName"),
-        C.page_estimate(F.greatest("_start", F.lit(0)), total, pages).alias("estimatedPage"),
+        C.page_estimate(place, F.col("_total"), pages).alias("estimatedPage"),
         pages.alias("totalPages"),
-        C.position_percent(F.greatest("_start", F.lit(0)), total).alias("positionPercent"),
-        C.section_number(text_col, F.greatest("_start", F.lit(0))).alias("section"),
-        F.when(F.col("_start") >= 0, F.col("_start")).alias("charOffset"),
-        F.length("content").alias("charLength"),
+        C.position_percent(place, F.col("_total")).alias("positionPercent"),
+        F.col("_part.section").alias("section"),
+        F.when(start >= 0, start).alias("charOffset"),
+        F.length("_part.content").alias("charLength"),
     ).cast(schema.METADATA)
-    return each.withColumn("metadata", metadata).drop("_trimmed", "_parts", "_start", text_col)
+    return each.withColumns({"content": F.col("_part.content"), "metadata": metadata}).drop("_part", "_total", "_n")
+
+
+def register(spark) -> None:
+    """The table function ``chunk_text(text, size, overlap)`` for SQL: chunk_index, content."""
+
+    @F.udtf(returnType="chunk_index int, content string")
+    class ChunkText:
+        def eval(self, text: str, size: int, overlap: int):
+            yield from enumerate(split(text.strip(), size, overlap) if text and text.strip() else [])
+
+    spark.udtf.register("chunk_text", ChunkText)

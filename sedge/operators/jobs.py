@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from sedge.functions import columns as C
 
 MOST_ATTEMPTS = 5
+#: Fixed value: the error of a job whose file is missing.
+NO_FILE = "File not found for ingestion job"
 
 
 def clamp_limit(limit, default: int = 2) -> int:
@@ -24,6 +26,18 @@ def due_jobs(jobs: DataFrame, now, limit: int = 2, lease_minutes: int | None = N
     return jobs.filter(due).orderBy("created_at", "id").limit(clamp_limit(limit))
 
 
+def with_files(jobs: DataFrame, files: DataFrame) -> DataFrame:
+    """``jobs`` with ``file``, a struct of their file's columns, and ``error``, which says
+    so if there is none."""
+    own = files.select(F.col("id").alias("_file"), F.struct(*files.columns).alias("file"))
+    return jobs.join(own, F.col("file_id") == F.col("_file"), "left").withColumn("error", F.when(F.col("_file").isNull(), NO_FILE)).drop("_file")
+
+
+def pending(rows: DataFrame) -> DataFrame:
+    """Files or jobs that wait or are in work."""
+    return rows.filter(F.col("status").isin("queued", "processing"))
+
+
 def claim(jobs: DataFrame, now) -> DataFrame:
     return jobs.withColumns({"status": F.lit("processing"), "attempts": F.col("attempts") + 1, "started_at": now, "last_error": F.lit(None).cast("string"), "updated_at": now})
 

@@ -31,6 +31,11 @@ def messages_of(messages: DataFrame, chats: DataFrame, chat_id: str, user_id: st
     return messages.filter(F.col("chat_id") == chat_id).join(own, "chat_id", "left_semi").select("id", "chat_id", "role", "content", "parts", "created_at").orderBy("created_at", "id")
 
 
+def last_messages(messages: DataFrame, order: str = "created_at") -> DataFrame:
+    """The last message of each chat."""
+    return messages.groupBy("chat_id").agg(F.max_by(F.struct(*messages.columns), F.struct(order, "id")).alias("r")).select("r.*")
+
+
 def restored_history(messages: DataFrame) -> DataFrame:
     return messages.select("id", C.restored_role("role").alias("role"), C.restored_parts("parts", "content").alias("parts"))
 

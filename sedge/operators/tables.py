@@ -25,6 +25,24 @@ def insert_new(stored: DataFrame, arriving: DataFrame, keys: list[str], order: l
     return arriving.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n").join(stored.select(*keys), keys, "left_anti").select(*arriving.columns)
 
 
+def numbered(rows: DataFrame, keys: list[str], parts: int = 64) -> DataFrame:
+    """``rows``, unique by ``keys``, with ``_n``: 1, 2, ... in the order of the keys.
+
+    Ranges of keys are numbered side by side, each from the count of those before it.
+    The bounds of the ranges come from the ``parts`` * 16 keys with the least hashes.
+    """
+    least = rows.select(*keys).orderBy(F.xxhash64(*keys), *keys).limit(parts * 16).collect()
+    place = F.struct(*keys)
+    sample = sorted(least, key=lambda r: [(v is not None, v) for v in r])[16::16]
+    bounds = [F.struct(*[F.lit(v).cast(rows.schema[k].dataType).alias(k) for k, v in zip(keys, r, strict=True)]) for r in sample]
+    part = F.size(F.filter(F.array(*bounds), lambda b: b <= place)) if bounds else F.lit(0)
+    dealt = rows.withColumn("_part", part)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    offsets = dealt.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*keys))
+    return dealt.withColumn("_n", within).join(F.broadcast(offsets), "_part").withColumn("_n", F.col("_n") + F.col("_before")).drop("_part", "_before")
+
+
 def upsert_subscriptions(old: DataFrame, changes: DataFrame, now) -> DataFrame:
     """``old`` with ``changes`` put into the latest row of (user_id, gateway), or added.
 
@@ -39,10 +57,9 @@ def upsert_subscriptions(old: DataFrame, changes: DataFrame, now) -> DataFrame:
     hit = F.col("_cancel").isNotNull()
     updated = old.join(target.drop(*keys), "id", "left").withColumns({c: F.coalesce(f"_{c}", c) for c in fields} | {"cancel_at_period_end": F.when(hit, F.col("_cancel")).otherwise(F.col("cancel_at_period_end")), "updated_at": F.when(hit, now).otherwise(F.col("updated_at"))}).select(*old.columns)
     missing = new.join(old.select(*keys).distinct(), keys, "left_anti")
-    # ids go on from the largest; few rows are new in a batch
+    # ids go on from the largest and keep their type: one that it can't hold is an error
     top = old.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    n = F.row_number().over(Window.orderBy(*keys))
-    added = missing.withColumn("_n", n).crossJoin(F.broadcast(top)).select((F.col("_top") + F.col("_n")).cast("int").alias("id"), *keys, *[F.col(f"_{c}").alias(c) for c in fields], F.col("_cancel").alias("cancel_at_period_end"), now.alias("created_at"), now.alias("updated_at"))
+    added = numbered(missing, keys).crossJoin(F.broadcast(top)).select((F.col("_top") + F.col("_n")).cast(old.schema["id"].dataType).alias("id"), *keys, *[F.col(f"_{c}").alias(c) for c in fields], F.col("_cancel").alias("cancel_at_period_end"), now.alias("created_at"), now.alias("updated_at"))
     return updated.unionByName(added.withColumns({"status": F.coalesce("status", F.lit("inactive"))}).select(*old.columns))
 
 
@@ -53,7 +70,7 @@ def upsert_customers(old: DataFrame, changes: DataFrame, now) -> DataFrame:
     merged = old.join(new, "user_id", "left").withColumns({"gateway_customer_id": F.coalesce("_id", "gateway_customer_id"), "default_gateway": F.coalesce(F.when(F.col("_id").isNotNull(), F.col("_gateway")), "default_gateway"), "updated_at": F.when(F.col("_id").isNotNull(), now).otherwise(F.col("updated_at"))}).select(*old.columns)
     missing = new.join(old.select("user_id"), "user_id", "left_anti")
     top = old.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    added = missing.withColumn("_n", F.row_number().over(Window.orderBy("user_id"))).crossJoin(F.broadcast(top)).select((F.col("_top") + F.col("_n")).cast("int").alias("id"), "user_id", F.col("_id").alias("gateway_customer_id"), F.col("_gateway").alias("default_gateway"), F.lit(None).cast("string").alias("billing_country"), F.lit("INR").alias("currency"), now.alias("created_at"), now.alias("updated_at"))
+    added = numbered(missing, ["user_id"]).crossJoin(F.broadcast(top)).select((F.col("_top") + F.col("_n")).cast(old.schema["id"].dataType).alias("id"), "user_id", F.col("_id").alias("gateway_customer_id"), F.col("_gateway").alias("default_gateway"), F.lit(None).cast("string").alias("billing_country"), F.lit("INR").alias("currency"), now.alias("created_at"), now.alias("updated_at"))
     return merged.unionByName(added)
 
 
