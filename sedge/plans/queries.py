@@ -12,7 +12,7 @@ from sedge.functions import arrow as A
 from sedge.functions import columns as C
 from sedge.operators import billing, chunking, context, embedding, jobs, reports, search, tables
 from sedge.plans.bindings import NOW, Tables
-from sedge.sources import sinks
+from sedge.sources import extract, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -279,6 +279,70 @@ def media_kinds(t: Tables) -> DataFrame:
     return t.raw("pages").select(F.col("page_id").alias("id"), C.media_category(F.lit("file"), mime).alias("category"), C.accepts(F.lit("image/*, text/plain"), mime).alias("accepted"))
 
 
+# ingestion and row builders
+@query(f"SELECT o_orderkey AS id, 'doc-' || doc_id || '.txt' AS name, CASE WHEN doc_id IS NULL THEN '{jobs.NO_FILE}' END AS error FROM orders LEFT JOIN documents ON doc_id = o_custkey")
+def job_files(t: Tables) -> DataFrame:
+    return jobs.with_files(t.jobs().select("id", "file_id"), t.files().select("id", "name")).select("id", F.col("file.name").alias("name"), "error")
+
+
+@query(f"SELECT id, status FROM {_JOBS} WHERE status IN ('queued', 'processing')")
+def pending_jobs(t: Tables) -> DataFrame:
+    return jobs.pending(t.jobs()).select("id", "status")
+
+
+@query("SELECT doc_id AS file_id, 'queued' AS status, 0 AS attempts FROM documents")
+def queued_uploads(t: Tables) -> DataFrame:
+    return sinks.job_rows(t.files(), now()).select("file_id", "status", "attempts")
+
+
+@query("SELECT substr(sha256('chat' || chr(31) || conv_id || '-' || turn), 1, 21) AS id, text[:50] AS title, 'u' || conv_id AS user_id FROM conversations")
+def made_chats(t: Tables) -> DataFrame:
+    requests = t.messages().select(F.col("id").alias("request_id"), F.concat(F.lit("u"), "chat_id").alias("user_id"), C.title_of("content").alias("title"))
+    return sinks.chat_rows(requests, now()).select("id", "title", "user_id")
+
+
+_DONE = "'## Answer' || chr(10) || 'done' || chr(10) || chr(10) || '## Key Points' || chr(10) || '- Summarized above.'"
+
+
+@query(f"""SELECT CASE WHEN turn % 2 = 1 THEN substr(sha256('user' || chr(31) || conv_id || '-' || turn), 1, 21) ELSE conv_id || '-' || turn END AS id, conv_id::VARCHAR AS chat_id, role, CASE WHEN trim(coalesce(text, ''), ' ' || chr(9) || chr(10)) = '' THEN '' ELSE text END AS content, 1 AS n_parts FROM conversations WHERE turn % 7 <> 0
+ UNION ALL SELECT substr(sha256('assistant' || chr(31) || conv_id || '-' || turn), 1, 21), conv_id::VARCHAR, 'assistant', {_DONE} || CASE WHEN turn % 2 = 1 THEN '{C.SOURCES}' ELSE '' END, CASE WHEN turn % 2 = 1 THEN 2 ELSE 1 END FROM conversations WHERE turn % 7 <> 0""")
+def ended_turns(t: Tables) -> DataFrame:
+    odd, none = F.col("turn") % 2 == 1, F.lit(None).cast(f"array<{schema.PART}>")
+    kind = "array<struct<type: string, toolName: string, args: string, toolCallId: string>>"
+    called = F.from_json(F.lit(f'[{{"type":"tool-call","toolName":"{C.SEARCH_TOOL}","args":"{{}}","toolCallId":"1"}}]'), kind)
+    message = F.struct(F.when(~odd, F.col("id")).alias("id"), "role", C.restored_parts(none, "content").alias("parts"))
+    turns = t.messages().select(F.col("id").alias("request_id"), F.when(F.col("turn") % 7 != 0, F.col("chat_id")).alias("chat_id"), message.alias("message"), F.lit("done").alias("answer"), F.when(odd, called).otherwise(F.array().cast(kind)).alias("calls"))
+    return sinks.message_rows(turns, now()).select("id", "chat_id", "role", "content", F.size("parts").alias("n_parts"))
+
+
+@query("SELECT conv_id::VARCHAR AS chat_id, arg_max(conv_id || '-' || turn, turn) AS id FROM conversations GROUP BY conv_id")
+def last_messages(t: Tables) -> DataFrame:
+    return reports.last_messages(t.messages(), "turn").select("chat_id", "id")
+
+
+@query("""SELECT page_id AS id, CASE page_id % 4 WHEN 0 THEN html WHEN 1 THEN page_id || ' a "' || page_id || '"' || chr(10) || 'b' || chr(10) || 'x ' || page_id END AS text,
+ CASE page_id % 4 WHEN 2 THEN 'Unsupported file type: .png' WHEN 3 THEN 'No text extracted from p' || page_id || '.TXT. Scanned PDFs and image-only documents are not supported yet.' END AS error FROM pages""")
+def extracted_files(t: Tables) -> DataFrame:
+    page, kind = F.col("page_id").cast("string"), F.col("page_id") % 4
+    cells = F.concat(page, F.lit(',"a ""'), page, F.lit('""\nb"\n\nx,'), page, F.lit("\n"))
+    content = F.when(kind == 0, F.col("html")).when(kind == 1, cells).otherwise(F.lit(" \n"))
+    name = F.concat(F.lit("p"), page, F.when(kind == 0, ".md").when(kind == 1, ".csv").when(kind == 2, ".png").otherwise(".TXT"))
+    files = t.raw("pages").select(F.col("page_id").alias("id"), name.alias("name"), F.lit(None).cast("string").alias("type"), F.encode(content, "UTF-8").alias("content"))
+    return extract.extract(files).select("id", "text", "error")
+
+
+@query(SQL["structured_answers"])
+def sql_structured_answers(t: Tables) -> DataFrame:
+    A.register(t.spark)
+    return t.raw("conversations").selectExpr("conv_id", "turn", "ensure_structured_answer(text, turn % 2 = 1) AS answer")
+
+
+@query(r"SELECT conv_id, turn, ceil(length(text) / 4.0)::INTEGER AS tokens, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM conversations")
+def sql_text_functions(t: Tables) -> DataFrame:
+    A.register(t.spark)
+    return t.raw("conversations").selectExpr("conv_id", "turn", "estimate_tokens(text) AS tokens", "sanitize_text(text) AS text")
+
+
 # no SQL: tested on fixtures
 @query()
 def chunked_documents(t: Tables) -> DataFrame:

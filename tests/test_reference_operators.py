@@ -218,6 +218,35 @@ def test_tables(spark, tmp_path):
     assert [(r.id, r.gateway_customer_id, r.currency) for r in known.collect()] == [(1, "c1", "INR")]
 
 
+def test_broken_replacement(spark, tmp_path):
+    path = str(tmp_path / "chunks")
+    sinks.replace_chunks(spark.createDataFrame([(1, "a"), (2, "b")], "file_id int, content string"), path, 4)
+    changed = spark.read.parquet(path).withColumn("content", F.when(F.col("file_id") == 1, "z").otherwise(F.col("content")))
+    changed.write.partitionBy("bucket").parquet(f"{path}.staged")  # whole, but not in place
+    sinks.recover_chunks(spark, path)
+    assert {r.content for r in spark.read.parquet(path).collect()} == {"z", "b"}
+    assert not (tmp_path / "chunks.staged").exists()
+    (tmp_path / "chunks.staged").mkdir()  # nothing whole: dropped
+    before = sorted(map(tuple, spark.read.parquet(path).collect()))
+    sinks.recover_chunks(spark, path)
+    assert sorted(map(tuple, spark.read.parquet(path).collect())) == before and not (tmp_path / "chunks.staged").exists()
+
+
+def test_numbered(spark):
+    rows = spark.range(5000).select(F.sha2(F.col("id").cast("string"), 256).alias("a"), (F.col("id") % 3).alias("b"))
+    got = sorted(map(tuple, tables.numbered(rows, ["a", "b"]).collect()))
+    assert [n for *_, n in got] == list(range(1, 5001))
+    assert tables.numbered(rows.limit(0), ["a"]).count() == 0
+
+
+def test_chunk_table_function(spark):
+    chunking.register(spark)
+    text = "one two three four"
+    got = spark.sql(f"SELECT * FROM chunk_text('{text}', 9, 2) ORDER BY chunk_index").collect()
+    assert [tuple(r) for r in got] == list(enumerate(chunking.split(text, 9, 2)))
+    assert spark.sql("SELECT * FROM chunk_text(' ', 9, 2)").count() == 0
+
+
 def docx(paragraphs):
     out = io.BytesIO()
     body = "".join(f"<w:p><w:r><w:t>{p}</w:t></w:r></w:p>" for p in paragraphs)
