@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedge.llm import embedding_dedup, exact_dedup, jaccard_join, language_id, line_dedup, mixing, packing, pii, quotation, substring_dedup
+from sedge.llm import centroids, embedding_dedup, exact_dedup, importance, jaccard_join, language_id, line_dedup, mixing, packing, pii, quotation, substring_dedup
 from sedge.llm.shared import ship
 from sedge.llm.sql import ORACLES
 
@@ -59,6 +59,14 @@ def op10_line_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.repeated_lines(table(spark, sf_dir, "documents"))
 
 
+def op12_csr_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_exact_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -85,6 +93,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_subset_sum_mixing,
         op9_pivot_permutation,
         op10_line_neighbourhood,
+        op12_csr_importance,
+        op13_exact_centroids,
         pipeline,
     ]
     return {f.__name__: _shipped(f) for f in every}

@@ -37,10 +37,43 @@ best AS (SELECT t, min(p) AS q FROM near GROUP BY t)
 SELECT j.doc_id, j.line_no::INTEGER AS line_no, (CASE WHEN q < p THEN q ELSE p END)[1] AS of_doc_id, (CASE WHEN q < p THEN q ELSE p END)[2]::INTEGER AS of_line_no, (coalesce(q < p, false))::INTEGER AS edits
 FROM j JOIN o USING (t) LEFT JOIN best USING (t) WHERE (CASE WHEN q < p THEN q ELSE p END) < (j.doc_id, j.line_no)"""
 
+_FEATURES = rf"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+
+#: CRC-32 as a fold over the bytes of each different word, by a table made from its polynomial.
+OP12 = rf"""WITH crc AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS tab),
+d AS (SELECT doc_id, {_FEATURES} AS w FROM documents),
+f AS (SELECT doc_id, unnest(w) AS x FROM d),
+b AS (SELECT unnest({_FEATURES}) AS x FROM benchmark),
+h AS (SELECT x, xor(list_reduce(list_transform(range(len(hex(x)) // 2), lambda i: (16 * (strpos('0123456789ABCDEF', hex(x)[2 * i + 1]) - 1) + strpos('0123456789ABCDEF', hex(x)[2 * i + 2]) - 1)::BIGINT), lambda c, y: xor(c >> 8, tab[(xor(c, y) & 255) + 1]), 4294967295), 4294967295) % 10000 AS k FROM (SELECT x FROM f UNION SELECT x FROM b), crc),
+s AS (SELECT k, count(*) AS n FROM f JOIN h USING (x) GROUP BY k),
+t AS (SELECT k, count(*) AS n FROM b JOIN h USING (x) GROUP BY k),
+g AS (SELECT k, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM f) + 10000)::DOUBLE / ((s.n + 1)::DOUBLE * ((SELECT count(*) FROM b) + 10000)::DOUBLE)))::BIGINT AS gain FROM s LEFT JOIN t USING (k)),
+v AS (SELECT doc_id, sum(gain)::BIGINT AS weight FROM f JOIN h USING (x) JOIN g USING (k) GROUP BY doc_id),
+r AS (SELECT doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('2024:' || doc_id)[:8])::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM d LEFT JOIN v USING (doc_id)),
+o AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM r WHERE n_features >= 20)
+SELECT r.*, o.rank FROM r LEFT JOIN (SELECT * FROM o WHERE rank <= (SELECT 10 * count(*) // 100 FROM o)) o USING (doc_id)"""
+
+
+def _centroids(rounds: int) -> str:
+    """The rounds one after the other: a* puts vectors to centroids c*, which moves those."""
+    steps = ["k AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64)"]
+    steps.append("c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS j, v AS c FROM (SELECT v, sha256('3:' || vec_id) AS h FROM k ORDER BY h LIMIT 8))")
+    for i in range(rounds + 1):
+        steps.append(f"a{i} AS MATERIALIZED (SELECT vec_id, any_value(v) AS v, min((d, j)) AS best FROM (SELECT vec_id, v, j, list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM k, c{i}) GROUP BY vec_id)")
+        if i < rounds:
+            steps.append(f"s{i} AS (SELECT j, i, sum(x) AS s, count(*) AS n FROM (SELECT best[2] AS j, unnest(v) AS x, unnest(range(64)) AS i FROM a{i}) GROUP BY ALL)")
+            steps.append(f"c{i + 1} AS MATERIALIZED (SELECT j, list(((s - (s % n + n) % n) // n)::BIGINT ORDER BY i) AS c FROM s{i} GROUP BY j UNION ALL SELECT j, c FROM c{i} WHERE j NOT IN (SELECT j FROM s{i}))")
+    return f"WITH {', '.join(steps)} SELECT vec_id, j::INTEGER AS cluster, best[1] AS distance, (sum(best[1]) OVER (PARTITION BY j))::BIGINT AS cluster_inertia, (sum(best[1]) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} ON best[2] = j"
+
+
+OP13 = _centroids(10)
+
 ORACLES = {
     "op3_parity_sketch_join": OP3,
     "op5_extendible_hash_dedup": OP5,
     "op7_fixed_block_anchors": OP7,
     "op9_pivot_permutation": OP9,
     "op10_line_neighbourhood": OP10,
+    "op12_csr_importance": OP12,
+    "op13_exact_centroids": OP13,
 }
