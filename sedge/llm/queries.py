@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedge.llm import centroids, embedding_dedup, exact_dedup, importance, jaccard_join, language_id, line_dedup, mixing, packing, pii, quotation, substring_dedup
+from sedge.llm import centroids, embedding_dedup, exact_dedup, importance, jaccard_join, language_id, line_dedup, mixing, packing, pii, quotation, substring_dedup, toxicity
 from sedge.llm.shared import ship
 from sedge.llm.sql import ORACLES
 
@@ -59,6 +59,10 @@ def op10_line_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.repeated_lines(table(spark, sf_dir, "documents"))
 
 
+def op11_recurrent_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_csr_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -93,6 +97,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_subset_sum_mixing,
         op9_pivot_permutation,
         op10_line_neighbourhood,
+        op11_recurrent_toxicity,
         op12_csr_importance,
         op13_exact_centroids,
         pipeline,
