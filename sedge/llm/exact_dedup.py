@@ -54,7 +54,7 @@ def directory(cells: dict[int, int], capacity: int, max_depth: int = MAX_DEPTH)
 
 
 def _least(a: int | None, b: int | None) -> int | None:
-    """The smaller id; null (None, or NaN from pandas) only if both are."""
+    """The smaller id; null only if both are."""
     if pd.isna(a):
         return None if pd.isna(b) else b
     return a if pd.isna(b) else min(a, b)
@@ -66,7 +66,7 @@ def _combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     size = 0
 
     def flush() -> pd.DataFrame:
-        return pd.DataFrame([[b, k, t, i, n] for t, (b, k, i, n) in held.items()], columns=["bucket", "key", "norm", "doc_id", "copies"]).astype({"doc_id": "Int64"})
+        return pd.DataFrame([[b, k, t, i, n] for t, (b, k, i, n) in held.items()], columns=["bucket", "key", "norm", "doc_id", "copies"])
 
     for batch in batches:
         for bucket, key, norm, doc_id in zip(batch["bucket"], batch["key"], batch["norm"], batch["doc_id"], strict=True):
@@ -103,8 +103,8 @@ def _own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     break
             else:
                 chain.append([norm, bucket, _least(doc_id, None), copies])
-        yield pd.DataFrame(out, columns=["bucket", "key", "slot", "text_sha256", "keep_id", "group_size"]).astype({"keep_id": "Int64"})
-    yield pd.DataFrame(entries(), columns=["bucket", "key", "slot", "text_sha256", "keep_id", "group_size"]).astype({"keep_id": "Int64"})
+        yield pd.DataFrame(out, columns=["bucket", "key", "slot", "text_sha256", "keep_id", "group_size"])
+    yield pd.DataFrame(entries(), columns=["bucket", "key", "slot", "text_sha256", "keep_id", "group_size"])
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -136,10 +136,13 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         yield from _combine(with_bucket())
 
     entries = (
-        text.mapInPandas(trimmed(place), "bucket int, key long, norm string, doc_id long, copies long")
+        # decimals, since pandas makes 64-bit integers beside a null doubles
+        text.withColumn("doc_id", F.col("doc_id").cast("decimal(20,0)"))
+        .mapInPandas(trimmed(place), "bucket int, key long, norm string, doc_id decimal(20,0), copies long")
         .repartition(parts, "bucket")
         .sortWithinPartitions("bucket", "key", "doc_id")
-        .mapInPandas(trimmed(_own), "bucket int, key long, slot int, text_sha256 string, keep_id long, group_size long")
+        .mapInPandas(trimmed(_own), "bucket int, key long, slot int, text_sha256 string, keep_id decimal(20,0), group_size long")
+        .withColumn("keep_id", F.col("keep_id").cast("long"))
     )
     return documents, stored(entries, "dedup-index")
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedge.llm.hashing import SECOND, as_number, may_hold, membership, mixed, text_hashes, top_bytes, windows
-from sedge.llm.shared import COARSE, components, looked_up, resplit, shuffle_partitions, stored, trimmed
+from sedge.llm.shared import COARSE, as_text, components, looked_up, resplit, shuffle_partitions, stored, trimmed
 
 #: Sizes of a band span this factor.
 BAND = 1.5
@@ -113,7 +113,7 @@ class Bands:
         return hashes & ~(np.uint64(TAGS - 1) << at) | np.uint64(band % TAGS) << at, needed
 
 
-SCANNED = "doc_id long, n_shingles long, set_id long, other_id long, needed array<int>, part int, sets binary, words binary"
+SCANNED = "doc_id string, n_shingles long, set_id long, other_id long, needed array<int>, part int, sets binary, words binary"
 FIELDS = ["doc_id", "n_shingles", "set_id", "other_id", "needed", "part", "sets", "words"]
 
 
@@ -362,8 +362,8 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
     # about six bytes to a word, and 0.3 sketch words
     classes = max(shuffle_partitions(docs.sparkSession), int(letters / 6 * 0.3 / CLASS) + 1)
     for seed in range(0, 2 * SEEDS, 2):
-        scanned = stored(text.mapInPandas(trimmed(partial(_scan, n, percent, min(classes, COARSE), seed)), SCANNED), "jaccard-scanned")
-        every = scanned.filter("part is null").select("doc_id", "n_shingles", "set_id", "other_id", "needed")
+        scanned = stored(as_text(text, "doc_id").mapInPandas(trimmed(partial(_scan, n, percent, min(classes, COARSE), seed)), SCANNED), "jaccard-scanned")
+        every = scanned.filter("part is null").select(F.col("doc_id").cast("long").alias("doc_id"), "n_shingles", "set_id", "other_id", "needed")
         per = every.filter("n_shingles > 0").groupBy("set_id").agg(F.max("n_shingles").alias("n_shingles"), F.max("needed").alias("needed"), F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"), F.min("other_id").alias("low"), F.max("other_id").alias("high"))
         sets = stored(per, "jaccard-sets")
         if sets.filter("low <> high").isEmpty():

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedge.llm.shared import ranked, stored, trimmed
+from sedge.llm.shared import as_text, ranked, stored, trimmed
 
 #: Bytes of words and ids that a worker remembers: of the words seen last, and as many of
 #: those before them. LEAN_BYTES where executors hold much else; then nothing is kept from task to task.
@@ -207,7 +207,9 @@ def cut(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, id
 
     kept = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = dict(kept.dtypes)["doc_id"]
-    return kept.mapInPandas(trimmed(pieces), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids)
+    whole = kind in ("bigint", "int", "smallint", "tinyint")
+    found = (as_text(kept, "doc_id") if whole else kept).mapInPandas(trimmed(pieces), f"doc_id {'string' if whole else kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids)
+    return found.withColumn("doc_id", F.col("doc_id").cast(kind)) if whole else found
 
 
 def combinations(units: int, present: set[int]) -> list[tuple[int, ...]]:
@@ -340,7 +342,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = 4096, end_id:
     """Cut and pack ``docs``; one row for each piece.
 
     A null or empty text is a document of one id, ``end_id``. Rows that repeat a
-    doc_id are documents of their own. Empty tables give empty results; other
+    doc_id, and those of a null one, are documents of their own. Empty tables give empty results; other
     columns of ``docs`` are ignored. Pieces, with their ids only if asked for,
     are stored in the shared folder between the two passes. ``lean``: workers remember
     fewer words, and none from task to task; that costs time and changes no result.

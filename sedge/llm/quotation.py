@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedge.llm.shared import numbered, stored, trimmed
+from sedge.llm.shared import as_text, numbered, stored, trimmed
 
 _MARKS = re.compile(r"[ \t]*((?:>[ \t]?)+)(.*)", re.DOTALL)
 _ATTRIBUTION = re.compile(r".{0,200}\b(?:wrote|writes|schrieb|a écrit|escribió)\s*:\s*", re.IGNORECASE)
@@ -90,7 +90,8 @@ def link(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     k - 1 replies further back than what was answered. Where several messages said
     the same, the latest before counts.
     """
-    parsed = stored(messages.mapInPandas(trimmed(_parse), "conv_id long, turn long, role string, body string, n_quoted int, units array<struct<level int, passage int, hash long, words int>>"), "quotes-parsed")
+    read = as_text(messages, "conv_id", "turn").mapInPandas(trimmed(_parse), "conv_id string, turn string, role string, body string, n_quoted int, units array<struct<level int, passage int, hash long, words int>>")
+    parsed = stored(read.withColumns({c: F.col(c).cast("long") for c in ("conv_id", "turn")}), "quotes-parsed")
     each = parsed.select("conv_id", "turn", F.explode("units").alias("u")).select("conv_id", "turn", "u.*").filter("conv_id is not null and turn is not null").distinct()
     # within a turn quotations stand before what the message says itself
     earlier = Window.partitionBy("conv_id", "hash").orderBy("turn", F.col("level").desc()).rowsBetween(Window.unboundedPreceding, -1)

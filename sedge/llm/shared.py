@@ -122,6 +122,12 @@ def resplit(packed: DataFrame, schema: str, split: Callable[[pd.DataFrame], pd.D
     return packed.repartition(shuffle_partitions(packed.sparkSession), "part").sortWithinPartitions("part").mapInPandas(trimmed(deal), schema.replace("part int", "part int, fine int"))
 
 
+def as_text(df: DataFrame, *ids: str) -> DataFrame:
+    """``df`` with ``ids`` as text, for a way through pandas, which makes a column of
+    64-bit integers with a null one of doubles; cast them back behind it."""
+    return df.withColumns({c: F.col(c).cast("string") for c in ids})
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedge.llm.hashing import SECOND, as_number, may_hold, membership, mixed, text_hashes, top_bytes, windows, words_of
-from sedge.llm.shared import COARSE, resplit, shuffle_partitions, stored, trimmed
+from sedge.llm.shared import COARSE, as_text, resplit, shuffle_partitions, stored, trimmed
 
 #: Rolling blocks that a task holds before it passes them on, and in a class.
 FLUSH, CLASS = 1_000_000, 2_000_000
@@ -239,4 +239,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
     no_list = F.lit(None).cast("array<int>")
     marked = near.filter("near").select("doc_id", "text", "key").join(found, "key", "left").join(alone.select("key", F.col("positions").alias("alone")), "key", "left")
     every = near.filter("not near").select("doc_id", "text", no_list.alias("blocks"), no_list.alias("alone")).unionByName(marked.select("doc_id", "text", "blocks", "alone"))
-    return every.mapInPandas(trimmed(finish), f"doc_id {dict(text.dtypes)['doc_id']}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
+    kind = dict(text.dtypes)["doc_id"]
+    whole = kind in ("bigint", "int", "smallint", "tinyint")
+    found = (as_text(every, "doc_id") if whole else every).mapInPandas(trimmed(finish), f"doc_id {'string' if whole else kind}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
+    return found.withColumn("doc_id", F.col("doc_id").cast(kind)) if whole else found
