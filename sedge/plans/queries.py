@@ -12,7 +12,7 @@ from sedge.functions import arrow as A
 from sedge.functions import columns as C
 from sedge.operators import billing, chunking, context, embedding, jobs, reports, search, tables
 from sedge.plans.bindings import NOW, Tables
-from sedge.sources import extract, sinks
+from sedge.sources import blobs, extract, pdf, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -331,6 +331,30 @@ def extracted_files(t: Tables) -> DataFrame:
     return extract.extract(files).select("id", "text", "error")
 
 
+_PAGE_PATH = "'uploads/u' || page_id % 3 || '/' || (1705752000000 + page_id) || '-page ' || page_id || '-' || sha256('run' || chr(31) || sha256(html))[:32] || '.html'"
+
+
+@query(f"SELECT page_id AS id, {_PAGE_PATH} AS pathname, replace({_PAGE_PATH}, ' ', '%20') AS address, strlen(html)::INTEGER AS size FROM pages")
+def blob_puts(t: Tables) -> DataFrame:
+    page = F.col("page_id")
+    path = sinks.blob_path(F.concat(F.lit("u"), (page % 3).cast("string")), page + 1705752000000, F.concat(F.lit("page "), page.cast("string"), F.lit(".html")))
+    made = blobs.suffixed_column(path, F.lit("run"), F.encode("html", "UTF-8"))
+    return t.raw("pages").select(page.alias("id"), made.alias("pathname"), C.url_path(made).alias("address"), F.octet_length("html").alias("size"))
+
+
+@query("SELECT page_id AS id, CASE WHEN page_id % 5 > 1 THEN md5(html) END AS digest, CASE page_id % 5 WHEN 0 THEN 'No source payload available for ingestion' WHEN 1 THEN 'Invalid data URI content' END AS error FROM pages")
+def page_bodies(t: Tables) -> DataFrame:
+    kind = F.col("page_id") % 5
+    data = F.when(kind == 1, F.col("html")).when(kind > 1, C.data_uri(F.encode("html", "UTF-8"), F.lit("text/html")))
+    files = t.raw("pages").select(F.col("page_id").alias("id"), F.lit(None).cast("string").alias("storage_url"), data.alias("file_data"))
+    return blobs.with_bodies(files).select("id", F.md5("content").alias("digest"), F.col("body_error").alias("error"))
+
+
+@query("SELECT page_id AS id, 1 AS page, array_to_string(list_filter(string_split(html, chr(10)), lambda x: x <> ''), chr(10)) AS text, NULL::VARCHAR AS error FROM pages")
+def pdf_pages(t: Tables) -> DataFrame:
+    return pdf.page_rows(t.raw("pages").select(F.col("page_id").alias("id"), pdf.one_page(F.col("html")).alias("content")))
+
+
 @query(SQL["structured_answers"])
 def sql_structured_answers(t: Tables) -> DataFrame:
     A.register(t.spark)

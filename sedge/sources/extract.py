@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedge.functions import columns as C
+from sedge.sources import pdf
 
 DOCX_TYPE = "application/vnd.openxmlformats-officedocument.wordprocessingml.document"
 _WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -58,35 +59,20 @@ def docx_text(raw: bytes) -> str:
     return "".join(f"{p}\n\n" for p in out)
 
 
-def default_pdf_reader() -> PdfReader | None:
-    """A reader if the environment has a library for it."""
-    try:
-        from pypdf import PdfReader as Reader
-    except ImportError:
-        return None
-
-    def read(raw: bytes) -> tuple[str, int]:
-        pages = Reader(io.BytesIO(raw)).pages
-        return "\n\n".join(p.extract_text() for p in pages), len(pages)
-
-    return read
-
-
 def extract(files: DataFrame, content_col: str = "content", name_col: str = "name", type_col: str = "type", max_bytes: int | None = None, pdf_reader: PdfReader | None = None) -> DataFrame:
     """``files`` without content, with text, num_pages and error.
 
     Plain text is decoded by an expression; only other kinds go through Python. A
     failure is a row's error, never the job's. ``max_bytes``: larger ones are errors.
+    ``pdf_reader``: another reader than that of ``pdf``, from bytes to (text, pages).
     """
-    read_pdf = pdf_reader or default_pdf_reader()
+    read_pdf = pdf_reader or pdf.read
 
     @F.pandas_udf("text string, num_pages int, error string")
     def parse(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         def one(raw: bytes, which: str) -> tuple:
             try:
                 if which == "pdf":
-                    if read_pdf is None:
-                        return None, None, "No PDF reader is installed"
                     return *read_pdf(raw), None
                 return (csv_text if which == "csv" else docx_text)(raw), None, None
             except Exception as e:  # whatever a broken file makes a parser raise is that file's error
