@@ -13,6 +13,7 @@ from sedge.functions import columns as C
 from sedge.operators import billing, chunking, context, embedding, jobs, reports, search, tables
 from sedge.plans.bindings import NOW, Tables
 from sedge.sources import blobs, extract, pdf, sinks
+from sedge.streaming import queue
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -331,6 +332,17 @@ def extracted_files(t: Tables) -> DataFrame:
     return extract.extract(files).select("id", "text", "error")
 
 
+@query("""WITH o AS (SELECT l_orderkey AS job_id, l_linenumber AS n, l_shipdate AS told, CASE WHEN l_returnflag <> 'N' THEN 'error ' || l_suppkey END AS error FROM lineitem WHERE l_linenumber BETWEEN 1 AND 5 QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate, l_returnflag = 'N', 'error ' || l_suppkey) = 1),
+ c AS (SELECT *, row_number() OVER w AS nth, coalesce(bool_or(error IS NULL) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS done FROM o WINDOW w AS (PARTITION BY job_id ORDER BY n)),
+ l AS (SELECT job_id, max(n) AS n, max_by(told, n) AS told, arg_max_null(error, n) AS error FROM c WHERE nth = n AND NOT done GROUP BY job_id)
+ SELECT o_orderkey AS job_id, CASE WHEN l.n IS NULL THEN 'processing' WHEN error IS NULL THEN 'completed' WHEN l.n < 5 THEN 'queued' ELSE 'failed' END AS status, coalesce(l.n, 1)::INTEGER AS attempts, error AS last_error,
+ CASE WHEN error IS NOT NULL AND l.n < 5 THEN told + to_minutes((2 ** l.n)::INTEGER) END AS next_retry_at FROM orders LEFT JOIN l ON job_id = o_orderkey""")
+def job_states(t: Tables) -> DataFrame:
+    error = F.when(F.col("l_returnflag") != "N", F.concat(F.lit("error "), F.col("l_suppkey").cast("string")))
+    outcomes = t.raw("lineitem").select(F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").alias("attempt"), error.alias("error"), F.col("l_shipdate").alias("at"))
+    return queue.final_states(t.raw("orders").select(F.col("o_orderkey").alias("job_id")), outcomes)
+
+
 _PAGE_PATH = "'uploads/u' || page_id % 3 || '/' || (1705752000000 + page_id) || '-page ' || page_id || '-' || sha256('run' || chr(31) || sha256(html))[:32] || '.html'"
 
 
