@@ -20,7 +20,7 @@ for each document, and no link between components is missed.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
@@ -41,8 +41,9 @@ WIDTH, TAGS = 5, 8
 TURNS, BLOCK, SMALL = 2, 1024, 8
 #: Documents whose words a task passes on once only while it remembers them.
 SEEN = 100_000
-#: Seeds of signatures that are tried until no two sets share one; one nearly always does.
-SEEDS = 4
+#: Scans of all texts, each under a seed of its own, before only those are scanned again whose
+#: sets share a signature with another set; and such scans at most.
+SEEDS, AGAIN = 1, 40
 
 
 def shingles(text: str | None, n: int) -> np.ndarray:
@@ -56,13 +57,14 @@ def shingles(text: str | None, n: int) -> np.ndarray:
     return np.unique(windows(words, n))
 
 
-def signature(s: np.ndarray, seed: int = 0) -> int:
-    """The same for equal sets: 64 bits of the set, not of any order; others for another seed."""
+def signature(s: np.ndarray, seed: int = 0, bits: int = 64) -> int:
+    """The same for equal sets: ``bits`` bits of the set, not of any order; others for another seed."""
     with np.errstate(over="ignore"):
         if seed:
             s = mixed(s ^ (np.uint64(seed) * SECOND))
         total = np.array([s.sum(dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.bitwise_xor.reduce(mixed(s)) + np.uint64(len(s))]) if len(s) else np.zeros(1, dtype=np.uint64)
-    return int(mixed(total).view(np.int64)[0])
+    found = int(mixed(total).view(np.int64)[0])
+    return found if bits == 64 else found & (1 << bits) - 1
 
 
 class Bands:
@@ -117,7 +119,7 @@ SCANNED = "doc_id string, n_shingles long, set_id long, other_id long, needed ar
 FIELDS = ["doc_id", "n_shingles", "set_id", "other_id", "needed", "part", "sets", "words"]
 
 
-def _scan(n: int, percent: int, classes: int, seed: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _scan(n: int, percent: int, classes: int, seed: int, batches: Iterator[pd.DataFrame], bits: int = 64) -> Iterator[pd.DataFrame]:
     """A row for each document, and packed sketch words: a row for each flush and class.
 
     needed: for each band's tag how many words a partner in it shares, on the row of
@@ -142,7 +144,7 @@ def _scan(n: int, percent: int, classes: int, seed: int, batches: Iterator[pd.Da
         for text in batch["text"]:
             s = shingles(text, n)
             sizes.append(len(s))
-            own.append(signature(s, seed))
+            own.append(signature(s, seed, bits))
             other.append(signature(s, seed + 1))
             needed.append(None)
             if len(s) < bands.edges[0] or own[-1] in seen:
@@ -164,6 +166,19 @@ def _scan(n: int, percent: int, classes: int, seed: int, batches: Iterator[pd.Da
         yield flush()
 
 
+def _scan_again(before: list[tuple[int, frozenset[int]]], bits: int, n: int, percent: int, classes: int, seed: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``_scan`` of the texts whose sets have, for each of ``before``, one of the signatures under the seed."""
+
+    def those() -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [shingles(text, n) for text in batch["text"]]
+            some = [len(s) > 0 and all(signature(s, old, bits) in shared for old, shared in before) for s in sets]
+            if any(some):
+                yield batch[some]
+
+    yield from _scan(n, percent, classes, seed, those(), bits)
+
+
 def _meet(group: pd.DataFrame) -> pd.DataFrame:
     """(word, tag, sharing, set_id) for the words of a class that ``sharing`` > 1 sets share."""
     words = as_number(np.concatenate([np.frombuffer(w, np.uint8).reshape(-1, WIDTH) for w in group["words"]]))
@@ -268,10 +283,10 @@ def folded_all(raw: list[np.ndarray], lengths: np.ndarray, words: int) -> np.nda
     return out
 
 
-def link_sets(docs: DataFrame, sets: DataFrame, packed: DataFrame, n: int, percent: int, classes: int, seed: int = 0) -> DataFrame:
+def link_sets(docs: DataFrame, sets: DataFrame, packed: DataFrame, n: int, percent: int, classes: int, bits: int = 64) -> DataFrame:
     """(node, component) of the sets that link with a different one.
 
-    ``docs``: doc_id, text. ``sets``: set_id, n_shingles, needed, copies, doc_id (of
+    ``docs``: doc_id, text. ``sets``: set_id, seed, n_shingles, needed, copies, doc_id (of
     one document). ``packed``: part, sets, words.
     """
     shared = stored(_by_class(packed, classes).applyInPandas(_meet, "word long, tag int, sharing long, set_id long"), "jaccard-shared")
@@ -286,15 +301,15 @@ def link_sets(docs: DataFrame, sets: DataFrame, packed: DataFrame, n: int, perce
     met = stored(rare.join(several, "word"), "jaccard-met")
 
     # the sets that met another, from one document of each
-    wanted = stored(sets.join(met.select("set_id").distinct(), "set_id").select("doc_id", "set_id", "n_shingles"), "jaccard-wanted")
+    wanted = stored(sets.join(met.select("set_id").distinct(), "set_id").select("doc_id", "set_id", "seed", "n_shingles"), "jaccard-wanted")
 
     def compute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            got = [(own, s.view(np.int64), bit_sketch(s).view(np.int64)) for t, own in zip(batch["text"], batch["set_id"], strict=True) if signature(s := shingles(t, n), seed) == own]
+            got = [(own, s.view(np.int64), bit_sketch(s).view(np.int64)) for t, own, seed in zip(batch["text"], batch["set_id"], batch["seed"], strict=True) if signature(s := shingles(t, n), int(seed), bits) == own]
             yield pd.DataFrame(got, columns=["set_id", "items", "sketch"])
 
     near = may_hold(docs, "doc_id", membership(wanted, "doc_id"), "near").filter("near")
-    items = stored(near.select("doc_id", "text").join(wanted.select("doc_id", "set_id"), "doc_id").mapInPandas(trimmed(compute), "set_id long, items array<long>, sketch array<long>").dropDuplicates(["set_id"]), "jaccard-items")
+    items = stored(near.select("doc_id", "text").join(wanted.select("doc_id", "set_id", "seed"), "doc_id").select("text", "set_id", "seed").mapInPandas(trimmed(compute), "set_id long, items array<long>, sketch array<long>").dropDuplicates(["set_id"]), "jaccard-items")
     state = stored(met.join(wanted.select("set_id", "n_shingles"), "set_id").withColumn("component", F.col("set_id")), "jaccard-state")
     links, tested = None, None
     sketches = items.select("set_id", "sketch")
@@ -345,7 +360,49 @@ def link_sets(docs: DataFrame, sets: DataFrame, packed: DataFrame, n: int, perce
     return components(links)
 
 
-def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def number_sets(text: DataFrame, n: int, percent: int, classes: int, bits: int = 64) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, sets, packed words) with a number, set_id, for each set.
+
+    The number is the set's signature. Different sets that share one are told apart by a
+    second signature; their texts, and no others, are scanned again under another seed until
+    none share one. Among 2 * 10**10 sets about ten pairs do. Packed words of a number that
+    was given up meet no set, or one more than they should, which verification takes out.
+    """
+    every, sets, packed, before = [], [], [], []
+    seed, whole = 0, 0
+    while True:
+        if before:
+            scan = partial(_scan_again, list(before), bits, n, percent, classes, seed)
+        else:
+            scan = partial(_scan, n, percent, classes, seed, **({} if bits == 64 else {"bits": bits}))
+        scanned = stored(as_text(text, "doc_id").mapInPandas(trimmed(scan), SCANNED), "jaccard-scanned")
+        docs = scanned.filter("part is null").select(F.col("doc_id").cast("long").alias("doc_id"), "n_shingles", "set_id", "other_id", "needed")
+        per = docs.filter("n_shingles > 0").groupBy("set_id").agg(F.max("n_shingles").alias("n_shingles"), F.max("needed").alias("needed"), F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"), F.min("other_id").alias("low"), F.max("other_id").alias("high"))
+        found = stored(per.withColumn("seed", F.lit(seed)), "jaccard-sets")
+        shared = found.filter("low <> high").select("set_id")
+        if sets:
+            shared = shared.union(found.join(sets[0].select("set_id"), "set_id", "left_semi").select("set_id"))
+        shared = frozenset(r[0] for r in shared.collect())  # pairs of sets that meet in 64 bits by chance
+        whole += not before
+        seed += 2
+        if shared and not before and whole < SEEDS:
+            continue
+        given_up = text.sparkSession.createDataFrame([(i,) for i in shared], "set_id long")
+        if shared:
+            # sets without a shingle are kept with the first scan
+            docs = docs.join(F.broadcast(given_up), (docs["set_id"] == given_up["set_id"]) & (docs["n_shingles"] > 0), "left_anti")
+            found = found.join(F.broadcast(given_up), "set_id", "left_anti")
+        every.append(docs.select("doc_id", "n_shingles", "set_id"))
+        sets = [reduce(DataFrame.union, [*sets, found.drop("low", "high")])]
+        packed.append(scanned.filter("part is not null").select("part", "sets", "words"))
+        if not shared:
+            return reduce(DataFrame.union, every), sets[0], reduce(DataFrame.union, packed)
+        before.append((seed - 2, shared))
+        if len(before) > AGAIN:
+            raise RuntimeError("different sets have the same signature under every seed")
+
+
+def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", bits: int = 64) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs``.
 
     component_id is the smallest doc_id reachable over links; two documents link
@@ -353,26 +410,17 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
     shingles. Null and empty texts have no shingles and link with nothing, so each
     is its own component. Rows that repeat an id are one node if their texts have
     equal sets; a null id is never the smallest. Empty tables give empty results; other columns
-    are ignored. Sets are told apart by 128 bits of two signatures: where two share the first,
-    which serves as their number, everything is done again under another seed. Links
+    are ignored. Sets are told apart by two signatures, of ``bits`` and of 64 bits: those that share
+    the first, which serves as their number, are numbered again under another seed. Links
     are verified on 64-bit shingles.
     """
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     letters = text.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # about six bytes to a word, and 0.3 sketch words
     classes = max(shuffle_partitions(docs.sparkSession), int(letters / 6 * 0.3 / CLASS) + 1)
-    for seed in range(0, 2 * SEEDS, 2):
-        scanned = stored(as_text(text, "doc_id").mapInPandas(trimmed(partial(_scan, n, percent, min(classes, COARSE), seed)), SCANNED), "jaccard-scanned")
-        every = scanned.filter("part is null").select(F.col("doc_id").cast("long").alias("doc_id"), "n_shingles", "set_id", "other_id", "needed")
-        per = every.filter("n_shingles > 0").groupBy("set_id").agg(F.max("n_shingles").alias("n_shingles"), F.max("needed").alias("needed"), F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"), F.min("other_id").alias("low"), F.max("other_id").alias("high"))
-        sets = stored(per, "jaccard-sets")
-        if sets.filter("low <> high").isEmpty():
-            break
-    else:
-        raise RuntimeError("different sets have the same signature under every seed")
-    sets = sets.drop("low", "high")
-    linked = link_sets(text, sets, scanned.filter("part is not null").select("part", "sets", "words"), n, percent, classes, seed).withColumnRenamed("node", "set_id")
+    every, sets, packed = number_sets(text, n, percent, min(classes, COARSE), bits)
+    linked = link_sets(text, sets, packed, n, percent, classes, bits).withColumnRenamed("node", "set_id")
     of_set = sets.join(linked, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     least = of_set.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     table = stored(of_set.join(least, "component").filter("copies > 1 or component_id <> doc_id").select("set_id", "copies", "component_id"), "jaccard-components")
-    return looked_up(every.drop("needed", "other_id"), table, ["set_id"], "copies").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return looked_up(every, table, ["set_id"], "copies").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))

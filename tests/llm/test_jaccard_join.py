@@ -110,3 +110,14 @@ def test_classes_dealt_twice(spark, monkeypatch):
     rows = [r[:2] for r in documents()] + [(500 + i, edited(rng, base, i % 4)) for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert sorted(tuple(r) for r in jaccard_join.join(df, 4, 85).collect()) == brute(rows, 4, 85)
+
+
+@pytest.mark.parametrize("bits", [10, 16])
+def test_few_bits_of_a_signature(spark, bits):
+    """With so few most sets share their number with others, under each seed some."""
+    rng = random.Random(4)
+    base = prose(rng, 90).split()
+    rows = [r[:2] for r in documents()] + [(500 + i, edited(rng, base, i % 5)) for i in range(30)] + [(None, prose(rng, 30))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = jaccard_join.join(df, 4, 85, bits=bits).collect()
+    assert sorted((tuple(r) for r in got if r[0] is not None)) == brute(rows[:-1], 4, 85) and len(got) == len(rows)
