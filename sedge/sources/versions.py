@@ -80,7 +80,7 @@ def _version(folder: _Folder, number: int | None = None) -> tuple[int, dict]:
     known = sorted(int(n) for n, _ in folder.names(_LISTS) if n.isdigit())
     number = (known[-1] if known else 0) if number is None else number
     if not number:
-        return 0, {"buckets": {}, "schema": None, "of": None}
+        return 0, {"buckets": {}, "schema": None, "of": None, "tags": {}}
     return number, json.loads(folder.text(_LISTS, f"{number:012d}"))
 
 
@@ -88,6 +88,11 @@ def latest(spark: SparkSession, path: str) -> int:
     return _version(_Folder(spark, path))[0]
 
 
+def tags(spark: SparkSession, path: str) -> dict[str, int]:
+    """What the latest version's writers have said, by name: the last batch of a stream, say."""
+    return _version(_Folder(spark, path))[1]["tags"]
+
+
 def _rows(spark: SparkSession, folder: _Folder, found: dict, buckets: list[str] | None = None) -> DataFrame | None:
     places = [f"{folder.path}/{found['buckets'][b]}" for b in (found["buckets"] if buckets is None else buckets) if b in found["buckets"]]
     return spark.read.schema(StructType.fromJson(found["schema"])).parquet(*places) if places else None
@@ -103,13 +108,13 @@ def read(spark: SparkSession, path: str, version: int | None = None) -> DataFram
     return spark.createDataFrame([], StructType.fromJson(found["schema"])) if rows is None else rows
 
 
-def replace(rows: DataFrame, path: str, key: str = "file_id", keys: DataFrame | None = None, buckets: int = 64, tries: int = TRIES) -> int:
+def replace(rows: DataFrame, path: str, key: str = "file_id", keys: DataFrame | None = None, buckets: int = 64, tries: int = TRIES, tags: dict[str, int] | None = None) -> int:
     """Put ``rows`` in place of all that the table has of their keys; the new version's number.
 
     ``keys``: a table with ``key`` whose rows go too, also of keys without new rows. Only
     buckets that have such keys are written, each with the rest of its old rows. Rows with a
     null key are added and never replaced. The number of buckets is that of the first
-    version. Raises ``Conflict`` after ``tries`` claims that others won; whatever is raised,
+    version. ``tags`` become part of the version, with those of the versions before. Raises ``Conflict`` after ``tries`` claims that others won; whatever is raised,
     the table is as if this run had not been.
     """
     spark, run = rows.sparkSession, uuid.uuid4().hex
@@ -138,7 +143,7 @@ def replace(rows: DataFrame, path: str, key: str = "file_id", keys: DataFrame |
                 seen = found["buckets"]
             schema = json.loads(merged.drop("_bucket").schema.json())
             whole = {b: p for b, p in found["buckets"].items() if b not in touched} | made
-            if folder.claim(json.dumps({"buckets": whole, "schema": schema, "of": of}), _LISTS, f"{number + 1:012d}"):
+            if folder.claim(json.dumps({"buckets": whole, "schema": schema, "of": of, "tags": found["tags"] | (tags or {})}), _LISTS, f"{number + 1:012d}"):
                 folder.remove("data", run, "new")
                 folder.remove("data", run, "keys")
                 return number + 1
