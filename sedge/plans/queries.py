@@ -95,14 +95,14 @@ def parsed_contexts(t: Tables) -> DataFrame:
 # usage and plans
 @query("""WITH p AS (SELECT 'm' || o_custkey % 5 AS model, date_trunc('month', o_orderdate) AS valid_from, max((o_totalprice::DECIMAL(18,2), (o_totalprice * 2)::DECIMAL(18,2))) AS own FROM orders GROUP BY 1, 2),
  u AS (SELECT 'm' || l_suppkey % 5 AS model, l_shipdate AS told, l_quantity::BIGINT AS input_tokens, l_linenumber::BIGINT AS output_tokens FROM lineitem)
- SELECT u.model, year(told)::INTEGER AS year, count(*) FILTER (own IS NULL) AS unpriced, sum(input_tokens::DECIMAL(18,0) * own[1]::DECIMAL(18,6) + output_tokens::DECIMAL(18,0) * own[2]::DECIMAL(18,6))::DOUBLE / 1000000 AS cost_usd FROM u ASOF LEFT JOIN p ON u.model = p.model AND told >= valid_from GROUP BY 1, 2""")
+ SELECT u.model, year(told)::INTEGER AS year, count(*) FILTER (own IS NULL) AS unpriced, round(sum(input_tokens::DECIMAL(18,0) * own[1]::DECIMAL(18,6) + output_tokens::DECIMAL(18,0) * own[2]::DECIMAL(18,6))::DECIMAL(28,6) * 0.000001::DECIMAL(7,6), 4)::DOUBLE AS cost_usd FROM u ASOF LEFT JOIN p ON u.model = p.model AND told >= valid_from GROUP BY 1, 2""")
 def context_costs(t: Tables) -> DataFrame:
     model = lambda c: F.concat(F.lit("m"), (F.col(c) % 5).cast("string"))
     money = lambda c: c.cast("decimal(18,2)").cast("decimal(18,6)")
     prices = t.raw("orders").select(model("o_custkey").alias("model"), F.date_trunc("month", "o_orderdate").cast("timestamp_ntz").alias("valid_from"), money(F.col("o_totalprice")).alias("input_usd"), money(F.col("o_totalprice") * 2).alias("output_usd"))
     usage = t.raw("lineitem").select(model("l_suppkey").alias("model"), F.col("l_shipdate").cast("timestamp_ntz").alias("at"), F.col("l_quantity").cast("bigint").alias("input_tokens"), F.col("l_linenumber").cast("bigint").alias("output_tokens"))
     priced = costs.context_costs(usage, prices)
-    return priced.groupBy("model", F.year("at").alias("year")).agg(F.count_if(F.col("cost_usd").isNull()).alias("unpriced"), F.sum("cost_usd").cast("double").alias("cost_usd"))
+    return priced.groupBy("model", F.year("at").alias("year")).agg(F.count_if(F.col("cost_usd").isNull()).alias("unpriced"), F.round(F.sum("cost_usd"), 4).cast("double").alias("cost_usd"))
 
 
 @query(f"SELECT * FROM {_TOTALS}")
