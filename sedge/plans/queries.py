@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sedge import schema
 from sedge.functions import arrow as A
 from sedge.functions import columns as C
-from sedge.operators import billing, chunking, context, costs, embedding, jobs, reports, search, tables
+from sedge.operators import billing, chunking, context, costs, embedding, jobs, reports, rollups, search, tables
 from sedge.plans.bindings import NOW, Tables
 from sedge.sources import blobs, extract, pdf, sinks
 from sedge.streaming import queue
@@ -110,6 +110,16 @@ def usage_totals(t: Tables) -> DataFrame:
     return billing.usage_totals(t.usage(), NOW)
 
 
+@query(f"""SELECT user_id, metric, date_trunc('hour', occurred_at) AS hour, sum(quantity + CASE WHEN id % 21 = 0 THEN 5 ELSE 0 END)::BIGINT AS quantity, count(*) AS events FROM {_USAGE} GROUP BY 1, 2, 3""")
+def rolled_usage(t: Tables) -> DataFrame:
+    """Two batches; the second repeats the first, and a seventh of that is corrected."""
+    usage, third = t.usage().withColumn("revision", F.lit(0)), F.col("id") % 3 == 0
+    early = rollups.counted(usage.filter(third), t.spark.createDataFrame([], rollups.LEDGER))
+    fixed = F.col("id") % 21 == 0
+    late = usage.withColumns({"quantity": F.col("quantity") + F.when(fixed, 5).otherwise(0), "revision": F.when(fixed, 1).otherwise(0)})
+    return rollups.merged(rollups.hourly(early), rollups.hourly(rollups.counted(late, early)))
+
+
 @query(f"SELECT * FROM {_PLAN}")
 def current_plans(t: Tables) -> DataFrame:
     return billing.current_plan(t.subscriptions())
