@@ -29,7 +29,10 @@ SAMPLE = 4
 
 
 def unit(rows: list) -> np.ndarray:
+    """Rows of length 1. Each is scaled by a power of two first, which is exact and keeps
+    squares of huge and tiny numbers within doubles."""
     x = np.array([np.asarray(r, dtype=np.float64) for r in rows])
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 

@@ -42,6 +42,15 @@ def test_matches_brute_force(spark):
     assert sorted(tuple(r) for r in embedding_dedup.near_duplicates(df, pivots=32).collect()) == brute(rows)
 
 
+def test_huge_and_tiny_numbers(spark):
+    """Cosines whose squares leave the doubles."""
+    big, tiny = [1.7e308, 1e307], 5e-324
+    rows = [(1, [1e200, 0.0]), (2, [2e200, 1e199]), (3, [1e-200, 0.0]), (4, [3e-200, 0.0]), (5, [0.0, tiny]), (6, [-0.0, 1.0]), (7, big), (8, [-1e200, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df, pivots=2).collect()}
+    assert got == {1: (4, 1), 2: (4, 1), 3: (4, 1), 4: (4, 1), 7: (4, 1), 5: (1, 5), 6: (1, 5), 8: (0, 8)}
+
+
 def test_blocks_of_a_hot_list(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "BLOCK", 30)
     rng = np.random.default_rng(1)
