@@ -17,7 +17,7 @@ from sedge.llm.shared import WORD, ship, stored
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A key of each row, from the first stage to the mixing: doc_id may be null or repeat.
 KEY = "pipeline_row"
-#: No stage but the packing can be said in SQL: a fitted classifier decides first.
+#: Neither the fitted classifier nor the near-copy join, the mix and the packing are said in SQL.
 ORACLE_SQL = None
 
 
@@ -29,14 +29,14 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; a missing label is filled in.
+    """Documents whose language can be told, with the predicted language as ``lang``.
 
-    Null texts and texts without a letter are rejected.
+    Null texts and texts without a letter are rejected, and all if no row has a label.
     """
     ship(spark)
     learn = docs.filter(~language_id.held_out()).select(F.col("doc_id").alias("order"), "text", "lang")
     known = language_id.predict(docs.select(*COLUMNS), language_id.fit(learn))
-    return known.filter(F.col("lang_pred") != language_id.UNKNOWN).withColumn("lang", F.coalesce("lang", "lang_pred")).withColumn(KEY, F.monotonically_increasing_id()).select(KEY, *COLUMNS)
+    return known.filter(F.col("lang_pred") != language_id.UNKNOWN).withColumn("lang", F.col("lang_pred")).withColumn(KEY, F.monotonically_increasing_id()).select(KEY, *COLUMNS)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
