@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedge.llm.hashing import SECOND, as_number, may_hold, membership, mixed, text_hashes, top_bytes, windows
-from sedge.llm.shared import COARSE, as_text, components, looked_up, resplit, shuffle_partitions, stored, trimmed
+from sedge.llm.shared import COARSE, as_text, components, looked_up, resplit, shuffle_partitions, stored, trimmed, trimmed_group
 
 #: Sizes of a band span this factor.
 BAND = 1.5
@@ -289,7 +289,7 @@ def link_sets(docs: DataFrame, sets: DataFrame, packed: DataFrame, n: int, perce
     ``docs``: doc_id, text. ``sets``: set_id, seed, n_shingles, needed, copies, doc_id (of
     one document). ``packed``: part, sets, words.
     """
-    shared = stored(_by_class(packed, classes).applyInPandas(_meet, "word long, tag int, sharing long, set_id long"), "jaccard-shared")
+    shared = stored(_by_class(packed, classes).applyInPandas(trimmed_group(_meet), "word long, tag int, sharing long, set_id long"), "jaccard-shared")
     # a set has a few words for each shingle, so these windows are no longer than a text
     of_band = Window.partitionBy("set_id", "tag")
     common_first = of_band.orderBy(F.col("sharing").desc(), F.col("word").desc())

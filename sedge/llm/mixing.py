@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedge.llm.shared import WORD, ranked, stored
+from sedge.llm.shared import WORD, ranked, stored, trimmed_group
 
 #: Weights by rank of the source, repeating.
 WEIGHTS = (5, 2, 1)
@@ -129,7 +129,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         lengths.select("source_key", "size", "docs")
         .join(goal.select("source_key", "source_size", "target"), "source_key")
         .groupBy("source_key")
-        .applyInPandas(choose, "source_key string, size long, source_size long, target double, repeats long, more long")
+        .applyInPandas(trimmed_group(choose), "source_key string, size long, source_size long, target double, repeats long, more long")
     )
     plan = stored(plan, "mix-plan")
     chosen = ranked(sizes.withColumn("_order", F.xxhash64(F.lit(seed), "doc_id")), ["source_key", "size"], ["_order", "doc_id"], per_key=plan, ties=rows)

@@ -76,8 +76,15 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def trim() -> None:
+    """Give what this worker has freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    if give := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the GNU C library
+        give(0)
+
+
 def trimmed(f: Callable) -> Callable:
-    """``f``, a generator over batches, giving what its task has freed back to the system.
+    """``f``, a generator over batches, trimmed at the end of its task.
 
     Workers are kept for other tasks, and what they hold counts against their executor.
     """
@@ -86,9 +93,19 @@ def trimmed(f: Callable) -> Callable:
         try:
             yield from f(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the GNU C library
-                trim(0)
+            trim()
+
+    return run
+
+
+def trimmed_group(f: Callable) -> Callable:
+    """``f``, of one large group, trimmed after each."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        try:
+            return f(group)
+        finally:
+            trim()
 
     return run
 
