@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sedge import schema
 from sedge.functions import arrow as A
 from sedge.functions import columns as C
-from sedge.operators import billing, chunking, context, costs, embedding, jobs, reports, rollups, search, tables
+from sedge.operators import billing, cells, chunking, context, costs, embedding, jobs, reports, rollups, search, tables
 from sedge.plans.bindings import NOW, Tables
 from sedge.sources import blobs, extract, pdf, sinks
 from sedge.streaming import queue
@@ -68,6 +68,11 @@ def search_joined(t: Tables) -> DataFrame:
     return _rounded(search.search_joined(t.search_queries(), t.chunks()))
 
 
+@query(_TOP_SQL)
+def search_pruned(t: Tables) -> DataFrame:
+    return _rounded(cells.search(t.search_queries(), cells.build(t.chunks())))
+
+
 @query(f"SELECT id, round(similarity, 6) AS similarity FROM (SELECT c.id, list_cosine_similarity(q.v, c.v) AS similarity FROM {_CHUNKS} q, {_CHUNKS} c WHERE q.id = 0 AND c.user_id = q.user_id) WHERE similarity > 0.3 ORDER BY similarity DESC, id LIMIT 10")
 def search_one(t: Tables) -> DataFrame:
     first = t.chunks().filter("id = 0").first()
