@@ -176,7 +176,7 @@ class WordCodec:
 
 
 def codec(path: str, lean: bool = False) -> WordCodec:
-    """The codec of a worker; a lean one does without the second, bare model."""
+    """The codec of a worker; a lean one does without the second, bare model, and goes with its task."""
     if (path, lean) not in _codecs:
         _codecs[path, lean] = WordCodec(path, lean)
     return _codecs[path, lean]
@@ -204,6 +204,7 @@ def cut(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, id
             yield pd.DataFrame(out, columns=fields)
         if lean:
             words.forget()
+            _codecs.pop((tokenizer, lean), None)
 
     kept = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = dict(kept.dtypes)["doc_id"]
