@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedge.functions import columns as C
+from sedge.operators import cells
 
-#: Queries that are broadcast at once; more are searched in turns over the chunks.
+#: Most queries that are broadcast; more are joined to the chunks.
 QUERY_BLOCK = 4096
 
 
@@ -39,45 +40,40 @@ def _units(rows: pd.Series) -> np.ndarray:
 def search_many(queries: DataFrame, chunks: DataFrame, k: int = 10, threshold: float = 0.3) -> DataFrame:
     """query_id, id, similarity, rank for many queries at once.
 
-    ``queries``: query_id, user_id, vector; ``chunks``: id, user_id, embeddings. Queries
-    are broadcast in blocks of ``QUERY_BLOCK``; every task keeps its k best for each
-    query, so what is shuffled doesn't grow with the chunks of a task.
+    ``queries``: query_id, user_id, vector; ``chunks``: id, user_id, embeddings. Up to
+    ``QUERY_BLOCK`` queries are broadcast; every task keeps its k best for each query, so
+    what is shuffled doesn't grow with the chunks of a task. More stay a table and are
+    searched by cells, with query_id unique.
     """
     spark = chunks.sparkSession
-    rows = queries.select("query_id", "user_id", "vector").toLocalIterator()
-    found, block = None, []
-
-    def run(block: list) -> DataFrame:
-        ids, users, q = [r["query_id"] for r in block], np.array([r["user_id"] for r in block], dtype=object), _units(pd.Series([r["vector"] for r in block]))
-        shared = spark.sparkContext.broadcast((ids, users, q))
-
-        def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, users, q = shared.value
-            held: dict[int, list[tuple[float, int]]] = {}
-            for batch in batches:
-                for user, some in batch.groupby("user_id"):
-                    mine = np.flatnonzero(users == user)
-                    if not len(mine):
-                        continue
-                    s = _units(some["embeddings"]) @ q[mine].T
-                    own = some["id"].to_numpy()
-                    for column, i in enumerate(mine):
-                        hit = np.flatnonzero(s[:, column] > threshold)
-                        top = hit[np.lexsort((own[hit], -s[hit, column]))[:k]]
-                        if len(top):
-                            held[i] = heapq.nsmallest(k, [*held.get(i, []), *((-float(s[t, column]), int(own[t])) for t in top)])
-            out = [(ids[i], own_id, -s) for i, some in held.items() for s, own_id in some]
-            yield pd.DataFrame(out, columns=["query_id", "id", "similarity"])
-
-        return chunks.select("id", "user_id", "embeddings").mapInPandas(best, f"query_id {dict(queries.dtypes)['query_id']}, id long, similarity double")
-
-    for r in rows:
-        block.append(r)
-        if len(block) == QUERY_BLOCK:
-            found, block = (run(block) if found is None else found.unionByName(run(block))), []
-    if block or found is None:
-        part = run(block) if block else spark.createDataFrame([], f"query_id {dict(queries.dtypes)['query_id']}, id long, similarity double")
-        found = part if found is None else found.unionByName(part)
+    block = queries.select("query_id", "user_id", "vector").limit(QUERY_BLOCK + 1).collect()
+    if len(block) > QUERY_BLOCK:
+        return cells.search(queries, cells.build(chunks), k, threshold)
+    kinds = f"query_id {dict(queries.dtypes)['query_id']}, id long, similarity double"
+    if not block:
+        return spark.createDataFrame([], f"{kinds}, rank int")
+    ids, users, q = [r["query_id"] for r in block], np.array([r["user_id"] for r in block], dtype=object), _units(pd.Series([r["vector"] for r in block]))
+    shared = spark.sparkContext.broadcast((ids, users, q))
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, users, q = shared.value
+        held: dict[int, list[tuple[float, int]]] = {}
+        for batch in batches:
+            for user, some in batch.groupby("user_id"):
+                mine = np.flatnonzero(users == user)
+                if not len(mine):
+                    continue
+                s = _units(some["embeddings"]) @ q[mine].T
+                own = some["id"].to_numpy()
+                for column, i in enumerate(mine):
+                    hit = np.flatnonzero(s[:, column] > threshold)
+                    top = hit[np.lexsort((own[hit], -s[hit, column]))[:k]]
+                    if len(top):
+                        held[i] = heapq.nsmallest(k, [*held.get(i, []), *((-float(s[t, column]), int(own[t])) for t in top)])
+        out = [(ids[i], own_id, -s) for i, some in held.items() for s, own_id in some]
+        yield pd.DataFrame(out, columns=["query_id", "id", "similarity"])
+
+    found = chunks.select("id", "user_id", "embeddings").mapInPandas(best, kinds)
     order = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 

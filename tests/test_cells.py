@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from sedge.operators import cells
+from sedge.operators import cells, search
 
 BIG = 2**60
 CHUNKS = "id long, user_id string, embeddings array<float>, cell string, angle int"
@@ -53,3 +53,13 @@ def test_nothing(spark, rows):
     none, asked = spark.createDataFrame([], CHUNKS), spark.createDataFrame(queries[:3], "query_id long, user_id string, vector array<double>")
     assert cells.search(asked, cells.build(none)).isEmpty()
     assert cells.search(asked.limit(0), cells.build(spark.createDataFrame(chunks[:20], CHUNKS))).isEmpty()
+
+
+def test_many_queries_stay_a_table(spark, rows, monkeypatch):
+    queries, chunks = rows
+    asked = spark.createDataFrame(queries[:60], "query_id long, user_id string, vector array<double>")
+    table = spark.createDataFrame([c for c in chunks if c[0] >= BIG], CHUNKS)
+    key = lambda df: sorted((r.query_id, r.id, round(r.similarity, 9), r["rank"]) for r in df.collect())
+    want = key(search.search_many(asked, table))
+    monkeypatch.setattr(search, "QUERY_BLOCK", 7)
+    assert key(search.search_many(asked, table)) == want
