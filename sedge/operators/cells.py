@@ -8,19 +8,22 @@ nearest cells that hold k vectors first, then only those that may beat the k-th
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from math import acos
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Most centres, which are broadcast, and rows of a block of chunks and of queries.
 CENTRES, BLOCK = 1024, 4096
-#: What angles may be off by rounding.
-SLACK = 1e-6
+#: Queries that are multiplied with a block at once.
+STEP = 256
+#: What angles, and cosines from a matrix product, may be off by rounding.
+SLACK, ROUNDING = 1e-6, 1e-9
 _CELL = ["user_id", "size", "cell"]
 
 
@@ -115,37 +118,97 @@ def _bounds(queries: DataFrame, index: Index, threshold: float) -> DataFrame:
     return met.withColumn("before", F.coalesce(F.sum("members").over(order), F.lit(0)))
 
 
+def _vectors(column: pa.ChunkedArray) -> np.ndarray:
+    whole = column.combine_chunks()
+    if len(pc.unique(pc.list_value_length(whole))) > 1:
+        raise ValueError("vectors of unlike length")
+    return whole.flatten().to_numpy(zero_copy_only=False).reshape(len(whole), -1)
+
+
+def _lengths(x: np.ndarray) -> np.ndarray:
+    """Norms, summed from the first component to the last like every sum here that decides: equal vectors get equal ones."""
+    return np.sqrt(np.cumsum(x * x, axis=1)[:, -1])
+
+
+def _best(k: int, threshold: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """For ``applyInArrow``: the k best chunks of a block for each query of a block.
+
+    A matrix product, whose rounding depends on a row's place, finds what may be among the
+    k best; their cosines are then summed as ``columns.cosine`` does, so ties fall to the smaller id.
+    """
+
+    def best(chunks: pa.Table, asked: pa.Table) -> pa.Table:
+        at, of, s = [], [], []
+        if chunks.num_rows and asked.num_rows:
+            chunks = chunks.take(pc.sort_indices(chunks, sort_keys=[("id", "ascending")], null_placement="at_start"))
+            x, q = _vectors(chunks["embeddings"]), _vectors(asked["vector"])
+            if x.shape[1] != q.shape[1]:
+                raise ValueError("vectors of unlike length")
+            with np.errstate(over="ignore", invalid="ignore"):
+                far, wide = _lengths(x), _lengths(q)
+            mine = np.flatnonzero((far > 0) & np.isfinite(far))
+            x, far = x[mine], far[mine]
+            units = x / far[:, None]
+            for first in range(0, len(q) if len(x) else 0, STEP):
+                with np.errstate(all="ignore"):
+                    found = (q[first : first + STEP] / wide[first : first + STEP, None]) @ units.T
+                least = np.partition(found, len(x) - k, axis=1)[:, len(x) - k] if len(x) > k else np.full(len(found), -np.inf)
+                for i, own in enumerate(found):
+                    near = np.flatnonzero(own >= max(threshold, least[i]) - ROUNDING)
+                    if len(near):
+                        with np.errstate(all="ignore"):
+                            cosine = np.cumsum(x[near] * q[first + i], axis=1)[:, -1] / (far[near] * wide[first + i])
+                        hit = np.flatnonzero(cosine > threshold)
+                        hit = hit[np.argsort(-cosine[hit], kind="stable")[:k]]
+                        at.append(mine[near[hit]])
+                        of.append(np.full(len(hit), first + i))
+                        s.append(cosine[hit])
+        whole = lambda parts, kind: pa.array(np.concatenate([np.empty(0, kind), *parts]))
+        return pa.table({"query_id": asked["query_id"].take(whole(of, np.int64)), "id": chunks["id"].take(whole(at, np.int64)), "similarity": whole(s, np.float64)})
+
+    return best
+
+
+def _each(n: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+
+def _dealt(c: str, n: str) -> Column:
+    return F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+
+
+def _compared(left: DataFrame, right: DataFrame, key: list[str], k: int, threshold: float) -> DataFrame:
+    """query_id, id, similarity: the k best of ``left`` (``key``, id, embeddings) for each of ``right`` (``key``, query_id, vector) where ``key`` is the same."""
+    left, right = left.toDF(*left.columns), right.toDF(*right.columns)  # both may come from the same scan
+    kinds = {**dict(left.dtypes), **dict(right.dtypes)}
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_best(k, threshold), f"query_id {kinds['query_id']}, id {kinds['id']}, similarity double")
+
+
 def _met(pairs: DataFrame, queries: DataFrame, index: Index, k: int, threshold: float) -> DataFrame:
     """query_id, id, similarity: the k best of each query in each block of the cells it meets.
 
     A cell is dealt into blocks of about ``BLOCK`` chunks and its queries into blocks of about as many, so no group is large.
     """
     loads = pairs.groupBy(*_CELL).agg(F.ceil(F.max("members") / BLOCK).cast("int").alias("parts"), F.ceil(F.count("*") / BLOCK).cast("int").alias("turns"))
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
-    left = index.members.join(loads, _CELL).withColumn("part", dealt("id", "parts")).withColumn("turn", each("turns")).drop("parts", "turns")
-    right = pairs.select("query_id", *_CELL).join(loads, _CELL).withColumn("turn", dealt("query_id", "turns")).withColumn("part", each("parts")).drop("parts", "turns").join(queries.select("query_id", "vector"), "query_id")
-    left, right = left.toDF(*left.columns), right.toDF(*right.columns)  # both may come from the same scan
-    key = [*_CELL, "part", "turn"]
+    left = index.members.join(loads, _CELL).withColumn("part", _dealt("id", "parts")).withColumn("turn", _each("turns")).drop("parts", "turns")
+    right = pairs.select("query_id", *_CELL).join(loads, _CELL).withColumn("turn", _dealt("query_id", "turns")).withColumn("part", _each("parts")).drop("parts", "turns").join(queries.select("query_id", "vector"), "query_id")
+    return _compared(left, right, [*_CELL, "part", "turn"], k, threshold)
 
-    def best(chunks: pa.Table, asked: pa.Table) -> pa.Table:
-        chunks = chunks.sort_by("id")
-        at, of, s = [], [], []
-        if chunks.num_rows and asked.num_rows:
-            x, q = _units(chunks["embeddings"]), _units(asked["vector"])
-            for first in range(0, len(q), 512):
-                found = x @ q[first : first + 512].T
-                for column in range(found.shape[1]):
-                    own = found[:, column]
-                    hit = np.flatnonzero(own > threshold)
-                    top = hit[np.lexsort((hit, -own[hit]))[:k]]
-                    at.extend(top.tolist())
-                    of.extend([first + column] * len(top))
-                    s.extend(own[top].tolist())
-        return pa.table({"query_id": asked["query_id"].take(pa.array(of, pa.int64())), "id": chunks["id"].take(pa.array(at, pa.int64())), "similarity": pa.array(s, pa.float64())})
 
-    kinds = {**dict(left.dtypes), **dict(right.dtypes)}
-    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(best, f"query_id {kinds['query_id']}, id {kinds['id']}, similarity double")
+def in_blocks(queries: DataFrame, chunks: DataFrame, k: int, threshold: float) -> DataFrame:
+    """query_id, id, similarity: the k best of each query in each block of its tenant's chunks, without an index.
+
+    Tenants of more than ``BLOCK`` chunks or queries are dealt into blocks of about as many; they are few, and broadcast.
+    Rows that no index would hold are left out; unlike lengths in a tenant are an error.
+    """
+    left, right = (_usable(df, v).drop("size") for df, v in ((chunks.select("id", "user_id", "embeddings"), "embeddings"), (queries.select("query_id", "user_id", "vector"), "vector")))
+    own, asked = (df.groupBy("user_id").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(n)) for df, n in ((left, "parts"), (right, "turns")))
+    large = F.broadcast(own.join(asked, "user_id", "full").fillna(0, ["parts", "turns"]).filter("parts > 1 OR turns > 1"))
+    one = {n: F.coalesce(n, F.lit(1)) for n in ("parts", "turns")}
+    left, right = (df.join(large, "user_id", "left").withColumns(one).filter("parts > 0 AND turns > 0") for df in (left, right))
+    left = left.withColumn("part", _dealt("id", "parts")).withColumn("turn", _each("turns")).drop("parts", "turns")
+    right = right.withColumn("turn", _dealt("query_id", "turns")).withColumn("part", _each("parts")).drop("parts", "turns")
+    return _compared(left, right, ["user_id", "part", "turn"], k, threshold)
 
 
 def _plans(queries: DataFrame, index: Index, k: int, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:

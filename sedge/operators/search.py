@@ -79,8 +79,11 @@ def search_many(queries: DataFrame, chunks: DataFrame, k: int = 10, threshold: f
 
 
 def search_joined(queries: DataFrame, chunks: DataFrame, k: int = 10, threshold: float = 0.3) -> DataFrame:
-    """The same as ``search_many`` with expressions only, joined by tenant."""
-    pairs = chunks.select("id", "user_id", "embeddings").join(queries.select("query_id", "user_id", "vector"), "user_id")
-    hits = pairs.select("query_id", "id", C.cosine("embeddings", "vector").alias("similarity")).filter(F.col("similarity") > threshold)
+    """The same as ``search_many`` for any number of queries, joined by tenant.
+
+    A tenant's chunks and queries meet in blocks of some thousands, each of which keeps
+    its k best for each query, so neither a tenant nor the pairs lie in one task.
+    """
+    found = cells.in_blocks(queries, chunks, k, threshold)
     order = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "id")
-    return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

@@ -63,3 +63,30 @@ def test_many_queries_stay_a_table(spark, rows, monkeypatch):
     want = key(search.search_many(asked, table))
     monkeypatch.setattr(search, "QUERY_BLOCK", 7)
     assert key(search.search_many(asked, table)) == want
+
+
+def test_joined_in_blocks(spark, rows, monkeypatch):
+    queries, chunks = rows
+    queries, chunks = ([r for r in some if r[2] is None or len(r[2]) in (0, 8)] for some in (queries, chunks))
+    chunks += [(BIG + 2000 + i, "unasked", [1.0] * 8, "c", 1) for i in range(40)]
+    asked, table = spark.createDataFrame(queries, "query_id long, user_id string, vector array<double>").filter("query_id is not null"), spark.createDataFrame(chunks, CHUNKS).repartition(3)
+    monkeypatch.setattr(cells, "BLOCK", 16)
+    monkeypatch.setattr(cells, "STEP", 5)
+    for k, threshold in [(10, 0.3), (3, -0.5)]:
+        got = search.search_joined(asked, table, k, threshold).collect()
+        assert sorted((r.query_id, r.id, r["rank"]) for r in got) == brute(queries, chunks, k, threshold)
+    pairs = sum(1 for q in queries if q[0] for c in chunks if q[1] == c[1])
+    assert cells.in_blocks(asked, table, 1, 0.3).count() < pairs / 8  # a row for each query and block, not for each pair
+    with pytest.raises(Exception, match="unlike length"):
+        search.search_joined(asked, spark.createDataFrame([(1, "hot", [1.0, 2.0], "c", 1)], CHUNKS)).collect()
+
+
+def test_copies_in_the_order_of_their_ids(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(cells, "BLOCK", 37)
+    x = rng.normal(size=(3, 61))
+    table = spark.createDataFrame([(BIG + i, "u", x[i % 3].tolist(), "c", 1) for i in range(200)], "id long, user_id string, embeddings array<double>, cell string, angle int")
+    asked = spark.createDataFrame([(i, "u", (v + rng.normal(scale=0.2, size=61)).tolist()) for i, v in enumerate(x) for i in range(3 * i, 3 * i + 3)], "query_id long, user_id string, vector array<double>")
+    want = sorted((q, BIG + q // 3 + 3 * r, r + 1) for q in range(9) for r in range(5))
+    for got in (search.search_joined(asked, table, 5), cells.search(asked, cells.build(table), 5)):
+        assert sorted((r.query_id, r.id, r["rank"]) for r in got.collect()) == want
