@@ -5,9 +5,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections import deque
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,13 +75,14 @@ def chunk(files: DataFrame, text_col: str = "text", name_col: str | None = "name
     if overlap >= size:
         raise ValueError("overlap must be smaller than size")
 
-    @F.pandas_udf("array<struct<content: string, start: int, section: int>>")
-    def parts(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for texts, trimmed in batches:
-            yield pd.Series([_placed(text, split(t, size, overlap)) if t else [] for text, t in zip(texts, trimmed, strict=True)], dtype=object)
+    # rows come a hundred at a time, each with its text once: a worker never holds an Arrow batch of texts
+    @F.udf("array<struct<content: string, start: int, section: int>>", useArrow=False)
+    def parts(text: str | None, lead: int | None, n: int | None) -> list[dict]:
+        return _placed(text, split(text[lead : lead + n], size, overlap)) if n else []
 
     # the text goes before its chunks become rows, so that these don't carry it
-    rows = files.withColumn("_trimmed", C.trim_all(text_col)).withColumn("_parts", parts(text_col, "_trimmed")).withColumns({"_total": F.length("_trimmed"), "_n": F.size("_parts")}).drop("_trimmed", text_col)
+    placed = files.withColumns({"_lead": F.length(text_col) - F.length(C.trim_start(text_col)), "_total": F.length(C.trim_all(text_col))})
+    rows = placed.withColumn("_parts", parts(text_col, "_lead", "_total")).withColumn("_n", F.size("_parts")).drop("_lead", text_col)
     each = rows.select("*", F.posexplode("_parts").alias("chunk_index", "_part")).drop("_parts")
     start, pages = F.col("_part.start"), F.col(pages_col) if pages_col else F.lit(None).cast("int")
     place = F.greatest(start, F.lit(0))

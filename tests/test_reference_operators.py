@@ -131,6 +131,18 @@ def test_chunk_metadata(spark):
         assert m.section == text[: m.charOffset].count("\n\n") + 1 and m.fileName == "a.txt" and 1 <= m.estimatedPage <= 4
 
 
+def test_chunks_without_batches_of_texts(spark):
+    lead = "\ufeff\u3000 \n\n"
+    texts = [lead + "one\n\ntwo 😀 " * 9 + "\t", "", None, lead, "x"]
+    made = chunking.chunk(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string"), name_col=None, size=20, overlap=4)
+    got = [(r.id, r.content, r.metadata.charOffset, r.metadata.section) for r in made.orderBy("id", "chunk_index").collect()]
+    body = texts[0].strip("\ufeff\u3000 \n\t")
+    want = [(0, c, texts[0].find(c), texts[0][: texts[0].find(c)].count("\n\n") + 1) for c in chunking.split(body, 20, 4)]
+    assert got == [*want, (4, "x", 0, 1)]
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "Arrow" not in plan  # a hundred rows at a time, not ten thousand
+
+
 def test_search(spark):
     chunks = spark.createDataFrame([(1, "u", 1, "c1", [1.0, 0.0]), (2, "u", 1, "c2", [0.0, 1.0]), (3, "v", 2, "c3", [1.0, 0.0]), (4, "u", 1, "c4", [0.0, 0.0])], "id int, user_id string, file_id int, content string, embeddings array<float>").withColumn("metadata", F.lit(None).cast(schema.METADATA))
     files = spark.createDataFrame([(1, "f", "t", "u"), (2, "g", "t", "v")], "id int, name string, type string, user_id string")
