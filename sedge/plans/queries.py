@@ -391,7 +391,9 @@ def page_bodies(t: Tables) -> DataFrame:
 
 @query("SELECT page_id AS id, 1 AS page, array_to_string(list_filter(string_split(html, chr(10)), lambda x: x <> ''), chr(10)) AS text, NULL::VARCHAR AS error FROM pages")
 def pdf_pages(t: Tables) -> DataFrame:
-    return pdf.page_rows(t.raw("pages").select(F.col("page_id").alias("id"), pdf.one_page(F.col("html")).alias("content")))
+    lanes = max(int(t.spark.conf.get("spark.sql.shuffle.partitions")), 4 * t.spark.sparkContext.defaultParallelism)
+    pages = t.raw("pages").select("page_id", "html").repartition(lanes, "page_id")  # reading takes longer than moving, and a file may be one split
+    return pdf.page_rows(pages.select(F.col("page_id").alias("id"), pdf.one_page(F.col("html")).alias("content")))
 
 
 @query(SQL["structured_answers"])
