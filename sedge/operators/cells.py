@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 #: Most centres, which are broadcast, and rows of a block of chunks and of queries.
 CENTRES, BLOCK = 1024, 4096
-#: Queries that are multiplied with a block at once.
+#: Vectors that are multiplied with a block, or with all centres, at once.
 STEP = 256
 #: What angles, and cosines from a matrix product, may be off by rounding.
 SLACK, ROUNDING = 1e-6, 1e-9
@@ -36,7 +36,7 @@ class Index:
     centres: dict[int, np.ndarray]
 
 
-def _usable(df: DataFrame, vector: str) -> DataFrame:
+def usable(df: DataFrame, vector: str) -> DataFrame:
     """Rows with an owner and a finite vector that isn't zero, as doubles, with its size."""
     v = F.transform(vector, lambda x: x.cast("double"))
     fine = F.col("user_id").isNotNull() & F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vector, lambda x: x != 0)
@@ -55,14 +55,15 @@ def _angles(rows: DataFrame, vector: str, centres: dict[int, np.ndarray], all_of
     kind = "angles array<double>" if all_of_them else "cell int, angle double"
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes = np.asarray(batch.column("size"))
+        for some in (batch.slice(at, STEP) for batch in batches for at in range(0, len(batch), STEP)):
+            sizes = np.asarray(some.column("size"))
             for n in np.unique(sizes):
-                some = batch.filter(pa.array(sizes == n))
-                found = np.arccos(np.clip(_units(some.column(vector)) @ shared.value[int(n)].T, -1, 1))
+                own = some.filter(pa.array(sizes == n))
+                found = _units(own.column(vector)) @ shared.value[int(n)].T
+                found = np.arccos(np.clip(found, -1, 1, out=found), out=found)
                 cell = found.argmin(axis=1)
-                more = [pa.array(list(found), pa.list_(pa.float64()))] if all_of_them else [pa.array(cell, pa.int32()), pa.array(found[np.arange(len(cell)), cell])]
-                yield pa.RecordBatch.from_arrays([*some.columns, *more], [*some.schema.names, *[c.split()[0] for c in kind.split(", ")]])
+                more = [pa.FixedSizeListArray.from_arrays(pa.array(found.ravel()), found.shape[1]).cast(pa.list_(pa.float64()))] if all_of_them else [pa.array(cell, pa.int32()), pa.array(found[np.arange(len(cell)), cell])]
+                yield pa.RecordBatch.from_arrays([*own.columns, *more], [*own.schema.names, *[c.split()[0] for c in kind.split(", ")]])
 
     plain = ", ".join(f"{name} {t}" for name, t in rows.dtypes)
     return rows.filter(F.col("size").isin(*centres)).mapInArrow(measure, f"{plain}, {kind}")
@@ -75,7 +76,7 @@ def build(chunks: DataFrame, centres: int | None = None) -> Index:
     it. Centres are a sample of the vectors, chosen by hash: twice the root of their number,
     ``CENTRES`` at most; each length that the sample lacks has one axis for a centre.
     """
-    rows = _usable(chunks.select("id", "user_id", "embeddings"), "embeddings")
+    rows = usable(chunks.select("id", "user_id", "embeddings"), "embeddings")
     many = centres or int(min(CENTRES, max(8, 2 * rows.count() ** 0.5)))
     sample = rows.select("size", "embeddings").orderBy(F.xxhash64("id", "embeddings")).limit(many).collect()
     by_size = {r["size"]: [np.eye(1, r["size"])[0]] for r in rows.select("size").distinct().collect()}  # a row for each length
@@ -130,39 +131,44 @@ def _lengths(x: np.ndarray) -> np.ndarray:
     return np.sqrt(np.cumsum(x * x, axis=1)[:, -1])
 
 
-def _best(k: int, threshold: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """For ``applyInArrow``: the k best chunks of a block for each query of a block.
+def nearest(x: np.ndarray, q: np.ndarray, k: int, threshold: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each row of ``q`` its number, and places and cosines of the k best rows of ``x``; of equal cosines the first.
 
     A matrix product, whose rounding depends on a row's place, finds what may be among the
-    k best; their cosines are then summed as ``columns.cosine`` does, so ties fall to the smaller id.
+    k best; their cosines are then summed as ``columns.cosine`` does.
     """
+    if x.shape[1] != q.shape[1]:
+        raise ValueError("vectors of unlike length")
+    with np.errstate(over="ignore", invalid="ignore"):
+        far, wide = _lengths(x), _lengths(q)
+    mine = np.flatnonzero((far > 0) & np.isfinite(far))
+    x, far = x[mine], far[mine]
+    units = x / far[:, None]
+    for first in range(0, len(q) if len(x) else 0, STEP):
+        with np.errstate(all="ignore"):
+            found = (q[first : first + STEP] / wide[first : first + STEP, None]) @ units.T
+        least = np.partition(found, len(x) - k, axis=1)[:, len(x) - k] if len(x) > k else np.full(len(found), -np.inf)
+        for i, own in enumerate(found, first):
+            near = np.flatnonzero(own >= max(threshold, least[i - first]) - ROUNDING)
+            if len(near):
+                with np.errstate(all="ignore"):
+                    cosine = np.cumsum(x[near] * q[i], axis=1)[:, -1] / (far[near] * wide[i])
+                hit = np.flatnonzero(cosine > threshold)
+                hit = hit[np.argsort(-cosine[hit], kind="stable")[:k]]
+                yield i, mine[near[hit]], cosine[hit]
+
+
+def _best(k: int, threshold: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """For ``applyInArrow``: the k best chunks of a block for each query of a block, ties by id."""
 
     def best(chunks: pa.Table, asked: pa.Table) -> pa.Table:
         at, of, s = [], [], []
         if chunks.num_rows and asked.num_rows:
             chunks = chunks.take(pc.sort_indices(chunks, sort_keys=[("id", "ascending")], null_placement="at_start"))
-            x, q = _vectors(chunks["embeddings"]), _vectors(asked["vector"])
-            if x.shape[1] != q.shape[1]:
-                raise ValueError("vectors of unlike length")
-            with np.errstate(over="ignore", invalid="ignore"):
-                far, wide = _lengths(x), _lengths(q)
-            mine = np.flatnonzero((far > 0) & np.isfinite(far))
-            x, far = x[mine], far[mine]
-            units = x / far[:, None]
-            for first in range(0, len(q) if len(x) else 0, STEP):
-                with np.errstate(all="ignore"):
-                    found = (q[first : first + STEP] / wide[first : first + STEP, None]) @ units.T
-                least = np.partition(found, len(x) - k, axis=1)[:, len(x) - k] if len(x) > k else np.full(len(found), -np.inf)
-                for i, own in enumerate(found):
-                    near = np.flatnonzero(own >= max(threshold, least[i]) - ROUNDING)
-                    if len(near):
-                        with np.errstate(all="ignore"):
-                            cosine = np.cumsum(x[near] * q[first + i], axis=1)[:, -1] / (far[near] * wide[first + i])
-                        hit = np.flatnonzero(cosine > threshold)
-                        hit = hit[np.argsort(-cosine[hit], kind="stable")[:k]]
-                        at.append(mine[near[hit]])
-                        of.append(np.full(len(hit), first + i))
-                        s.append(cosine[hit])
+            for i, hit, cosine in nearest(_vectors(chunks["embeddings"]), _vectors(asked["vector"]), k, threshold):
+                at.append(hit)
+                of.append(np.full(len(hit), i))
+                s.append(cosine)
         whole = lambda parts, kind: pa.array(np.concatenate([np.empty(0, kind), *parts]))
         return pa.table({"query_id": asked["query_id"].take(whole(of, np.int64)), "id": chunks["id"].take(whole(at, np.int64)), "similarity": whole(s, np.float64)})
 
@@ -201,7 +207,7 @@ def in_blocks(queries: DataFrame, chunks: DataFrame, k: int, threshold: float) -
     Tenants of more than ``BLOCK`` chunks or queries are dealt into blocks of about as many; they are few, and broadcast.
     Rows that no index would hold are left out; unlike lengths in a tenant are an error.
     """
-    left, right = (_usable(df, v).drop("size") for df, v in ((chunks.select("id", "user_id", "embeddings"), "embeddings"), (queries.select("query_id", "user_id", "vector"), "vector")))
+    left, right = (usable(df, v).drop("size") for df, v in ((chunks.select("id", "user_id", "embeddings"), "embeddings"), (queries.select("query_id", "user_id", "vector"), "vector")))
     own, asked = (df.groupBy("user_id").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(n)) for df, n in ((left, "parts"), (right, "turns")))
     large = F.broadcast(own.join(asked, "user_id", "full").fillna(0, ["parts", "turns"]).filter("parts > 1 OR turns > 1"))
     one = {n: F.coalesce(n, F.lit(1)) for n in ("parts", "turns")}
@@ -227,7 +233,7 @@ def search(queries: DataFrame, index: Index, k: int = 10, threshold: float = 0.3
     ``queries``: query_id (unique; null ones have no hits), user_id, vector. Queries are a
     table of Spark throughout; cells without one aren't read from a written index.
     """
-    asked = _usable(queries.filter("query_id is not null").select("query_id", "user_id", "vector"), "vector")
+    asked = usable(queries.filter("query_id is not null").select("query_id", "user_id", "vector"), "vector")
     if not index.centres:
         return index.members.select("id").join(asked.select("query_id"), F.lit(False)).select("query_id", "id", F.lit(0.0).alias("similarity"), F.lit(1).alias("rank"))
     _, hits, second = _plans(asked, index, k, threshold)
@@ -237,7 +243,7 @@ def search(queries: DataFrame, index: Index, k: int = 10, threshold: float = 0.3
 
 def compared(queries: DataFrame, index: Index, k: int = 10, threshold: float = 0.3) -> DataFrame:
     """query_id, cells, vectors, of_all: how much each query meets of its tenant's vectors of its length."""
-    asked = _usable(queries.filter("query_id is not null").select("query_id", "user_id", "vector"), "vector")
+    asked = usable(queries.filter("query_id is not null").select("query_id", "user_id", "vector"), "vector")
     first, _, second = _plans(asked, index, k, threshold)
     met = first.unionByName(second).groupBy("query_id").agg(F.count("*").alias("cells"), F.sum("members").alias("vectors"))
     whole = asked.select("query_id", "user_id", "size").join(index.cells.groupBy("user_id", "size").agg(F.sum("members").alias("of_all")), ["user_id", "size"])

@@ -31,28 +31,22 @@ def search(vector: list[float], chunks: DataFrame, files: DataFrame, user_id: st
     return hits.select("id", "content", "metadata", "file", "similarity").orderBy(F.col("similarity").desc(), "id").limit(k)
 
 
-def _units(rows: pd.Series) -> np.ndarray:
-    x = np.stack([np.asarray(v, dtype=np.float64) for v in rows])
-    with np.errstate(invalid="ignore", divide="ignore"):
-        return x / np.linalg.norm(x, axis=1, keepdims=True)
-
-
 def search_many(queries: DataFrame, chunks: DataFrame, k: int = 10, threshold: float = 0.3) -> DataFrame:
     """query_id, id, similarity, rank for many queries at once.
 
     ``queries``: query_id, user_id, vector; ``chunks``: id, user_id, embeddings. Up to
     ``QUERY_BLOCK`` queries are broadcast; every task keeps its k best for each query, so
     what is shuffled doesn't grow with the chunks of a task. More stay a table and are
-    searched by cells, with query_id unique.
+    joined as by ``search_joined``, so no task holds more than blocks of both.
     """
     spark = chunks.sparkSession
-    block = queries.select("query_id", "user_id", "vector").limit(QUERY_BLOCK + 1).collect()
+    block = cells.usable(queries.select("query_id", "user_id", "vector"), "vector").select("query_id", "user_id", "vector").limit(QUERY_BLOCK + 1).collect()
     if len(block) > QUERY_BLOCK:
-        return cells.search(queries, cells.build(chunks), k, threshold)
+        return search_joined(queries, chunks, k, threshold)
     kinds = f"query_id {dict(queries.dtypes)['query_id']}, id long, similarity double"
     if not block:
         return spark.createDataFrame([], f"{kinds}, rank int")
-    ids, users, q = [r["query_id"] for r in block], np.array([r["user_id"] for r in block], dtype=object), _units(pd.Series([r["vector"] for r in block]))
+    ids, users, q = [r["query_id"] for r in block], np.array([r["user_id"] for r in block], dtype=object), [np.array(r["vector"]) for r in block]
     shared = spark.sparkContext.broadcast((ids, users, q))
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -63,17 +57,17 @@ def search_many(queries: DataFrame, chunks: DataFrame, k: int = 10, threshold: f
                 mine = np.flatnonzero(users == user)
                 if not len(mine):
                     continue
-                s = _units(some["embeddings"]) @ q[mine].T
-                own = some["id"].to_numpy()
-                for column, i in enumerate(mine):
-                    hit = np.flatnonzero(s[:, column] > threshold)
-                    top = hit[np.lexsort((own[hit], -s[hit, column]))[:k]]
-                    if len(top):
-                        held[i] = heapq.nsmallest(k, [*held.get(i, []), *((-float(s[t, column]), int(own[t])) for t in top)])
-        out = [(ids[i], own_id, -s) for i, some in held.items() for s, own_id in some]
+                some = some.sort_values("id")
+                own, asked = some["id"].to_numpy(), np.stack([q[i] for i in mine])
+                for first in range(0, len(own), cells.BLOCK):
+                    x = np.stack(some["embeddings"].iloc[first : first + cells.BLOCK])
+                    for i, hit, cosine in cells.nearest(x, asked, k, threshold):
+                        if len(hit):
+                            held[mine[i]] = heapq.nsmallest(k, [*held.get(mine[i], []), *zip(-cosine, own[first + hit], strict=True)])
+        out = [(ids[i], int(own_id), -float(s)) for i, some in held.items() for s, own_id in some]
         yield pd.DataFrame(out, columns=["query_id", "id", "similarity"])
 
-    found = chunks.select("id", "user_id", "embeddings").mapInPandas(best, kinds)
+    found = cells.usable(chunks.select("id", "user_id", "embeddings"), "embeddings").drop("size").mapInPandas(best, kinds)
     order = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 

@@ -88,5 +88,26 @@ def test_copies_in_the_order_of_their_ids(spark, monkeypatch):
     table = spark.createDataFrame([(BIG + i, "u", x[i % 3].tolist(), "c", 1) for i in range(200)], "id long, user_id string, embeddings array<double>, cell string, angle int")
     asked = spark.createDataFrame([(i, "u", (v + rng.normal(scale=0.2, size=61)).tolist()) for i, v in enumerate(x) for i in range(3 * i, 3 * i + 3)], "query_id long, user_id string, vector array<double>")
     want = sorted((q, BIG + q // 3 + 3 * r, r + 1) for q in range(9) for r in range(5))
-    for got in (search.search_joined(asked, table, 5), cells.search(asked, cells.build(table), 5)):
+    for got in (search.search_joined(asked, table, 5), search.search_many(asked, table, 5), cells.search(asked, cells.build(table), 5)):
         assert sorted((r.query_id, r.id, r["rank"]) for r in got.collect()) == want
+
+
+def test_angles_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(cells, "STEP", 7)
+    x = np.random.default_rng(6).normal(size=(100, 4))
+    rows = spark.createDataFrame([(i, "u", v.tolist()) for i, v in enumerate(x)], "id long, user_id string, embeddings array<double>").coalesce(1)
+    centres = {4: np.eye(4)}
+    rows = cells.usable(rows, "embeddings")
+    want = np.arccos(x / np.linalg.norm(x, axis=1, keepdims=True))
+    got = sorted(cells._angles(rows, "embeddings", centres, True).collect())
+    assert np.allclose([r.angles for r in got], want) and [r.id for r in got] == list(range(100))
+    assert [r.cell for r in sorted(cells._angles(rows, "embeddings", centres, False).collect())] == want.argmin(axis=1).tolist()
+
+
+def test_more_queries_than_a_broadcast_meet_blocks(spark, rows, monkeypatch):
+    queries, chunks = rows
+    asked, table = spark.createDataFrame(queries[:60], "query_id long, user_id string, vector array<double>"), spark.createDataFrame([c for c in chunks if c[0] >= BIG], CHUNKS)
+    monkeypatch.setattr(search, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(cells, "build", lambda *_: pytest.fail("an index of all pairs of queries and cells"))
+    got = search.search_many(asked, table).collect()
+    assert sorted((r.query_id, r.id, r["rank"]) for r in got) == brute(queries[:60], chunks, 10, 0.3)
