@@ -32,8 +32,8 @@ from sedge.llm.shared import COARSE, as_text, components, looked_up, resplit, sh
 
 #: Sizes of a band span this factor.
 BAND = 1.5
-#: Sketch words that a task holds before it passes them on, and in a class.
-FLUSH, CLASS = 1_000_000, 1_000_000
+#: Sketch words that a task holds before it passes them on, and in a class: workers that pack stay for the next task.
+FLUSH, CLASS = 250_000, 500_000
 #: Bytes of a word's hash that travel, three bits of them for the band; the class adds some.
 WIDTH, TAGS = 5, 8
 #: Rounds of links to one member of each word before all that is left is compared,
@@ -210,7 +210,7 @@ def _by_class(packed: DataFrame, classes: int):
     """``packed`` grouped so that a group has about ``CLASS`` words, in two steps if many."""
     if classes <= COARSE:
         return packed.groupBy("part")
-    return resplit(packed, PACKED, partial(_finer, -(-classes // COARSE)), FLUSH // 8).groupBy("part", "fine")
+    return resplit(packed, PACKED, partial(_finer, -(-classes // COARSE)), FLUSH // 2).groupBy("part", "fine")
 
 
 def bit_sketch(s: np.ndarray) -> np.ndarray:

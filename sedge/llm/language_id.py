@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedge.llm.shared import stored, trimmed
+from sedge.llm.shared import small_table, stored, trimmed
 
 #: Families of related languages by ISO 639-1 code; any other code is its own family. Fixed values.
 FAMILIES = {
@@ -147,7 +147,7 @@ def _votes(points: DataFrame, groups: list[tuple[str, list[str]]]) -> list[Vote]
     wanted = [(column, one, two) for column, classes in groups for one, two in combinations(classes, 2)]
     if not wanted:
         return [Vote(classes, np.empty((0, DIMENSIONS), np.float32), np.empty(0, np.float32)) for _, classes in groups]
-    sides = points.sparkSession.createDataFrame([(c, one, two, own, y) for c, one, two in wanted for own, y in ((one, 1.0), (two, -1.0))], "level string, one string, two string, own string, y double")
+    sides = small_table(points.sparkSession, [(c, one, two, own, y) for c, one, two in wanted for own, y in ((one, 1.0), (two, -1.0))], "level string, one string, two string, own string, y double")
     # a family's sample is as large as a language's: the languages in it share it
     levels = points.select("v", "position", F.explode(F.array(F.struct(F.lit("lang").alias("level"), F.col("lang").alias("own"), F.lit(True).alias("used")), F.struct(F.lit("family").alias("level"), F.col("family").alias("own"), (F.col("turn") * F.col("members") < 1).alias("used")))).alias("x"))
     rows = levels.select("v", "position", "x.*").filter("used").join(F.broadcast(sides), ["level", "own"])  # two rows for each separator
@@ -188,7 +188,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model | None:
         return None
     families = sorted({f for f, _ in known})
     members = {f: [code for g, code in known if g == f] for f in families}
-    kinds = labelled.sparkSession.createDataFrame([(code, f, len(own)) for f, own in members.items() for code in own], "lang string, family string, members int")
+    kinds = small_table(labelled.sparkSession, [(code, f, len(own)) for f, own in members.items() for code in own], "lang string, family string, members int")
     top, *within = _votes(points.join(F.broadcast(kinds), "lang"), [("family", families), *(("lang", members[f]) for f in families)])
     return Model(top, within)
 

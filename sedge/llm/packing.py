@@ -21,13 +21,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedge.llm.shared import as_text, ranked, stored, trimmed
+from sedge.llm.shared import as_text, ranked, small_table, stored, trim, trimmed
 
 #: Bytes of words and ids that a worker remembers: of the words seen last, and as many of
 #: those before them. LEAN_BYTES where executors hold much else; then nothing is kept from task to task.
-CACHE_BYTES, LEAN_BYTES = 128 << 20, 28 << 20
-#: Bytes of text whose new words are encoded together.
-GROUP_BYTES = 1 << 20
+CACHE_BYTES, LEAN_BYTES = 128 << 20, 8 << 20
+#: Bytes of text whose new words are encoded together: what the tokenizer makes of them is many
+#: times as large. A text isn't cut, so one that is longer is a group.
+GROUP_BYTES, LEAN_GROUP = 1 << 20, 256 << 10
 _MARKS = string.punctuation.encode()
 _ALNUM = frozenset(string.ascii_letters.encode() + string.digits.encode())
 #: Latin letters in UTF-8, but U+0130, which lower-cases to a letter and a mark: what stands
@@ -59,6 +60,9 @@ class WordCodec:
         #: A special token parts what is encoded at once: no word's ids hold it.
         self.parting = next((t.content for _, t in sorted(self.whole.get_added_tokens_decoder().items()) if t.special and not t.normalized), None)
         self.bare, self.last = (None, None) if lean else self._bare(path)
+        self.group_bytes = LEAN_GROUP if lean else GROUP_BYTES
+        if lean and (resize := getattr(self.whole.model, "_resize_cache", None)):
+            resize(0)  # words are remembered here; the model's own memory of them outlives its task in part
         self.known: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
         self.held = 0
@@ -145,7 +149,7 @@ class WordCodec:
                 raw = raw.lower()
             group.append(raw.split())
             size += len(raw)
-            if size >= GROUP_BYTES:
+            if size >= self.group_bytes:
                 yield from self._group(group, most)
                 group, size = [], 0
         yield from self._group(group, most)
@@ -202,6 +206,8 @@ def cut(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, id
                     piece = ids[4 * start : 4 * (start + window)]
                     out.append((doc_id, start, len(piece) // 4, zlib.crc32(piece), total, *[piece] * with_ids))
             yield pd.DataFrame(out, columns=fields)
+            if lean:
+                trim()  # what encoding has freed adds up over a task
         if lean:
             words.forget()
             _codecs.pop((tokenizer, lean), None)
@@ -330,7 +336,7 @@ def pack(pieces: DataFrame, window: int = 4096, classes: int = 256) -> DataFrame
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # one row for each length up to window
     rows, _ = plan(counts, window, classes)
     # bounded by the window: a few rows for each length and combination
-    table = F.broadcast(spark.createDataFrame(rows, "length long, low long, high long, each long, first long"))
+    table = F.broadcast(small_table(spark, rows, "length long, low long, high long, each long, first long"))
     at = ranked(pieces, ["length"], ["doc_id", "start"])
     placed = at.join(table, [at["length"] == table["length"], at["rank"] >= table["low"], at["rank"] < table["high"]]).select(
         *[at[c] for c in pieces.columns], (F.col("first") + F.floor((F.col("rank") - F.col("low")) / F.col("each"))).cast("long").alias("sequence_id")

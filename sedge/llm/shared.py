@@ -76,6 +76,17 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Arrow's types of what ``small_table`` takes.
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}
+
+
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """``rows`` by way of Arrow: a list would go through Python workers on the executors,
+    and a process of their own that forks them stays with each executor."""
+    fields = [x.split() for x in schema.split(", ")]
+    return spark.createDataFrame(pa.table({name: pa.array([r[i] for r in rows], _KINDS[kind]) for i, (name, kind) in enumerate(fields)}), schema)
+
+
 def trim() -> None:
     """Give what this worker has freed back to the system."""
     pa.default_memory_pool().release_unused()

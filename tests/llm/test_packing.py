@@ -1,3 +1,6 @@
+import os
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -130,3 +133,35 @@ def test_nnls():
         x = packing.nnls(columns, h)
         grad = a.T @ (a @ x - h)
         assert (x >= 0).all() and (grad > -1e-6).all() and abs((grad * x).sum()) < 1e-5
+
+
+def test_lean_codec_stays_small():
+    """A worker with the lean codec grows by little over tasks full of new words, and gives it back after each."""
+    code = """
+import random, re, sys, threading, time
+from sedge.llm import packing
+from sedge.llm.shared import trim
+held = lambda: sum(map(int, re.findall(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+most, stop = [0.0], []
+def watch():
+    while not stop:
+        most[0] = max(most[0], held())
+        time.sleep(0.01)
+r = random.Random(0)
+texts = [" ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(4, 9))) for _ in range(4000)) for _ in range(100)]
+trim()
+began = held()
+threading.Thread(target=watch, daemon=True).start()
+for _ in range(3):
+    codec = packing.codec(sys.argv[1], True)
+    for _ in codec.encode_all(texts, packing.LEAN_BYTES):
+        pass
+    codec.forget()
+    packing._codecs.clear()
+    del codec
+    trim()
+stop.append(1)
+print(most[0] - began, held() - began)
+"""
+    peak, left = map(float, subprocess.run([sys.executable, "-c", code, PATH], capture_output=True, text=True, check=True, env=os.environ | {"PYTHONPATH": os.pathsep.join(sys.path)}).stdout.split())
+    assert peak < 200 and left < 34, (peak, left)
